@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...functions import labels
 from ..features import Scaler
 from ..filters import numeric_columns
-from ..quantiles import exact_quantiles
+from ..quantiles import exact_quantiles, weighted_quantile
 from . import density, forest, neighbours
 from .stats import IQR_MULTIPLIER, PRIMARY, Z_THRESHOLD, ColumnStats, add_zscore_flags
 
@@ -43,8 +43,7 @@ class AnomalyDetector:
         self.scaler = Scaler.fit(df, self.columns)
         if self.algorithm == "lof":
             self.reference = neighbours.fit(self.scaler.transform(df.select(*self.columns)), self.columns)
-            scores = self.reference.select(F.col("lof").alias("score"), "w")
-            self.threshold = neighbours.weighted_quantile(scores, 1.0 - self.contamination)
+            self.threshold = weighted_quantile(self.reference, "lof", "w", 1.0 - self.contamination)
         elif self.algorithm == "iqr":
             q = exact_quantiles(df, {c: [0.25, 0.75] for c in self.columns})
             self.fences = {c: (q[c, 0.25], q[c, 0.75]) for c in self.columns}

@@ -76,3 +76,35 @@ def iqr(df: DataFrame, column: str) -> tuple[float, float, float]:
     q = exact_quantiles(df, {column: [0.25, 0.75]})
     q1, q3 = q[column, 0.25], q[column, 0.75]
     return q1, q3, q3 - q1
+
+
+def weighted_quantile(df: DataFrame, value: str, weight: str, p: float) -> float | None:
+    """Quantile of ``value`` where each row stands for ``weight`` equal ones.
+
+    The rows are range-partitioned by value; the weights per range, one number each, tell which
+    range holds the wanted ranks, and only that range is accumulated.
+    """
+    from ..session import stage
+    rows = df.select(F.col(value).cast("double").alias("v"), F.col(weight).alias("w"))
+    rows = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.sum("w").alias("w"))
+    ranged = stage(rows.repartitionByRange("v").withColumn("r", F.spark_partition_id()), "quantile")
+    sums = ranged.groupBy("r").agg(F.sum("w").alias("w")).orderBy("r").collect()  # one row per range
+    total = sum(s.w for s in sums)
+    if not total:
+        return None
+    position = p * (total - 1)
+    rank = math.floor(position)
+
+    def at(k: int) -> float:
+        before = 0
+        for s in sums:
+            if k < before + s.w:
+                break
+            before += s.w
+        upto = F.sum("w").over(Window.partitionBy("r").orderBy("v")) + F.lit(before)
+        return ranged.filter(F.col("r") == s.r).withColumn("upto", upto).agg(
+            F.min(F.when(F.col("upto") > k, F.col("v")))).first()[0]
+
+    low = at(rank)
+    high = at(min(rank + 1, total - 1)) if position > rank else low
+    return low + (high - low) * (position - rank)

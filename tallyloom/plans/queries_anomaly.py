@@ -147,7 +147,7 @@ def explain_factors(spark, d):
 @query("explain_summary", on_events(f"""with {STATS}, u as ({_UNPIVOT}),
 k as (select *, row_number() over (partition by transaction_id order by abs(z) desc, pos) as rank from u where abs(z)>2),
 t as (select transaction_id, string_agg(concat(feature,' is ',format('{{:.1f}}',abs((value-expected)/expected*100)),'% ',case when z>0 then 'higher' else 'lower' end,' than expected'), '; ' order by pos) as explanations from k group by 1)
-select s.transaction_id, coalesce(concat('Primary cause: ', feature, ' is ', case when z>0 then 'higher' else 'lower' end, ' than normal'), 'Unusual pattern detected across multiple features') as summary,
+select s.transaction_id, coalesce('Primary cause: ' || feature || ' is ' || case when z>0 then 'higher' else 'lower' end || ' than normal', 'Unusual pattern detected across multiple features') as summary,
   coalesce(explanations,'') as explanations, coalesce({_ADVICE.replace("else concat", "when feature is not null then concat")}, 'Monitor this data point for recurring patterns') as recommendation
 from sales s left join (select * from k where rank=1) f using (transaction_id) left join t using (transaction_id)"""))
 def explain_summary(spark, d):
@@ -220,3 +220,11 @@ def iforest_report(spark, d):
     fitted = AnomalyDetector("isolation_forest", key=["transaction_id"]).fit(rows, FEATURES)
     recent = rows.filter(F.col("timestamp") >= as_of - timedelta(days=30))
     return report.breakdown(fitted.transform(recent), as_of)
+
+
+@query("lof_scores")
+def lof_scores(spark, d):
+    """Outlier factor of every event against all events; exact neighbours, checked by brute force in the tests."""
+    rows = load_event_sales(spark, d, ["transaction_id", "quantity", "total_amount"])
+    fitted = AnomalyDetector("lof").fit(rows, ["quantity", "total_amount"])
+    return fitted.transform(rows).select("transaction_id", "anomaly_score", "is_anomaly_ml", "is_anomaly_zscore", "is_anomaly", "severity")
