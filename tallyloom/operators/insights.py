@@ -82,7 +82,7 @@ def summarise(df: DataFrame, as_of: datetime, days: int = 30, baseline: str = "a
     dims = ["category", "region", "product_name", "date"]
     sets = [[F.col("period"), F.col(d)] for d in dims]
     out = rows.groupingSets(sets, F.col("period"), *[F.col(d) for d in dims]).agg(
-        F.sum("total_amount").cast("double").alias("revenue"), F.count(F.lit(1)).alias("n"),
+        F.sum("total_amount").alias("revenue"), F.count(F.lit(1)).alias("n"),
         F.grouping_id().alias("gid"))
     dim, key = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, d in enumerate(dims):
@@ -95,8 +95,8 @@ def summarise(df: DataFrame, as_of: datetime, days: int = 30, baseline: str = "a
 def _totals(cells: DataFrame) -> DataFrame:
     now = F.col("period") == "current"
     return cells.filter("dim = 'date'").agg(
-        F.coalesce(F.sum(F.when(now, F.col("revenue"))), F.lit(0.0)).alias("current_revenue"),
-        F.coalesce(F.sum(F.when(~now, F.col("revenue"))), F.lit(0.0)).alias("previous_revenue"),
+        F.coalesce(F.sum(F.when(now, F.col("revenue"))).cast("double"), F.lit(0.0)).alias("current_revenue"),
+        F.coalesce(F.sum(F.when(~now, F.col("revenue"))).cast("double"), F.lit(0.0)).alias("previous_revenue"),
         F.coalesce(F.sum(F.when(now, F.col("n"))), F.lit(0)).alias("transaction_count"),
         F.coalesce(F.sum(F.when(~now, F.col("n"))), F.lit(0)).alias("previous_count"))
 
@@ -118,8 +118,8 @@ def _ranked(cells: DataFrame, dim: str) -> DataFrame:
     """Current and earlier revenue per key with rank and share of the current total."""
     now = F.col("period") == "current"
     keyed = cells.filter((F.col("dim") == dim) & F.col("key").isNotNull()).groupBy("key").agg(
-        F.sum(F.when(now, F.col("revenue"))).alias("current_revenue"),
-        F.sum(F.when(~now, F.col("revenue"))).alias("previous_revenue"))
+        F.sum(F.when(now, F.col("revenue"))).cast("double").alias("current_revenue"),
+        F.sum(F.when(~now, F.col("revenue"))).cast("double").alias("previous_revenue"))
     everything = Window.partitionBy()
     return keyed.filter(F.col("current_revenue").isNotNull()).withColumns({
         "rank": F.row_number().over(everything.orderBy(F.desc("current_revenue"), "key")),
@@ -152,7 +152,7 @@ def top_product_figures(cells: DataFrame) -> DataFrame:
     return (cells.filter("dim = 'product_name' and period = 'current' and key is not null")
             .orderBy(F.desc("revenue"), "key").limit(TOP_PRODUCTS)
             .withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("revenue"), "key")))
-            .select(F.col("key").alias("product_name"), "revenue", "rank"))
+            .select(F.col("key").alias("product_name"), F.col("revenue").cast("double").alias("revenue"), "rank"))
 
 
 def _days(cells: DataFrame) -> DataFrame:
@@ -162,8 +162,8 @@ def _days(cells: DataFrame) -> DataFrame:
 
 def weekly_trend_figures(cells: DataFrame) -> DataFrame:
     aged = _days(cells).withColumn("age", F.row_number().over(Window.partitionBy().orderBy(F.desc("date"))))
-    out = aged.agg(F.sum(F.when(F.col("age") <= 7, F.col("revenue"))).alias("recent_7d_total"),
-                   F.sum(F.when(F.col("age").between(8, 14), F.col("revenue"))).alias("previous_7d_total"),
+    out = aged.agg(F.sum(F.when(F.col("age") <= 7, F.col("revenue"))).cast("double").alias("recent_7d_total"),
+                   F.sum(F.when(F.col("age").between(8, 14), F.col("revenue"))).cast("double").alias("previous_7d_total"),
                    F.count(F.lit(1)).alias("active_days"))
     out = out.withColumn("growth_rate", growth_rate(F.col("recent_7d_total"), F.col("previous_7d_total")))
     return out.filter((F.col("active_days") >= 14) & (F.abs("growth_rate") > WEEK_CHANGE))
@@ -174,8 +174,8 @@ def best_worst_figures(cells: DataFrame) -> DataFrame:
         F.max(F.struct("revenue", (-F.unix_date("date")).alias("age"), "date")).alias("best"),
         F.min(F.struct("revenue", "date")).alias("worst"), F.count(F.lit(1)).alias("active_days"))
     return out.filter("active_days >= 7").select(
-        F.col("best.date").alias("best_day"), F.col("best.revenue").alias("best_revenue"),
-        F.col("worst.date").alias("worst_day"), F.col("worst.revenue").alias("worst_revenue"))
+        F.col("best.date").alias("best_day"), F.col("best.revenue").cast("double").alias("best_revenue"),
+        F.col("worst.date").alias("worst_day"), F.col("worst.revenue").cast("double").alias("worst_revenue"))
 
 
 def anomaly_severity_figures(breakdown: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def anomaly_region_figures(breakdown: DataFrame) -> DataFrame:
 
 def forecast_figures(cells: DataFrame, forecast: DataFrame) -> DataFrame:
     """Mean forecast day against the mean current day."""
-    current = _days(cells).agg(F.avg("revenue")).scalar()
+    current = _days(cells).agg(ratio(F.sum("revenue"), F.count("revenue"))).scalar()
     out = forecast.agg(F.avg(round_currency(F.col("value"))).alias("forecast_daily_avg"),
                        round_currency(F.sum("value")).alias("forecast_total"),
                        F.count(F.lit(1)).alias("horizon_days"))

@@ -1 +1,230 @@
-"""forecast queries."""
+"""Split, metric, ensemble and model queries."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import aggregates, series
+from ..operators.forecast import autoregression, ensemble, evaluate
+from ..operators.forecast.models import (SalesForecastModel, forecast_totals, prediction_summary,
+                                         proxy_interval, rounded as in_currency)
+from ..session import fresh_path, stage
+from ..sources.star import load_sales
+from . import jobs
+from .registry import daily_ctes, on_sales, query, rounded
+
+COLS = ["timestamp", "transaction_id", "quantity", "unit_price", "total_amount", "customer_id"]
+D = daily_ctes("sales")
+
+
+def daily(spark, d, segment=()):
+    return aggregates.daily(load_sales(spark, d, COLS + list(segment)), segment)
+
+
+# ------------------------------------------------------------------ deterministic parts
+@query("chrono_split", on_sales(f"with {D} select date, case when row_number() over (order by date)-1 < floor(0.8*count(*) over ()) then 'train' else 'test' end as part from d"))
+def chrono_split(spark, d):
+    return evaluate.chrono_split(daily(spark, d).select("date"))
+
+
+@query("cv_folds", on_sales(f"""with {D}, n as (select date, row_number() over (order by date)-1 as i, count(*) over () as n from d),
+k as (select date, i, n, cast(floor(n/6) as bigint) as t, f as fold from n, range(5) r(f))
+select date, cast(fold as integer) as fold, case when i < n-(5-fold)*t then 'train' else 'test' end as part from k where i < n-(5-fold)*t+t"""))
+def cv_folds(spark, d):
+    return evaluate.cv_folds(daily(spark, d).select("date"))
+
+
+NAIVE = {"lag_1": "lag(total_revenue,1) over (order by date)", "lag_7": "lag(total_revenue,7) over (order by date)",
+         "mean_7": "avg(total_revenue) over (order by date rows between 7 preceding and 1 preceding)"}
+NAIVE_SQL = "p as (" + "\nunion all ".join(
+    f"select * from (select '{m}' as model, date, total_revenue as y, {e} as value, row_number() over (order by date) as i from d) where i > 7" for m, e in NAIVE.items()) + ")"
+SCORED_SQL = """q as (select *, y-lag(y) over (partition by model order by date) as dy, value-lag(value) over (partition by model order by date) as dp from p),
+sc as (select model, sqrt(avg((y-value)*(y-value))) as rmse, avg(abs(y-value)) as mae, avg(case when y<>0 then abs((y-value)/y) end)*100 as mape,
+  1-sum((y-value)*(y-value))/(var_pop(y)*count(y)) as r2, coalesce(avg(case when dy is not null then case when sign(dy)=sign(dp) then 1.0 else 0.0 end end),0)*100 as direction_accuracy from q group by 1)"""
+
+
+def naive(spark, d):
+    """Forecasts of three memory-only models in long form."""
+    w = Window.partitionBy().orderBy("date")
+    rows = daily(spark, d).select("date", F.col("total_revenue").alias("y"),
+                                  F.lag("total_revenue", 1).over(w).alias("lag_1"), F.lag("total_revenue", 7).over(w).alias("lag_7"),
+                                  F.avg("total_revenue").over(w.rowsBetween(-7, -1)).alias("mean_7"),
+                                  F.row_number().over(w).alias("i")).filter("i > 7").drop("i")
+    return rows.unpivot(["date", "y"], ["lag_1", "lag_7", "mean_7"], "model", "value")
+
+
+@query("forecast_metrics", on_sales(f"with {D}, {NAIVE_SQL}, {SCORED_SQL} select model, round(rmse,4) as rmse, round(mae,4) as mae, round(mape,4) as mape, round(r2,6) as r2, round(direction_accuracy,6) as direction_accuracy from sc"))
+def forecast_metrics(spark, d):
+    out = evaluate.metrics(naive(spark, d), "y", "value", keys=("model",))
+    return rounded(rounded(out, "rmse", "mae", "mape"), "r2", "direction_accuracy", digits=6)
+
+
+@query("ensemble_weights", on_sales(f"with {D}, {NAIVE_SQL}, {SCORED_SQL} select model, round((1/mape)/sum(1/mape) over (),6) as weight from sc"))
+def ensemble_weights(spark, d):
+    scores = evaluate.metrics(naive(spark, d), "y", "value", keys=("model",))
+    return rounded(ensemble.weights_from_mape(scores.select("model", "mape")), "weight", digits=6)
+
+
+@query("ensemble_combine", on_sales(f"""with {D}, {NAIVE_SQL}, {SCORED_SQL}, w as (select model, (1/mape)/sum(1/mape) over () as weight from sc)
+select date, round(sum(value*weight),2) as value, round(sum(value*weight)-1.96*stddev_pop(value),2) as confidence_lower, round(sum(value*weight)+1.96*stddev_pop(value),2) as confidence_upper, count(*) as models
+from p join w using (model) group by 1"""))
+def ensemble_combine(spark, d):
+    forecasts = naive(spark, d)
+    weights = ensemble.weights_from_mape(evaluate.metrics(forecasts, "y", "value", keys=("model",)).select("model", "mape"))
+    out = ensemble.combine(forecasts.select("model", "date", "value"), weights)
+    return rounded(out.drop("individual"), "value", "confidence_lower", "confidence_upper", digits=2)
+
+
+@query("forecast_overlay", on_sales(f"""with {D}, l as (select * from d order by date desc limit 7)
+select date, total_revenue as actual, null::double as forecast, null::double as confidence_upper from d
+union all select cast(date + interval 7 day as date), null, total_revenue, total_revenue*1.1 from l"""))
+def forecast_overlay(spark, d):
+    actuals = daily(spark, d)
+    ahead = actuals.orderBy(F.desc("date")).limit(7).select(
+        F.date_add("date", 7).alias("date"), F.col("total_revenue").alias("value"), (F.col("total_revenue") * 1.1).alias("confidence_upper"))
+    return evaluate.overlay(actuals, ahead)
+
+
+@query("interval_fallback", on_sales(f"""with {D}, s as (select stddev_samp(total_revenue) as s from d)
+select date, round(greatest(0, total_revenue-0.1*1.96*s),4) as confidence_lower, round(total_revenue+0.1*1.96*s,4) as confidence_upper from d, s"""))
+def interval_fallback(spark, d):
+    rows = daily(spark, d)
+    spread = rows.agg(F.stddev_samp("total_revenue")).scalar()
+    out = proxy_interval(rows.select("date", "total_revenue").withColumn("history_std", spread), "total_revenue", "history_std")
+    return rounded(out.select("date", "confidence_lower", "confidence_upper"), "confidence_lower", "confidence_upper")
+
+
+_P = 5
+
+
+def _ar_sql():
+    lag = ", ".join(f"lag(d0,{k}) over (order by date) as d{k}" for k in range(1, _P + 1))
+    sums = ", ".join(f"sum(d0*d{k})/1e12 as xy{k}" for k in range(1, _P + 1))
+    return on_sales(f"""with {D}, a as (select date, total_revenue-lag(total_revenue) over (order by date) as d0 from d),
+b as (select *, {lag} from a) select count(*) as n, {", ".join(f"round(sum(d0*d{k})/1e12,4) as xy{k}" for k in range(1, _P + 1))} from b where d{_P} is not null""")
+
+
+@query("ar_cross_products", _ar_sql())
+def ar_cross_products(spark, d):
+    """Sums behind the autoregression: products of the differences with their lags."""
+    out = autoregression._products(daily(spark, d), _P, "total_revenue", ())
+    return out.select("n", *[F.round(F.col("sums")[k] / 1e12, 4).alias(f"xy{k}") for k in range(1, _P + 1)])
+
+
+# ------------------------------------------------------------------ models
+@lru_cache(maxsize=8)
+def _trained(app: str, sf_dir: str, algorithm: str) -> tuple[SalesForecastModel, DataFrame]:
+    """One fit per session, table folder and method; several queries ask about the same model."""
+    spark = SparkSession.getActiveSession()
+    frame = stage(series.daily_features(load_sales(spark, sf_dir, COLS)), "daily")
+    model = SalesForecastModel(algorithm)
+    model.train(frame)
+    return model, frame
+
+
+def trained(spark, d, algorithm):
+    return _trained(spark.sparkContext.applicationId, d, algorithm)
+
+
+@query("ridge_forecast")
+def ridge_forecast(spark, d):
+    model, frame = trained(spark, d, "linear")
+    return in_currency(model.forecast(frame, 7))
+
+
+@query("ridge_by_series")
+def ridge_by_series(spark, d):
+    """One pooled model, a forecast for every region and category."""
+    segment = ("region", "category")
+    frame = stage(series.daily_features(load_sales(spark, d, COLS + list(segment)), segment), "daily")
+    model = SalesForecastModel("linear", segment=segment)
+    model.train(frame)
+    return in_currency(model.forecast(frame, 7))
+
+
+@query("ridge_cv_metrics")
+def ridge_cv_metrics(spark, d):
+    _, frame = trained(spark, d, "linear")
+    model = SalesForecastModel("linear")
+    model.train_with_cv(frame)
+    return model.confidence_report(spark)
+
+
+@query("rf_forecast")
+def rf_forecast(spark, d):
+    model, frame = trained(spark, d, "random_forest")
+    return in_currency(model.forecast(frame, 7))
+
+
+@query("rf_predictions")
+def rf_predictions(spark, d):
+    """Every day predicted with its interval over the trees."""
+    model, frame = trained(spark, d, "random_forest")
+    return model.predict_rows(frame, confidence=True).select("date", "prediction", "std", "confidence_lower", "confidence_upper")
+
+
+@query("rf_prediction_summary")
+def rf_prediction_summary(spark, d):
+    model, frame = trained(spark, d, "random_forest")
+    return prediction_summary(model.predict_rows(frame))
+
+
+@query("feature_importance")
+def feature_importance(spark, d):
+    return trained(spark, d, "random_forest")[0].feature_importance(spark)
+
+
+@query("forecast_confidence")
+def forecast_confidence(spark, d):
+    return trained(spark, d, "random_forest")[0].confidence_report(spark)
+
+
+@query("forecast_totals")
+def totals(spark, d):
+    model, frame = trained(spark, d, "random_forest")
+    return forecast_totals(model.forecast(frame, 30))
+
+
+@query("gbt_forecast")
+def gbt_forecast(spark, d):
+    model, frame = trained(spark, d, "gradient_boosting")
+    return in_currency(model.forecast(frame, 7))
+
+
+@query("ar_forecast")
+def ar_forecast(spark, d):
+    """ARIMA(5,1,0) for every region."""
+    segment = ("region",)
+    fitted = autoregression.fit(daily(spark, d, segment), segment=segment)
+    return autoregression.forecast(fitted, 7, segment)
+
+
+@query("ar_information")
+def ar_information(spark, d):
+    segment = ("region",)
+    return autoregression.fit(daily(spark, d, segment), segment=segment).select("region", "n", "sigma2", "aic", "bic")
+
+
+@query("ensemble_forecast")
+def ensemble_forecast(spark, d):
+    """Forest, boosting and ARIMA, weighted by inverse MAPE."""
+    parts, scores = [], [("arima", None)]
+    for name in ("random_forest", "gradient_boosting"):
+        model, frame = trained(spark, d, name)
+        parts.append(model.forecast(frame, 7))
+        scores.append((name, model.metrics["mape"]))
+    parts.append(autoregression.forecast(autoregression.fit(frame), 7))
+    weights = ensemble.weights_from_mape(spark.createDataFrame(scores, "model string, mape double"))
+    return ensemble.combine(parts[0].unionByName(parts[1]).unionByName(parts[2]), weights).drop("individual")
+
+
+@query("job_train_forecast")
+def job_train_forecast(spark, d):
+    """The training job end to end with ridge: clean, features, cross-validation, save, load, forecast."""
+    path = fresh_path(spark, "job-model")
+    model, ahead = jobs.train_forecast(load_sales(spark, d), path, algorithm="linear")
+    SalesForecastModel.load(spark, path)
+    return ahead

@@ -1 +1,108 @@
-"""stream queries."""
+"""Streaming queries: finite runs over the event table, drained and read back."""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+from pyspark.sql import functions as F
+
+from ..operators import filters
+from ..operators.anomaly.stats import ColumnStats
+from ..session import fresh_path
+from ..sources.star import load_event_sales
+from ..streaming import pipeline, sinks
+from .queries_anomaly import DETECTED
+from .registry import on_events, plain, query, rounded
+
+# Windows that the watermark has closed when the stream ends: one hour before the newest event.
+CLOSED = "(select as_of from ref) - interval 1 hour"
+
+
+@query("stream_window_kpi", on_events(f"""select date_trunc('hour', ts) as window_start, date_trunc('hour', ts) + interval 1 hour as window_end,
+  count(*) as transaction_count, cast(sum(total_amount) as double) as total_revenue from sales
+group by 1, 2 having date_trunc('hour', ts) + interval 1 hour <= {CLOSED}"""))
+def stream_window_kpi(spark, d):
+    sales = pipeline.read_event_sales(spark, d, ["timestamp", "total_amount"])
+    return sinks.run_to_end(pipeline.windowed_kpis(sales, "1 hour"), "window-kpi")
+
+
+@query("stream_daily_by_category", on_events(f"""select cast(ts as date)::timestamp as window_start, cast(ts as date)::timestamp + interval 1 day as window_end, category,
+  count(*) as transaction_count, cast(sum(total_amount) as double) as total_revenue from sales
+group by 1, 2, 3 having cast(ts as date)::timestamp + interval 1 day <= {CLOSED}"""))
+def stream_daily_by_category(spark, d):
+    sales = pipeline.read_event_sales(spark, d, ["timestamp", "category", "total_amount"])
+    return sinks.run_to_end(pipeline.windowed_kpis(sales, "1 day", keys=("category",)), "daily-kpi")
+
+
+@query("stream_sliding", on_events(f"""with w as (select unnest(generate_series(date_trunc('hour', ts) + to_minutes(cast(floor(minute(ts)/15)*15 as bigint)) - interval 45 minute,
+    date_trunc('hour', ts) + to_minutes(cast(floor(minute(ts)/15)*15 as bigint)), interval 15 minute)) as s, total_amount from sales)
+select s as window_start, s + interval 1 hour as window_end, count(*) as transaction_count, cast(sum(total_amount) as double) as total_revenue from w
+group by 1 having s + interval 1 hour <= {CLOSED}"""))
+def stream_sliding(spark, d):
+    sales = pipeline.read_event_sales(spark, d, ["timestamp", "total_amount"])
+    return sinks.run_to_end(pipeline.windowed_kpis(sales, "1 hour", "15 minutes"), "sliding-kpi")
+
+
+@query("stream_dedupe", on_events('select transaction_id, ts as "timestamp", cast(total_amount as double) as total_amount from sales'))
+def stream_dedupe(spark, d):
+    """The stream united with a replay of itself holds every id once."""
+    cols = ["timestamp", "transaction_id", "total_amount"]
+    twice = pipeline.read_event_sales(spark, d, cols).unionByName(pipeline.read_event_sales(spark, d, cols))
+    return plain(sinks.run_to_end(pipeline.deduplicate(twice), "dedupe"))
+
+
+@query("stream_zscore", on_events(f"with {DETECTED} select transaction_id, round(z,4) as total_amount_zscore, severity from det where flag=1"))
+def stream_zscore(spark, d):
+    fitted = ColumnStats.fit(load_event_sales(spark, d, ["total_amount"]), ["total_amount"])
+    sales = pipeline.read_event_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])
+    out = sinks.run_to_end(filters.flagged(pipeline.score(sales, fitted)), "zscore")
+    return rounded(out.select("transaction_id", "total_amount_zscore", "severity"), "total_amount_zscore")
+
+
+@query("stream_last_n", on_events('select transaction_id, ts as "timestamp", cast(total_amount as double) as total_amount from sales order by ts desc, transaction_id desc limit 1000'))
+def stream_last_n(spark, d):
+    base = fresh_path(spark, "last-n")
+    latest = sinks.LatestTable(spark, f"{base}/latest", 1000)
+    calls = sinks.Callbacks()
+    calls.add(latest)
+    sales = pipeline.read_event_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])
+    sinks.start_callbacks(sales, calls, f"{base}/checkpoint").awaitTermination()
+    return plain(latest.read())
+
+
+@query("stream_session", on_events(f"""with g as (select *, case when ts - lag(ts) over (partition by customer_id order by ts) <= interval 30 minute then 0 else 1 end as fresh from sales),
+s as (select *, sum(fresh) over (partition by customer_id order by ts rows between unbounded preceding and current row) as k from g)
+select customer_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as transaction_count, cast(sum(total_amount) as double) as total_revenue
+from s group by customer_id, k having max(ts) + interval 30 minute <= {CLOSED}"""))
+def stream_session(spark, d):
+    sales = pipeline.read_event_sales(spark, d, ["timestamp", "customer_id", "total_amount"])
+    return sinks.run_to_end(pipeline.sessions(sales), "session")
+
+
+@query("stream_late_rows", on_events("""with c as (select (select as_of from ref) - interval 10 day as cut)
+select transaction_id, ts as "timestamp" from sales, c where ts < cut"""))
+def stream_late_rows(spark, d):
+    """Newest rows land first, older ones after them: the side table holds what came too late."""
+    base = fresh_path(spark, "late")
+    rows = load_event_sales(spark, d, ["timestamp", "transaction_id"])
+    cut = filters.newest(rows) - timedelta(days=10)
+    splitter = sinks.LateSplitter(spark, f"{base}/tables")
+    calls = sinks.Callbacks()
+    calls.add(splitter)
+    on_time = F.col("timestamp") >= F.lit(str(cut)).cast("timestamp")
+    landing = f"{base}/landing"
+    for part in (rows.filter(on_time), rows.filter(~on_time)):
+        part.write.mode("append").parquet(landing)
+        stream = pipeline.read_sales(spark, landing, schema=rows.schema)
+        sinks.start_callbacks(stream, calls, f"{base}/checkpoint").awaitTermination()
+    return splitter.read("late")
+
+
+@query("stream_metrics")
+def stream_metrics(spark, d):
+    """Counters of a drained stream."""
+    base = fresh_path(spark, "metrics")
+    sales = pipeline.read_event_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])
+    run = sinks.start_append(sales, f"{base}/out", f"{base}/checkpoint")
+    run.awaitTermination()
+    return sinks.stream_stats(run, spark, latest=spark.read.schema(sales.schema).parquet(f"{base}/out"))
