@@ -69,10 +69,18 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def grow_trees(pool: DataFrame, columns: list[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """Node table of the forest."""
-    spread = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "_h"), "_h", *columns)
-    chosen = spread.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample)
+    """Node table of the forest.
+
+    A full pool is dealt out, one hand per tree; from a smaller one every tree draws its own rows.
+    """
+    order = Window.partitionBy().orderBy("_h", *columns)  # at most trees x sample rows
+    numbered = pool.withColumn("_r", F.row_number().over(order) - 1)
+    if len(pool.select("_h").take(trees * sample)) == trees * sample:
+        chosen = numbered.withColumn("tree", (F.col("_r") % trees).cast("int"))
+    else:
+        spread = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "_r"), "_r")
+        chosen = spread.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -86,6 +94,38 @@ def grow_trees(pool: DataFrame, columns: list[str], trees: int, sample: int, see
     return chosen.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
+def _complete(nodes: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Every tree as a complete binary tree, so a step down is one comparison.
+
+    Leaves above the last level repeat downwards. The extra last cell of ``path`` keeps the value
+    of the root: the mean path over the tree's subsample.
+    """
+    trees = 1 + max(n[0] for n in nodes)
+    by_tree: list[dict] = [{} for _ in range(trees)]
+    for n in nodes:
+        by_tree[n[0]][n[1]] = n
+    def depth(tree, node):
+        n = tree[node]
+        return 0 if n[2] < 0 else 1 + max(depth(tree, n[4]), depth(tree, n[5]))
+    levels = max(depth(t, 0) for t in by_tree)
+    width = 2 ** (levels + 1) - 1
+    feature, cut = np.zeros((trees, width), np.int64), np.full((trees, width), np.inf)
+    path = np.zeros((trees, width + 1))
+    for t, tree in enumerate(by_tree):
+        todo = [(0, 0)]
+        while todo:
+            at, node = todo.pop()
+            _, _, f, c, left, right, p = tree[node]
+            path[t, at] = p
+            if f >= 0:
+                feature[t, at], cut[t, at] = f, c
+                todo += [(2 * at + 1, left), (2 * at + 2, right)]
+            elif 2 * at + 1 < width:
+                todo.append((2 * at + 1, node))
+        path[t, -1] = path[t, 0]
+    return feature, cut, path, levels
+
+
 @dataclass
 class ForestModel:
     columns: list[str]
@@ -94,30 +134,19 @@ class ForestModel:
 
     def score_column(self, spark: SparkSession) -> Column:
         """Anomaly score in (0, 1], near 1 for rows that isolate quickly."""
-        trees = 1 + max(n[0] for n in self.nodes)
-        width = 1 + max(n[1] for n in self.nodes)
-        feature, left, right = (np.full((trees, width), -1, np.int32) for _ in range(3))
-        cut, path = np.zeros((trees, width)), np.zeros((trees, width))
-        for t, n, f, c, l, r, p in self.nodes:
-            feature[t, n], cut[t, n], left[t, n], right[t, n], path[t, n] = f, c, l, r, p
-        shared = spark.sparkContext.broadcast((feature, cut, left, right, path))
-        scale = float(path[:, 0].mean()) or 1.0  # a root holds the mean path of its subsample
+        shared = spark.sparkContext.broadcast(_complete(self.nodes))
 
         @F.pandas_udf("double")
         def score(features: pd.DataFrame) -> pd.Series:
-            feature, cut, left, right, path = shared.value
-            x = features.to_numpy(float)
-            rows, total = np.arange(len(x)), np.zeros(len(x))
-            for t in range(len(feature)):
-                at = np.zeros(len(x), np.int32)
-                while True:
-                    f = feature[t, at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    goes_left = x[rows, np.where(inner, f, 0)] <= cut[t, at]
-                    at = np.where(inner, np.where(goes_left, left[t, at], right[t, at]), at)
-                total += path[t, at]
+            feature, cut, path, levels = shared.value
+            x = np.ascontiguousarray(features.to_numpy(float))
+            base, flat, total = np.arange(len(x)) * x.shape[1], x.ravel(), np.zeros(len(x))
+            for f, c, p in zip(feature, cut, path):
+                at = np.zeros(len(x), np.int64)
+                for _ in range(levels):
+                    at = 2 * at + 1 + (flat[base + f[at]] > c[at])
+                total += p[at]
+            scale = float(path[:, -1].mean()) or 1.0
             return pd.Series(np.power(2.0, -total / len(feature) / scale))
 
         return score(F.struct(*[_feature(c).alias(c) for c in self.columns]))

@@ -2,7 +2,8 @@
 
 The built-in exact ``percentile`` gathers every distinct value in one task. Here a sketch first
 brackets each wanted rank, a second pass counts what lies below and inside the bracket, and only
-the distinct values inside are ranked. Each round narrows the bracket about 2,000-fold.
+the distinct values inside, about a thousandth of all, are ranked. A bracket that misses its rank
+or still holds too many values is narrowed further on its own.
 """
 
 from __future__ import annotations
@@ -15,31 +16,63 @@ from pyspark.sql import functions as F
 ACCURACY = 4_000
 
 
-def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], small: int = 1_000_000) -> dict[tuple[str, float], float | None]:
+def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], small: int = 100_000) -> dict[tuple[str, float], float | None]:
     """Linearly interpolated quantiles, as {(column, p): value}; None for a column without values.
 
-    Up to ``small`` values the built-in aggregate does the work in one task of bounded size.
+    Three passes over the needed columns, whatever the number of quantiles: sketch, count, rank.
+    A column of at most ``small`` values takes two, the built-in aggregate doing the second.
     """
-    doubles = {c: F.col(c).cast("double") for c in spec}
-    counts = df.agg(*[F.count(doubles[c]).alias(c) for c in spec]).first()
+    value = {c: F.col(c).cast("double") for c in spec}
+    margin = 2.0 / ACCURACY
+    probs = {c: [x for p in ps for x in (max(0.0, p - margin), min(1.0, p + margin))] for c, ps in spec.items()}
+    sketch = df.agg(*[F.count(value[c]).alias(f"n_{c}") for c in spec],
+                    *[F.percentile_approx(value[c], probs[c], ACCURACY).alias(f"q_{c}") for c in spec]).first()
     out: dict[tuple[str, float], float | None] = {}
-    tiny = {c: ps for c, ps in spec.items() if counts[c] <= small}
+    tiny = [c for c in spec if sketch[f"n_{c}"] <= small]
     if tiny:
-        row = df.agg(*[F.percentile(doubles[c], F.array(*[F.lit(p) for p in ps])).alias(c)
-                       for c, ps in tiny.items()]).first()
-        for c, ps in tiny.items():
-            out.update({(c, p): (row[c][i] if row[c] else None) for i, p in enumerate(ps)})
-    for c, ps in spec.items():
-        if c not in tiny:
-            out.update({(c, p): _one_quantile(df, doubles[c], p, counts[c], small) for p in ps})
+        row = df.agg(*[F.percentile(value[c], F.array(*[F.lit(p) for p in spec[c]])).alias(c) for c in tiny]).first()
+        out.update({(c, p): (row[c][i] if row[c] else None) for c in tiny for i, p in enumerate(spec[c])})
+    wanted = []
+    for c in spec:
+        n, cuts = sketch[f"n_{c}"], sketch[f"q_{c}"]
+        for i, p in enumerate(spec[c] if c not in tiny else []):
+            lo = cuts[2 * i] if p - margin > 0 else -math.inf
+            hi = cuts[2 * i + 1] if p + margin < 1 else math.inf
+            wanted.append((c, p, n, lo, hi))
+    if wanted:
+        out.update(_bracketed(df, value, wanted, small))
     return out
 
 
-def _one_quantile(df: DataFrame, value: Column, p: float, n: int, small: int) -> float:
-    position = p * (n - 1)
-    rank = math.floor(position)
-    low, high = _order_pair(df.select(value.alias("v")).filter(F.col("v").isNotNull()), rank, n, small)
-    return low + (high - low) * (position - rank)
+def _bracketed(df: DataFrame, value: dict[str, Column], wanted: list[tuple], small: int) -> dict[tuple[str, float], float]:
+    inside = [value[c].between(lo, hi) for c, _, _, lo, hi in wanted]
+    seen = df.agg(*[e.alias(f"{k}{j}") for j, (c, _, _, lo, _) in enumerate(wanted) for k, e in (
+        ("b", F.count_if(value[c] < lo)), ("i", F.count_if(inside[j])),
+        ("d", F.approx_count_distinct(F.when(inside[j], value[c]))))]).first()
+    pairs: dict[int, tuple[float, float]] = {}
+    ranks, open_ = {}, []
+    for j, (c, p, n, lo, hi) in enumerate(wanted):
+        rank = math.floor(p * (n - 1))
+        last, below, kept = min(rank + 1, n - 1), seen[f"b{j}"], seen[f"i{j}"]
+        ranks[j] = rank
+        if not (below <= rank and last < below + kept) or seen[f"d{j}"] > small:
+            pairs[j] = _order_pair(df.select(value[c].alias("v")).filter(F.col("v").isNotNull()), rank, n, small)
+        elif lo == hi:
+            pairs[j] = lo, lo
+        else:
+            open_.append((j, rank - below, last - below))
+    if open_:
+        hits = F.array_compact(F.array(*[F.when(inside[j], F.struct(F.lit(j).alias("j"), value[wanted[j][0]].alias("v")))
+                                         for j, _, _ in open_]))
+        histogram = df.select(F.inline(hits)).groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
+        ranked = histogram.withColumn("upto", F.sum("n").over(Window.partitionBy("j").orderBy("v")))
+        def above(which: int) -> Column:
+            offset = F.element_at(F.create_map(*[F.lit(x) for o in open_ for x in (o[0], o[which])]), F.col("j"))
+            return F.min(F.when(F.col("upto") > offset, F.col("v")))
+        for r in ranked.groupBy("j").agg(above(1).alias("low"), above(2).alias("high")).collect():
+            pairs[r.j] = r.low, r.high
+    return {(c, p): pairs[j][0] + (pairs[j][1] - pairs[j][0]) * (p * (n - 1) - ranks[j])
+            for j, (c, p, n, _, _) in enumerate(wanted)}
 
 
 def _order_pair(values: DataFrame, rank: int, n: int, small: int) -> tuple[float, float]:
