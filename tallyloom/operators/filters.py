@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import labels
 from ..functions.dates import timestamp_literal
@@ -18,8 +19,14 @@ def newest(df: DataFrame, column: str = "timestamp") -> datetime | None:
 
 
 def trailing(df: DataFrame, days: int, as_of: datetime) -> DataFrame:
-    """Rows from ``days`` before ``as_of``, with no upper bound."""
-    return df.filter(F.col("timestamp") >= timestamp_literal(as_of - timedelta(days=days)))
+    """Rows from ``days`` before ``as_of``, with no upper bound.
+
+    A table written by month is also filtered on its folder column, so older folders are not listed.
+    """
+    start = as_of - timedelta(days=days)
+    if dict(df.dtypes).get("month") == "string":
+        df = df.filter(F.col("month") >= start.strftime("%Y-%m"))
+    return df.filter(F.col("timestamp") >= timestamp_literal(start))
 
 
 def matching(df: DataFrame, category: str | None = None, region: str | None = None) -> DataFrame:
@@ -69,7 +76,6 @@ def with_columns_defaulted(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numeric_columns(df: DataFrame, exclude: set[str] = frozenset()) -> list[str]:
-    from pyspark.sql.types import NumericType
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 

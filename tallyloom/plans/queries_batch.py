@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, labels, numbers
 from ..operators import aggregates, dedupe, features, filters, kpis, quality, ranking, series
 from ..sources import files, unified
-from ..sources.star import latest_sale, load_dirty_sales, load_event_sales, load_sales
+from ..sources.star import latest_sale, load_dirty_sales, load_event_sales, load_newest_sales, load_sales
 from .registry import (ROLLED, daily_ctes, last_days, on_dirty, on_events, on_sales, plain, query, rounded)
 
 DAILY_COLS = ["timestamp", "transaction_id", "quantity", "unit_price", "total_amount", "customer_id"]
@@ -40,7 +40,7 @@ def event_scan(spark, d):
 
 @query("latest_n", on_sales(f"select {SCAN} from sales order by ts desc, transaction_id desc limit 100"))
 def latest_n(spark, d):
-    return plain(unified.latest(load_sales(spark, d), 100))
+    return plain(unified.latest(load_newest_sales(spark, d, 100), 100))
 
 
 @query("since", on_sales(f"select {SCAN} from sales where {last_days(90)}"))
@@ -64,7 +64,7 @@ def unified_scan(spark, d):
 @query("tail_load", on_sales("""select ts as "timestamp", transaction_id, cast(total_amount as double) as total_amount
 from sales order by ts desc, transaction_id desc limit 10000"""))
 def tail_load(spark, d):
-    return plain(files.load_tail(load_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])))
+    return plain(files.load_tail(load_newest_sales(spark, d, 10_000, ["timestamp", "transaction_id", "total_amount"])))
 
 
 @query("export_projection", on_sales("""select cast(ts as varchar) as "timestamp", transaction_id, product_name, category, region,
@@ -401,7 +401,7 @@ def trailing_features(spark, d):
 # ------------------------------------------------------------------ ranking
 @query("page_transactions", on_sales(f"select {SCAN} from sales order by ts desc, transaction_id desc limit 100 offset 500"))
 def page_transactions(spark, d):
-    return plain(ranking.page(load_sales(spark, d), 100, 500))
+    return plain(ranking.page(load_newest_sales(spark, d, 600), 100, 500))
 
 
 @query("page_total", on_sales("select count(*) as total from sales"))
@@ -460,7 +460,7 @@ def scatter_index(spark, d):
   product_name as product, category, region, quantity, concat('$', format('{:.2f}', cast(total_amount as double))) as amount, 'Normal' as status
 from sales order by ts desc, transaction_id desc limit 20"""))
 def transactions_table(spark, d):
-    return ranking.transactions_table(load_sales(spark, d))
+    return ranking.transactions_table(load_newest_sales(spark, d, 20))
 
 
 # ------------------------------------------------------------------ functions

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import SALES_SCHEMA
 
@@ -12,8 +13,10 @@ EXPORT_COLUMNS = ["timestamp", "transaction_id", "product_name", "category", "re
                   "unit_price", "total_amount"]
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet", schema=SALES_SCHEMA) -> DataFrame:
-    reader = spark.read.schema(schema)
+def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet", schema=SALES_SCHEMA,
+                      by_month: bool = False) -> DataFrame:
+    """Transactions of a declared schema; ``by_month`` adds the folder column of ``write_table``."""
+    reader = spark.read.schema(StructType([*schema.fields, StructField("month", StringType())]) if by_month else schema)
     if fmt == "csv":
         return reader.option("header", True).csv(path)
     return reader.format(fmt).load(path)

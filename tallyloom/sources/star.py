@@ -88,6 +88,22 @@ def latest_sale(spark: SparkSession, sf_dir: str) -> datetime | None:
     return None
 
 
+def load_newest_sales(spark: SparkSession, sf_dir: str, rows: int, columns: list[str] | None = None) -> DataFrame:
+    """A tail of the sales view that holds at least the newest ``rows`` rows.
+
+    Top-n and page queries need only that tail. Short tails are tried first, each with its start
+    pushed into the order scan; the whole view is the last resort.
+    """
+    newest = latest_sale(spark, sf_dir)
+    for days in (7, 31, 366):
+        if newest is None:
+            break
+        start = newest - timedelta(days=days)
+        if load_sales(spark, sf_dir, ["timestamp"], start).limit(rows).count() >= rows:
+            return load_sales(spark, sf_dir, columns, start)
+    return load_sales(spark, sf_dir, columns)
+
+
 def shape_events(events: DataFrame, customers: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Event rows as sales; works on a batch or a streaming frame.
 

@@ -197,6 +197,10 @@ def test_files(spark, sf, tmp_path):
     assert back.exceptAll(rows).count() == 0
     files.write_table(rows, f"{tmp_path}/table")
     assert files.read_transactions(spark, f"{tmp_path}/table").count() == rows.count()
+    monthly = files.read_transactions(spark, f"{tmp_path}/table", by_month=True)
+    recent = filters.trailing(monthly, 30, datetime(2001, 7, 30))
+    assert "month#" in plan(recent).split("PartitionFilters: [")[1].split("]")[0]
+    assert recent.count() == filters.trailing(rows, 30, datetime(2001, 7, 30)).count()
     files.add_transactions(spark, [rows.first().asDict()], f"{tmp_path}/landing")
     assert files.read_transactions(spark, f"{tmp_path}/landing").count() == 1
     files.export_csv(rows.limit(3), f"{tmp_path}/export")
