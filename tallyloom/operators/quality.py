@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -14,7 +14,6 @@ from .quantiles import exact_quantiles
 
 NUMERIC = ["quantity", "unit_price", "total_amount"]
 CATEGORICAL = ["category", "region", "payment_method"]
-CHECKS_SCHEMA = "check string, column string, count bigint, level string"
 
 
 def missing_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> list[str]:
@@ -22,46 +21,52 @@ def missing_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> li
     return [c for c in required if c not in df.columns]
 
 
+def _check(check: str, column: str | None, count: Column, level: Column) -> Column:
+    return F.struct(F.lit(check).alias("check"), F.lit(column).cast("string").alias("column"),
+                    count.cast("bigint").alias("count"), level.alias("level"))
+
+
+def _profile(df: DataFrame, required: list[str]) -> tuple[list[Column], list[Column], Column]:
+    """Aggregates, the rows made of them, and whether they show no fault."""
+    present, absent = [c for c in required if c in df.columns], missing_columns(df, required)
+    totals = [F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in present]]
+    size, nulls = F.col("_rows"), {c: F.col(f"_null_{c}") for c in present}
+    rows = [_check("row_count", None, size, F.lit("info")),
+            _check("column_count", None, F.lit(len(df.columns)), F.lit("info")),
+            _check("empty", None, (size == 0).cast("bigint"), F.when(size == 0, "error").otherwise("ok"))]
+    rows += [_check("missing", c, F.lit(1), F.lit("error")) for c in absent]
+    rows += [_check("nulls", c, n, F.when(n > 0, "error").otherwise("ok")) for c, n in nulls.items()]
+    sound = (size > 0) & F.lit(not absent)
+    for n in nulls.values():
+        sound = sound & (n == 0)
+    return totals, rows, sound
+
+
 def profile(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
     """Row count, column count, missing columns and nulls per required column, in one pass."""
-    present = [c for c in required if c in df.columns]
-    totals = df.agg(F.count(F.lit(1)).alias("_rows"),
-                    *[F.count_if(F.col(c).isNull()).alias(c) for c in present])
-    def row(check, column, count, level):
-        return F.struct(F.lit(check).alias("check"), F.lit(column).cast("string").alias("column"),
-                        count.cast("bigint").alias("count"), level.alias("level"))
-    info = F.lit("info")
-    rows = [row("row_count", None, F.col("_rows"), info),
-            row("column_count", None, F.lit(len(df.columns)), info),
-            row("empty", None, (F.col("_rows") == 0).cast("bigint"),
-                F.when(F.col("_rows") == 0, "error").otherwise("ok"))]
-    rows += [row("missing", c, F.lit(1), F.lit("error")) for c in missing_columns(df, required)]
-    rows += [row("nulls", c, F.col(c), F.when(F.col(c) > 0, "error").otherwise("ok")) for c in present]
-    return totals.select(F.inline(F.array(*rows)))
+    totals, rows, _ = _profile(df, required)
+    return df.agg(*totals).select(F.inline(F.array(*rows)))
 
 
 def validate(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
-    """The profile, plus type and sign checks that count only when the profile is clean."""
+    """The profile, plus type and sign checks that count only when the profile is clean. One pass."""
     types = {f.name: f.dataType for f in df.schema}
+    totals, rows, sound = _profile(df, required)
     checks = []
     if "timestamp" in types:
         bad = dates.to_datetime(F.col("timestamp").cast("string")).isNull() & F.col("timestamp").isNotNull()
         checks.append(("timestamp_format", "timestamp", F.count_if(bad), "error"))
     for c in NUMERIC:
         if c in types:
-            wrong = 0 if isinstance(types[c], NumericType) else 1
-            checks.append(("not_numeric", c, F.max(F.lit(wrong)), "error"))
+            checks.append(("not_numeric", c, F.max(F.lit(0 if isinstance(types[c], NumericType) else 1)), "error"))
     if "total_amount" in types:
-        negative = numbers.to_number(F.col("total_amount")) < 0
-        checks.append(("negative", "total_amount", F.count_if(negative), "warning"))
-    base = profile(df, required)
-    errors = base.agg(F.count_if(F.col("level") == "error")).scalar()
-    extra = df.agg(*[e.alias(f"c{i}") for i, (_, _, e, _) in enumerate(checks)]).select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("check"), F.lit(column).alias("column"),
-                 F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("bigint").alias("count"),
-                 F.when(F.col(f"c{i}") > 0, level).otherwise("ok").alias("level"))
-        for i, (name, column, _, level) in enumerate(checks)])))
-    return base.unionByName(extra.filter(errors == 0))
+        checks.append(("negative", "total_amount", F.count_if(numbers.to_number(F.col("total_amount")) < 0), "warning"))
+    counts = [e.alias(f"_check_{i}") for i, (_, _, e, _) in enumerate(checks)]
+    extra = [_check(name, column, F.coalesce(F.col(f"_check_{i}"), F.lit(0)),
+                    F.when(F.col(f"_check_{i}") > 0, level).otherwise("ok"))
+             for i, (name, column, _, level) in enumerate(checks)]
+    every = F.concat(F.array(*rows), F.filter(F.array(*extra), lambda _: sound))
+    return df.agg(*totals, *counts).select(F.inline(every))
 
 
 def is_valid(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> tuple[bool, list[str]]:
@@ -133,7 +138,6 @@ def forward_fill_rows(df: DataFrame, column: str, order: list[str]) -> DataFrame
     a frame with one row per range. ``order`` must be a total order, which also splits any hot
     timestamp over many ranges.
     """
-    from pyspark.sql import Window
     coerced = df.withColumn(column, numbers.to_number(F.col(column)))
     ranged = stage(coerced.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     known = F.col(column).isNotNull()

@@ -10,7 +10,9 @@ from ..operators import filters
 from ..operators.anomaly import density, report, stats
 from ..operators.anomaly.detector import AnomalyDetector, MultiDimensionalDetector
 from ..operators.features import Scaler
+from ..session import fresh_path
 from ..sources.star import load_event_sales, load_sales
+from . import jobs
 from .registry import on_events, on_sales, query, rounded
 
 FEATURES = ["quantity", "unit_price", "total_amount"]
@@ -228,3 +230,21 @@ def lof_scores(spark, d):
     rows = load_event_sales(spark, d, ["transaction_id", "quantity", "total_amount"])
     fitted = AnomalyDetector("lof").fit(rows, ["quantity", "total_amount"])
     return fitted.transform(rows).select("transaction_id", "anomaly_score", "is_anomaly_ml", "is_anomaly_zscore", "is_anomaly", "severity")
+
+
+@query("detector_round_trip", on_events(f"with {DETECTED} select transaction_id, flag as is_anomaly, round(abs(z),4) as anomaly_score, severity from det"))
+def detector_round_trip(spark, d):
+    """A detector saved, loaded and applied."""
+    rows = load_event_sales(spark, d, ["transaction_id", "total_amount"])
+    path = AnomalyDetector("zscore").fit(rows, ["total_amount"]).save(spark, fresh_path(spark, "detector"))
+    out = AnomalyDetector.load(spark, path).transform(rows)
+    return rounded(out.select("transaction_id", "is_anomaly", "anomaly_score", "severity"), "anomaly_score")
+
+
+@query("job_train_anomaly")
+def job_train_anomaly(spark, d):
+    """The training job: isolation forest at 2 % contamination, saved, loaded and applied to all sales."""
+    rows = load_sales(spark, d, ["transaction_id", *FEATURES])
+    path = fresh_path(spark, "forest")
+    jobs.train_anomaly(rows, path)
+    return AnomalyDetector.load(spark, path).transform(rows).select("transaction_id", "is_anomaly_ml", "is_anomaly", "severity_z")

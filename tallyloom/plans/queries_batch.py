@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, labels, numbers
 from ..operators import aggregates, dedupe, features, filters, kpis, quality, ranking, series
+from ..operators.quantiles import exact_quantiles
+from ..session import fresh_path
 from ..sources import files, unified
 from ..sources.star import latest_sale, load_dirty_sales, load_event_sales, load_newest_sales, load_sales
 from .registry import (ROLLED, daily_ctes, last_days, on_dirty, on_events, on_sales, plain, query, rounded)
@@ -83,6 +85,20 @@ def json_records(spark, d):
         F.get_json_object("record", "$.transaction_id").alias("transaction_id"), "record")
 
 
+@query("csv_round_trip", on_sales(f"select {SCAN} from sales"))
+def csv_round_trip(spark, d):
+    path = files.write_csv(load_sales(spark, d), fresh_path(spark, "csv"))
+    return plain(files.read_transactions(spark, path, "csv"))
+
+
+@query("month_table", on_sales(f"select {SCAN}, strftime(ts, '%Y-%m') as month from sales where {last_days(90)}"))
+def month_table(spark, d):
+    """The sales table written by month, then its last 90 days: other folders are never opened."""
+    path = files.write_table(load_sales(spark, d), fresh_path(spark, "months"))
+    rows = files.read_transactions(spark, path, by_month=True)
+    return plain(filters.trailing(rows, 90, latest_sale(spark, d)))
+
+
 # ------------------------------------------------------------------ history
 @query("history_daily", on_sales(f"with r as (select * from sales where {last_days(30)}), {daily_ctes('r')} select * from g"))
 def history_daily(spark, d):
@@ -664,7 +680,6 @@ def fill_numeric(spark, d):
   median(cast(total_amount as double)) as median, quantile_cont(cast(total_amount as double),0.75) as q3, quantile_cont(cast(total_amount as double),0.99) as p99,
   quantile_cont(cast(total_amount as double),0.75)-quantile_cont(cast(total_amount as double),0.25) as iqr from sales"""))
 def quantiles(spark, d):
-    from ..operators.quantiles import exact_quantiles
     q = exact_quantiles(load_sales(spark, d, ["total_amount"]), {"total_amount": [0.01, 0.25, 0.5, 0.75, 0.99]})
     p1, q1, med, q3, p99 = (q["total_amount", p] for p in (0.01, 0.25, 0.5, 0.75, 0.99))
     return spark.createDataFrame([(p1, q1, med, q3, p99, q3 - q1)], "p1 double, q1 double, median double, q3 double, p99 double, iqr double")

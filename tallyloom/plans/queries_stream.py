@@ -7,9 +7,11 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..operators import filters
+from ..operators.anomaly import report
 from ..operators.anomaly.stats import ColumnStats
 from ..session import fresh_path
 from ..sources.star import load_event_sales
+from ..sources.unified import unified_scan
 from ..streaming import pipeline, sinks
 from .queries_anomaly import DETECTED
 from .registry import on_events, plain, query, rounded
@@ -59,6 +61,26 @@ def stream_zscore(spark, d):
     return rounded(out.select("transaction_id", "total_amount_zscore", "severity"), "total_amount_zscore")
 
 
+@query("stream_anomaly_history", on_events(f"""with {DETECTED} select transaction_id, ts as "timestamp", severity from det where flag=1 and severity in ('high','critical')
+order by ts desc, transaction_id desc limit 10"""))
+def stream_anomaly_history(spark, d):
+    """Flagged arrivals kept as history; the newest ten of at least high severity."""
+    fitted = ColumnStats.fit(load_event_sales(spark, d, ["total_amount"]), ["total_amount"])
+    sales = pipeline.read_event_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])
+    history = sinks.run_to_end(filters.flagged(pipeline.score(sales, fitted)), "history")
+    return report.recent(history, 10, "high").select("transaction_id", "timestamp", "severity")
+
+
+@query("stream_unified", on_events('select transaction_id, ts as "timestamp", cast(total_amount as double) as total_amount from sales'))
+def stream_unified(spark, d):
+    """Deduplicated live rows over history that overlaps them: every id once."""
+    cols = ["timestamp", "transaction_id", "total_amount"]
+    rows = load_event_sales(spark, d, cols)
+    history = rows.filter(F.col("timestamp") < filters.newest(rows) - timedelta(days=5))
+    live = sinks.run_to_end(pipeline.deduplicate(pipeline.read_event_sales(spark, d, cols)), "live")
+    return plain(unified_scan(live, history))
+
+
 @query("stream_last_n", on_events('select transaction_id, ts as "timestamp", cast(total_amount as double) as total_amount from sales order by ts desc, transaction_id desc limit 1000'))
 def stream_last_n(spark, d):
     base = fresh_path(spark, "last-n")

@@ -11,7 +11,7 @@ from tallyloom.operators.quantiles import exact_quantiles, weighted_quantile
 from tallyloom.plans.analytics import SalesAnalytics
 from tallyloom.schema import SALES_SCHEMA
 from tallyloom.sources import files, unified
-from tallyloom.sources.star import load_event_sales, load_sales
+from tallyloom.sources.star import load_event_sales, load_newest_sales, load_sales
 
 
 def sales_rows(spark, rows):
@@ -230,3 +230,11 @@ def test_only_needed_tables_and_columns(spark, sf):
 def test_no_python_in_sql_paths(spark, sf):
     for df in (series.daily_features(load_sales(spark, sf)), aggregates.by_region(load_sales(spark, sf)), ranking.trend(load_sales(spark, sf))):
         assert "Python" not in plan(df) and "CartesianProduct" not in plan(df)
+
+
+def test_tail_is_enough(spark, sf):
+    want = [r.transaction_id for r in unified.latest(load_sales(spark, sf), 50).collect()]
+    tail = load_newest_sales(spark, sf, 50)
+    assert [r.transaction_id for r in unified.latest(tail, 50).collect()] == want
+    assert "GreaterThanOrEqual(o_orderdate" in plan(tail)
+    assert load_newest_sales(spark, sf, 10 ** 9).count() == load_sales(spark, sf).count()

@@ -100,3 +100,19 @@ def test_jobs(spark, sf, tmp_path):
     out = jobs.refresh_insights(sales, f"{tmp_path}/insights")
     assert out.filter("rule = 'volume'").count() == 1
     jobs.refresh_insights(sales, f"{tmp_path}/insights")
+
+
+def test_timed_refresh(spark, sf, tmp_path):
+    import time
+    done = []
+    def refresh(batch, batch_id):
+        batch.groupBy("category").count().write.mode("overwrite").parquet(f"{tmp_path}/table")
+        done.append(batch_id)
+    stream = pipeline.read_event_sales(spark, sf, ["category"])
+    run = sinks.start_refresh(stream, refresh, f"{tmp_path}/cp", every="1 second")
+    for _ in range(60):
+        if done:
+            break
+        time.sleep(0.5)
+    run.stop()
+    assert done and spark.read.parquet(f"{tmp_path}/table").count() == 5
