@@ -713,13 +713,15 @@ def inference_rows(spark, d):
 
 
 @query("prepared_daily", on_dirty(f"""{_CLEAN}, fin as (select ts, transaction_id, q, pr, case when abs(amt-q*pr)/(q*pr) > 0.1 then q*pr else amt end as amt from fx)
-select cast(ts as date) as date, count(*) as transaction_count, round(sum(amt),6) as total_revenue, cast(sum(q) as bigint) as total_quantity, round(avg(pr),4) as avg_unit_price from fin group by 1"""))
+select cast(ts as date) as date, count(*) as transaction_count, cast(floor(sum(amt)*100+0.314159) as bigint) as revenue_cents, cast(sum(q) as bigint) as total_quantity, cast(floor(avg(pr)*100+0.314159) as bigint) as price_cents from fin group by 1"""))
 def prepared_daily(spark, d):
     rows = load_dirty_sales(spark, d)
     featured, _ = features.pipeline(rows.withColumn("customer_id", F.lit("none")), strict=False,
                                     order=["timestamp", "l_partkey", "l_suppkey", "total_amount"])
-    out = aggregates.daily(featured).select("date", "transaction_count", "total_revenue", "total_quantity", "avg_unit_price")
-    return rounded(rounded(out, "total_revenue", digits=6), "avg_unit_price")
+    # whole cents, cut where neither halves nor decimal fractions fall: sums of doubles differ in the last digit
+    cents = lambda c: F.floor(F.col(c) * 100 + 0.314159)
+    return aggregates.daily(featured).select("date", "transaction_count", cents("total_revenue").alias("revenue_cents"),
+                                             "total_quantity", cents("avg_unit_price").alias("price_cents"))
 
 
 @query("inject_events", on_sales("""with r as (select as_of from ref),
