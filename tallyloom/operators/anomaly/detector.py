@@ -34,6 +34,7 @@ class AnomalyDetector:
     stats: ColumnStats | None = None
     forest: forest.ForestModel | None = None
     reference: DataFrame | None = None
+    index: neighbours.NeighbourIndex | None = None
     threshold: float | None = None
     fences: dict[str, tuple[float, float]] | None = None
 
@@ -42,7 +43,7 @@ class AnomalyDetector:
         self.stats = ColumnStats.fit(df, self.columns + [c for c in PRIMARY if c in df.columns])
         self.scaler = Scaler.fit(df, self.columns)
         if self.algorithm == "lof":
-            self.reference = neighbours.fit(self.scaler.transform(df.select(*self.columns)), self.columns)
+            self.reference, self.index = neighbours.fit(self.scaler.transform(df.select(*self.columns)), self.columns)
             self.threshold = weighted_quantile(self.reference, "lof", "w", 1.0 - self.contamination)
         elif self.algorithm == "iqr":
             q = exact_quantiles(df, {c: [0.25, 0.75] for c in self.columns})
@@ -58,7 +59,7 @@ class AnomalyDetector:
         missing = [c for c in self.columns if c not in df.columns]
         out = df.withColumns({c: F.lit(0.0) for c in missing}) if missing else df
         if self.algorithm == "lof":
-            out = neighbours.score(out, self.reference, self.columns, self.scaler)
+            out = neighbours.score(out, self.reference, self.columns, self.scaler, index=self.index)
             out = out.withColumn("anomaly_score", F.col("lof") - self.threshold).drop("lof")
             out = out.withColumn("is_anomaly_ml", (F.col("anomaly_score") > 0).cast("int"))
         elif self.algorithm == "dbscan":

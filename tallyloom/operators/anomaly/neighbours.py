@@ -150,24 +150,26 @@ def _distinct(df: DataFrame, cells: list[Column]) -> DataFrame:
     return df.select(F.array(*cells).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w"))
 
 
-def fit(scaled: DataFrame, columns: list[str], k: int = K) -> DataFrame:
-    """Distinct training points with weight, k-distance, density and outlier factor."""
+def fit(scaled: DataFrame, columns: list[str], k: int = K) -> tuple[DataFrame, NeighbourIndex]:
+    """Distinct training points with weight, k-distance, density and outlier factor; and their index."""
     points = stage(_distinct(scaled, [F.col(c).cast("double") for c in columns]), "points")
-    near = stage(NeighbourIndex(points, len(columns)).nearest(points, k, exclude_self=True), "near")
+    index = NeighbourIndex(points, len(columns))
+    near = stage(index.nearest(points, k, exclude_self=True), "near")
     kdist = near.groupBy("q").agg(F.max("dist").alias("kdist"))
     named = kdist.withColumnRenamed("q", "x")
-    own = stage(_density(near, named), "density")
-    lof = _factor(near, own, own.withColumnRenamed("q", "x"))
-    out = (points.join(named, "x", "left").join(own.withColumnRenamed("q", "x"), "x", "left")
-           .join(lof.withColumnRenamed("q", "x"), "x", "left"))
-    return stage(out.fillna(1.0, subset=["lof"]), "lof")
+    own = stage(_density(near, named), "density").withColumnRenamed("q", "x")
+    lof = _factor(near, own.withColumnRenamed("x", "q"), own).withColumnRenamed("q", "x")
+    out = points.join(named, "x", "left").join(own, "x", "left").join(lof, "x", "left")
+    return stage(out.fillna(1.0, subset=["lof"]), "lof"), index
 
 
-def score(df: DataFrame, reference: DataFrame, columns: list[str], scaler: Scaler, k: int = K) -> DataFrame:
-    """Adds ``lof`` of each row against the training points."""
+def score(df: DataFrame, reference: DataFrame, columns: list[str], scaler: Scaler, k: int = K,
+          index: NeighbourIndex | None = None) -> DataFrame:
+    """Adds ``lof`` of each row against the training points; builds their index unless one is given."""
     cells = [scaler.expression(c) for c in columns]
     queries = stage(_distinct(df, cells), "queries")
-    near = stage(NeighbourIndex(reference.select("x", "w"), len(columns)).nearest(queries, k, exclude_self=False), "near")
+    index = index or NeighbourIndex(reference.select("x", "w"), len(columns))
+    near = stage(index.nearest(queries, k, exclude_self=False), "near")
     own = _density(near, reference.select("x", "kdist"))
     lof = _factor(near, own, reference.select("x", "lrd"))
     keyed = df.withColumn("_x", F.array(*cells))

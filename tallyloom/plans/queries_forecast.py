@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, series
@@ -115,18 +113,18 @@ def ar_cross_products(spark, d):
 
 
 # ------------------------------------------------------------------ models
-@lru_cache(maxsize=8)
-def _trained(app: str, sf_dir: str, algorithm: str) -> tuple[SalesForecastModel, DataFrame]:
-    """One fit per session, table folder and method; several queries ask about the same model."""
-    spark = SparkSession.getActiveSession()
-    frame = stage(series.daily_features(load_sales(spark, sf_dir, COLS)), "daily")
-    model = SalesForecastModel(algorithm)
-    model.train(frame)
-    return model, frame
+_fitted: dict[tuple[str, str, str], tuple[SalesForecastModel, DataFrame]] = {}
 
 
-def trained(spark, d, algorithm):
-    return _trained(spark.sparkContext.applicationId, d, algorithm)
+def trained(spark, d, algorithm) -> tuple[SalesForecastModel, DataFrame]:
+    """One fit per session, table folder and method; several queries ask about the same model."""
+    key = spark.sparkContext.applicationId, d, algorithm
+    if key not in _fitted:
+        frame = stage(series.daily_features(load_sales(spark, d, COLS)), "daily")
+        model = SalesForecastModel(algorithm)
+        model.train(frame)
+        _fitted[key] = model, frame
+    return _fitted[key]
 
 
 @query("ridge_forecast")

@@ -85,10 +85,8 @@ def stream_unified(spark, d):
 def stream_last_n(spark, d):
     base = fresh_path(spark, "last-n")
     latest = sinks.LatestTable(spark, f"{base}/latest", 1000)
-    calls = sinks.Callbacks()
-    calls.add(latest)
     sales = pipeline.read_event_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])
-    sinks.start_callbacks(sales, calls, f"{base}/checkpoint").awaitTermination()
+    sinks.start_batches(sales, latest, f"{base}/checkpoint").awaitTermination()
     return plain(latest.read())
 
 
@@ -109,14 +107,12 @@ def stream_late_rows(spark, d):
     rows = load_event_sales(spark, d, ["timestamp", "transaction_id"])
     cut = filters.newest(rows) - timedelta(days=10)
     splitter = sinks.LateSplitter(spark, f"{base}/tables")
-    calls = sinks.Callbacks()
-    calls.add(splitter)
     on_time = F.col("timestamp") >= F.lit(str(cut)).cast("timestamp")
     landing = f"{base}/landing"
     for part in (rows.filter(on_time), rows.filter(~on_time)):
         part.write.mode("append").parquet(landing)
         stream = pipeline.read_sales(spark, landing, schema=rows.schema)
-        sinks.start_callbacks(stream, calls, f"{base}/checkpoint").awaitTermination()
+        sinks.start_batches(stream, splitter, f"{base}/checkpoint").awaitTermination()
     return splitter.read("late")
 
 

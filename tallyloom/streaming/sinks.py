@@ -51,8 +51,13 @@ class Callbacks:
                 log.exception("handler failed on batch %s", batch_id)
 
 
-def start_callbacks(stream: DataFrame, callbacks: Callbacks, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(callbacks).option("checkpointLocation", checkpoint)
+def start_batches(stream: DataFrame, handler: Handler, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Call ``handler`` with every micro-batch.
+
+    Give a table sink directly: its failure must fail the batch, so that Spark repeats it. Wrap
+    handlers whose failure may be ignored in ``Callbacks``.
+    """
+    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -38,7 +38,7 @@ def brute_lof(x, y=None, k=20):
 def test_lof_is_exact(spark):
     x = points()
     df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
-    ref = neighbours.fit(df, ["a", "b"])
+    ref, index = neighbours.fit(df, ["a", "b"])
     got = {tuple(r.x): r.lof for r in ref.collect()}
     assert np.allclose([got[tuple(p)] for p in x], brute_lof(x))
     y = np.random.default_rng(9).uniform(-30, 30, (25, 2))
@@ -47,6 +47,8 @@ def test_lof_is_exact(spark):
     scored = neighbours.score(new, ref, ["a", "b"], same).toPandas().sort_values(["a", "b"])
     order = np.lexsort((y[:, 1], y[:, 0]))
     assert np.allclose(scored["lof"], brute_lof(x, y)[order])
+    again = neighbours.score(new, ref, ["a", "b"], same, index=index).toPandas().sort_values(["a", "b"])
+    assert np.allclose(again["lof"], scored["lof"])
 
 
 @pytest.mark.parametrize("d", [1, 2, 3])

@@ -52,7 +52,7 @@ def test_callbacks_are_isolated(spark, sf, tmp_path):
     calls.add(broken)
     calls.add(lambda batch, batch_id: seen.append(batch.count()))
     stream = pipeline.read_event_sales(spark, sf, ["timestamp", "transaction_id"])
-    sinks.start_callbacks(stream, calls, f"{tmp_path}/cp").awaitTermination()
+    sinks.start_batches(stream, calls, f"{tmp_path}/cp").awaitTermination()
     assert sum(seen) == load_event_sales(spark, sf, ["transaction_id"]).count()
     calls.remove(broken)
     assert len(calls.handlers) == 1
