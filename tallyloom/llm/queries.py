@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_rules
+from . import decontaminate, near_dedup, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+OP1_SQL = r"""with
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+g as (select distinct item_id, least(13, len(w)) as n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2),
+        lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) as p from b where len(w) > 0),
+k as (select distinct n from g),
+x as (select d.doc_id, k.n, unnest(range(1, len(d.w) - k.n + 2)) as i, d.w from d, k where len(d.w) >= k.n),
+h as (select x.doc_id, x.i, x.n, g.item_id from (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as p from x) x
+        join g on x.p = g.p and x.n = g.n),
+c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from h) group by doc_id),
+m as (select doc_id, count(*) as n_items, string_agg(t, ',' order by t) as ids
+      from (select distinct doc_id, cast(item_id as varchar) as t from h) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(c.n_hit, 0) as n_hit, coalesce(m.n_items, 0) as n_items,
+  sha256(coalesce(m.ids, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 and 20 * coalesce(c.n_hit, 0) >= len(d.w) as contaminated
+from d left join c on d.doc_id = c.doc_id left join m on d.doc_id = m.doc_id"""
+
+
+@query("op1_decontaminate", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and learned verdict of all documents."""
