@@ -23,11 +23,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def count_chars(text: Column, characters: str) -> Column:
-    """How many code points of ``text`` are among ``characters``."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
-
-
 def sized(keys: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``keys`` with a broadcast hint if its counted rows are within ``limit``, else as it is."""
     return F.broadcast(keys) if rows <= limit else keys
@@ -39,16 +34,16 @@ def staged_keys(keys: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> Dat
     return sized(kept, kept.count(), limit)
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running sums of an array of numbers, in about n log n steps.
+def _sums(values: Column) -> Column:
+    """0 and then the running sums; quadratic, for short arrays."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
 
-    Doubling: after step k every element holds the sum of its last 2^k values. Arrays of up to 2^24 elements.
-    """
-    out = values
-    for k in range(24):
-        step = 1 << k
-        out = let(out, lambda a, step=step: F.when(
-            F.size(a) > step,
-            F.zip_with(a, F.concat(F.array_repeat(F.lit(0).cast("long"), step), F.slice(a, 1, F.greatest(F.size(a) - step, F.lit(0)))),
-                       lambda x, y: x + y)).otherwise(a))
-    return out
+def prefix_sums(values: Column, block: int = 512) -> Column:
+    """Running sums of an array of longs: inside blocks, then over the blocks, so long arrays take no quadratic time."""
+    blocks = let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")),
+                                               lambda b: F.slice(v, b * block + 1, F.lit(block))))
+    inside = F.transform(blocks, lambda b: _sums(b))
+    shifted = let(inside, lambda p: F.zip_with(p, F.slice(_sums(F.transform(p, lambda x: F.element_at(x, -1))), F.lit(1), F.size(p)),
+                                               lambda x, o: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda y: y + o)))
+    return F.flatten(shifted)

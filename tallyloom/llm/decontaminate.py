@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import ascii_lower, let, staged_keys
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Distinct benchmark windows broadcast at once; a longer list is worked off in blocks of about this many.
@@ -19,7 +19,7 @@ BLOCK_WINDOWS = 300_000
 
 def words_of(text: Column) -> Column:
     """Words of the lower-cased whole text: runs of a-z, 0-9 and of all that is not ASCII. Null has none."""
-    return F.regexp_extract_all(ascii_lower(text.cast("string")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text.cast("string")), BETWEEN_WORDS), "")
 
 
 def _windows(hashes: Column, length: int) -> Column:

@@ -5,17 +5,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ..session import stage
 from .common import BROADCAST_ROWS, staged_keys
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-MEMO_WORDS = 1 << 20
+#: Longs of a set's bit map: bit h % 2048 is set for each of its shingles h.
+BITS = 32
 
 
 @dataclass(frozen=True)
@@ -38,22 +41,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, computed at first sight; emptied when it has grown too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of a text's ``width``-word shingles; of a shorter text, one for all its words."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z and ASCII white space
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(h)
     span = min(width, n)
     factors = mix((np.arange(1, span + 1, dtype=np.uint64) + np.uint64(1000 * span)) * GOLDEN) | np.uint64(1)
@@ -63,52 +56,68 @@ def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix(total))
 
 
+@lru_cache(maxsize=4)
+def probes(bins: int, attempts: int) -> np.ndarray:
+    """For each bin the places it looks at, in order, when it is empty."""
+    return (mix(np.arange(1, bins * attempts + 1, dtype=np.uint64) * GOLDEN) % np.uint64(bins)).astype(np.int64).reshape(bins, attempts)
+
+
 def signature(values: np.ndarray, bins: int) -> np.ndarray:
     """The least value of each of ``bins`` ranges of one permutation; an empty bin borrows from the first
     non-empty one on its own pseudo-random probe sequence (optimal densification)."""
-    where = ((values >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    at, first = np.unique(where.astype(np.int64), return_index=True)  # values are sorted, so first is least
+    where = (((values >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(where, prepend=-1))  # values are sorted, so bins ascend and the first is least
     out, full = np.zeros(bins, np.uint64), np.zeros(bins, bool)
+    at = where[first]
     out[at], full[at] = values[first], True
-    empty, attempt = np.flatnonzero(~full), 1
+    empty, attempts = np.flatnonzero(~full), 32
     while len(empty):
-        probe = (mix((empty.astype(np.uint64) + np.uint64(bins * attempt)) * GOLDEN) % np.uint64(bins)).astype(np.int64)
-        hit = full[probe]
-        out[empty[hit]] = out[probe[hit]]
-        empty, attempt = empty[~hit], attempt + 1
+        looked = probes(bins, attempts)[empty]
+        hit = full[looked]
+        where = hit.argmax(axis=1)
+        done = hit[np.arange(len(empty)), where]
+        out[empty[done]] = out[looked[done, where[done]]]
+        empty, attempts = empty[~done], attempts * 8
     return out
 
 
+def bit_map(values: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * BITS, np.uint8)
+    bits[(values % np.uint64(64 * BITS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _signed(config: MinHash):
-    """Batches (doc_id, text) -> (doc_id, n_shingles, set_key, buckets)."""
+    """Batches (doc_id, text) -> (doc_id, n_shingles, set_key, buckets, bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bins = WordHashes(), config.bands * config.rows
+        bins = config.bands * config.rows
         salt = mix(np.arange(1, bins + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
         for batch in batches:
-            sizes, keys, buckets = [], [], []
+            sizes, keys, buckets, bits = [], [], [], []
             for text in batch.column(1):
-                s = shingles(text.as_py(), config.words, hashes)
+                s = shingles(text.as_py(), config.words)
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 if len(s):
                     rows = (signature(s, bins) * salt).reshape(config.bands, config.rows)
                     buckets.append(mix(rows.sum(axis=1, dtype=np.uint64) + salt[:config.bands]).view(np.int64))
+                    bits.append(bit_map(s))
                 else:
                     buckets.append(None)
+                    bits.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "buckets"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())),
+                 pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "buckets", "bits"])
     return run
 
 
 def _sets(config: MinHash):
     """Batches (doc_id, text) -> (id, shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t.as_py(), config.words, hashes).view(np.int64) for t in part.column(1)]
+                sets = [shingles(t.as_py(), config.words).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
     return run
 
@@ -144,13 +153,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"))
 
 
+def _may_reach(percent: int, n: Column, bits: Column, other_n: Column, other_bits: Column) -> Column:
+    """False only for sets that cannot share ``percent`` of their union: a bit that one map has and the other lacks stands
+    for a shingle that is not shared."""
+    missing = lambda x, y: reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS)])
+    shared = F.least(n - missing(bits, other_bits), other_n - missing(other_bits, bits))
+    return 100 * shared >= percent * (n + other_n - shared)
+
+
 def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Signatures put each distinct shingle set into ``bands`` buckets. In a bucket only star-shaped pairs are made: all
     members with the least id. Pairs are confirmed on full sets and joined into components. A bucket whose members are
     then still in several components is starred again around 8, 64, ... centres until no two of its members in
-    different components are untested, so stars lose no link and a bucket of alike texts costs one pair a member.
+    different components are untested, so stars lose no link and a bucket of alike texts costs one pair a member. Of
+    these later pairs, those whose bit maps of 2,048 bits prove them too different are not read in full.
 
     Exact copies are grouped first, by a hash of the whole set, and are represented by their least id. A null or
     word-less text has an empty set and is linked with nothing. Rows without doc_id are linked with nothing, have a
@@ -158,14 +176,16 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows
     row each. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(rows.mapInArrow(_signed(config), "doc_id long, n_shingles long, set_key binary, buckets array<long>"), "signed")
+    signed = stage(rows.mapInArrow(_signed(config), "doc_id long, n_shingles long, set_key binary, buckets array<long>, bits array<long>"), "signed")
     usable = signed.where("doc_id is not null and set_key is not null")
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     nodes = stage(signed.join(classes, "set_key", "left")
                   .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"),
-                          F.when(F.col("doc_id") == F.col("rep"), F.col("buckets")).alias("buckets")), "nodes")
+                          F.when(F.col("doc_id") == F.col("rep"), F.col("buckets")).alias("buckets"),
+                          F.when(F.col("doc_id") == F.col("rep"), F.col("bits")).alias("bits")), "nodes")
+    maps = nodes.where("bits is not null").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "bits")
 
-    buckets = nodes.where("buckets is not null").select(F.explode("buckets").alias("bucket"), F.col("rep").alias("id"), "n_shingles")
+    buckets = nodes.where("buckets is not null").select(F.explode("buckets").alias("bucket"), F.col("rep").alias("id")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("bucket", "centre")
     members = stage(buckets.join(shared, "bucket"), "members")
     ids = staged_keys(members.select(F.col("id").alias("doc_id")).distinct(), "members-ids", broadcast_rows)
@@ -175,20 +195,21 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows
     labels = components(_confirmed(pairs, sets, config.percent))
     centres, last = 8, 1
     while True:
-        placed = members.join(labels, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-        open_ = (placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-                 .where("lo < hi").select("bucket", "n"))
+        placed = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        open_ = (placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+                 .where("lo < hi").select("bucket", "size"))
         rest = stage(placed.join(open_, "bucket").withColumn("h", F.abs(F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)))), "open")
-        largest = rest.agg(F.max("n")).first()[0]
+        largest = rest.agg(F.max("size")).first()[0]
         if not largest or last > largest * largest:
             break
         old = rest.groupBy("bucket", F.pmod("h", F.lit(last)).alias("c")).agg(F.min("id").alias("id")).select("bucket", "id")
         new = rest.groupBy("bucket", F.pmod("h", F.lit(centres)).alias("c")).agg(F.min("id").alias("id")).select("bucket", "id")
-        hubs = (rest.join(new, ["bucket", "id"], "left_semi").join(old, ["bucket", "id"], "left_anti")
-                .select("bucket", F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component")).distinct())
-        pairs = (rest.join(hubs, "bucket").where("component <> hub_component")
-                 .where(100 * F.least("n_shingles", "hub_n") >= config.percent * F.greatest("n_shingles", "hub_n"))
-                 .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+        hubs = (rest.join(new, ["bucket", "id"], "left_semi").join(old, ["bucket", "id"], "left_anti").join(maps, "id")
+                .select("bucket", F.col("id").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")))
+        spokes = rest.select("bucket", "id", "component").join(maps, "id")
+        likely = ((spokes["bucket"] == hubs["bucket"]) & (F.col("component") != F.col("hub_component"))
+                  & _may_reach(config.percent, F.col("n"), F.col("bits"), F.col("hub_n"), F.col("hub_bits")))
+        pairs = spokes.join(hubs, likely).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         found = _confirmed(pairs, sets, config.percent)
         left, right = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         merged = components(found.join(left, "a", "left").join(right, "b", "left")

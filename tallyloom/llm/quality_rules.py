@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import LOWER, UPPER, count_chars, let
+from .common import let
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
 #: Function words of English, French, German and Spanish.
 FUNCTION_WORDS = ("the of and to in is that for it as was with be by on "
                   "le la les de des et en un une du que qui dans pour par "
@@ -37,7 +36,7 @@ RULES = (
     Rule("word_length", lambda f: (f["word_chars"] < 3 * f["n_words"]) | (f["word_chars"] > 10 * f["n_words"]),
          lambda f: (2 * f["word_chars"] >= 7 * f["n_words"]) & (f["word_chars"] <= 9 * f["n_words"])),
     Rule("symbols", lambda f: 10 * f["n_symbols"] > f["n_words"], lambda f: 50 * f["n_symbols"] < f["n_words"]),
-    Rule("capitals", lambda f: 10 * f["n_upper"] > 3 * f["n_letters"], lambda f: 10 * f["n_upper"] < f["n_letters"]),
+    Rule("capitals", lambda f: 10 * f["n_upper"] > 3 * f["word_chars"], lambda f: 10 * f["n_upper"] < f["word_chars"]),
     Rule("repeated_words", lambda f: 100 * f["n_repeat_words"] > 30 * f["n_words"],
          lambda f: 100 * f["n_repeat_words"] < 15 * f["n_words"]),
     Rule("repeated_lines", lambda f: (f["n_lines"] >= 4) & (2 * f["n_dup_lines"] > f["n_lines"]),
@@ -61,8 +60,8 @@ def _repeat_words(words: Column) -> Column:
                                             lambda i: F.xxhash64(h[i - 1], h[i], h[i + 1])))
 
     def places(g):
-        ordered = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
-        return let(ordered, lambda s: F.array_sort(F.transform(F.filter(
+        ordered = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        return let(ordered, lambda s: F.sort_array(F.transform(F.filter(
             F.transform(s, lambda x, i: F.struct(
                 x["i"].alias("i"),
                 ((i > 0) & (F.get(s, i - 1)["g"] == x["g"]) | F.coalesce(F.get(s, i + 1)["g"] == x["g"], F.lit(False))).alias("twice"))),
@@ -80,20 +79,20 @@ def _repeat_words(words: Column) -> Column:
 def features(text: Column) -> Column:
     """A struct of counts over the whole text; a null text is empty."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    bare = F.translate(t, " \t\n\x0b\x0c\r", "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    upper = count_chars(t, UPPER)
-    read = F.struct(F.array_remove(F.split(t, SPACE), "").alias("w"), lines.alias("l"))
+    read = F.struct(
+        F.array_remove(F.split(t, SPACE), "").alias("w"),
+        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"),
+        F.regexp_replace(t, r"[^A-Z#*$%&|<>.?!]+", "").alias("m"))
+    marks = lambda m, other: F.length(F.regexp_replace(m, other, "")).cast("long")
     return let(read, lambda x: F.struct(
         F.size(x["w"]).cast("long").alias("n_words"),
-        F.length(bare).cast("long").alias("word_chars"),
-        count_chars(t, SYMBOLS).alias("n_symbols"),
+        F.length(F.array_join(x["w"], "")).cast("long").alias("word_chars"),
+        marks(x["m"], r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"),
         _repeat_words(x["w"]).alias("n_repeat_words"),
         F.size(x["l"]).cast("long").alias("n_lines"),
         F.size(F.filter(x["w"], lambda w: w.isin(FUNCTION_WORDS))).cast("long").alias("n_function"),
-        upper.alias("n_upper"), (upper + count_chars(t, LOWER)).alias("n_letters"),
-        count_chars(t, ".?").alias("n_stops"), count_chars(t, "!").alias("n_shouts")))
+        marks(x["m"], "[^A-Z]+").alias("n_upper"), marks(x["m"], "[^.?]+").alias("n_stops"), marks(x["m"], "[^!]+").alias("n_shouts")))
 
 
 def votes(f: Column, rules=RULES) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dedup, quality_rules, token_counts
+from . import bpe, decontaminate, near_dedup, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,6 +67,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+@query("op7_secrets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    base = lambda s: F.filter(s, lambda x: x["kind"] < len(secrets.BASE))
+    count = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
+    return secrets.scanned(table(spark, sf_dir, "documents")).select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.listed(base("secrets")), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and learned verdict of all documents."""
