@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dedup, quality_rules, secrets, token_counts
+from ..session import stage
+from . import bpe, chat_format, decontaminate, near_dedup, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,6 +68,36 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+OP6_SQL = r"""with
+c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) + 24 as n from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(n) as bigint) as formatted_chars
+from e group by conv_id"""
+
+
+@query("op6_chat_format", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from the formatted text."""
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                              F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")))
+    chats = stage(chat_format.format_trees(chat_format.thread(turns)), "chats")
+    rows = F.array_sort(F.collect_list(F.struct("place", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("t"))))
+    learnt = F.array_sort(F.collect_list(F.when(F.col("learnt"), F.struct("place", F.col("text").alias("t")))))
+    joined = lambda a: F.array_join(F.transform(a, lambda r: r["t"]), "")
+    back = chat_format.read_back(chats).groupBy("conv_id").agg(F.count("*").alias("n_turns"), joined(rows).alias("turns"), joined(learnt).alias("loss"))
+    sizes = chats.select(F.col("conv_id").alias("c"), F.length("text").cast("long").alias("formatted_chars"))
+    return back.join(sizes, F.expr("conv_id <=> c")).select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
 @query("op7_secrets")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
