@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import bpe, chat_format, decontaminate, near_dedup, quality_rules, secrets, token_counts
+from . import bpe, chat_format, decontaminate, near_dedup, quality_rules, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +61,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+OP3_SQL = """with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+g as (select b, max(page_id) as main from p where octet_length(b) >= 1000 group by b)
+select p.page_id, cast(octet_length(p.b) as bigint) as payload_bytes, sha1(p.b) as payload_digest,
+  case when g.main <> p.page_id then 'revisit' else 'response' end as record_type, case when g.main <> p.page_id then g.main end as refers_to
+from p left join g on p.b = g.b"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, looked up in the capture index and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact histogram of the documents' encoded lengths, with suffix sums."""
