@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import bpe, chat_format, decontaminate, near_dedup, quality_rules, secrets, token_counts, warc
+from . import bpe, chat_format, decontaminate, html_extract, near_dedup, quality_rules, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -146,3 +146,9 @@ from n join reach r on n.doc_id = r.a group by n.doc_id, n.n"""
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extract")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
