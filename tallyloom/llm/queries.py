@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import bpe, chat_format, decontaminate, html_extract, near_dedup, quality_rules, secrets, token_counts, warc
+from . import bpe, chat_format, decontaminate, html_extract, lm_scoring, near_dedup, quality_rules, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,6 +81,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of all documents under a network trained on all of them."""
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""with
 c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
