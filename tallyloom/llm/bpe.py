@@ -21,7 +21,7 @@ PATTERN = public_tokenizers.PATTERN
 CHUNK, OVERLAP = 32_768, 512
 #: Near a chunk's end a boundary may owe itself to the cut: the pattern looks at most so many code points ahead.
 LOOK_AHEAD = 4
-MEMO_TOKENS, MEMO_LENGTH = 1 << 19, 64
+MEMO_TOKENS, MEMO_LENGTH = 1 << 17, 64
 
 
 class Encoder(dict):

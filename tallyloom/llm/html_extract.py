@@ -41,6 +41,7 @@ class Page:
     text: list[str | None] = field(default_factory=lambda: [None])
     tag: list[str] = field(default_factory=lambda: ["#root"])
     side: list[bool] = field(default_factory=lambda: [False])
+    below: list[bool] = field(default_factory=lambda: [False])
 
     def add(self, parent: int, tag: str, traits: list[str], side: bool, text: str | None = None) -> int:
         self.parent.append(parent)
@@ -49,6 +50,7 @@ class Page:
         self.text.append(text)
         self.tag.append(tag)
         self.side.append(side)
+        self.below.append(side or self.below[parent])
         return len(self.parent) - 1
 
 
@@ -63,8 +65,11 @@ def parse(source: str) -> Page:
         if text:
             parent, tag = stack[-1]
             share = min(3, 4 * state["linked"] // len(text))
-            page.add(parent, "#text", ["text", f"in {tag}", f"size {len(text).bit_length()}", f"links {share}", f"stop {text[-1] in '.!?:'}",
-                                       f"in {tag} links {share}"], False, text)
+            if page.below[parent]:  # what texts look like in the article tells nothing about those of side parts
+                page.add(parent, "#text", ["text", "below side"], False, text)
+            else:
+                page.add(parent, "#text", ["text", f"in {tag}", f"size {len(text).bit_length()}", f"links {share}", f"stop {text[-1] in '.!?:'}",
+                                           f"in {tag} links {share}"], False, text)
         state["linked"] = 0
 
     at, end = 0, len(source)
@@ -112,7 +117,8 @@ def parse(source: str) -> Page:
         if m[3] and not m[3].isspace():
             words = [w for found in NAMED.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(found).lower()) if w]
         side = tag in SIDE_TAGS or any(w in SIDE_WORDS for w in words)
-        traits = [f"is {tag}", *(f"named {w}" for w in words)] + ["side"] * side
+        below = page.below[stack[-1][0]]
+        traits = ["below side"] if below else ["side"] if side else [f"is {tag}", *(f"named {w}" for w in words)]
         stack.append((page.add(stack[-1][0], tag, traits, side), tag))
     flush()
     return page
