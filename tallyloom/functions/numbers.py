@@ -59,8 +59,11 @@ def clamp_non_negative(value: Column) -> Column:
     return F.greatest(F.lit(0.0), value)
 
 
-def clamp_horizon(days: int, low: int = 1, high: int = 30) -> int:
-    return min(max(days, low), high)
+def checked_horizon(days: int, low: int = 1, high: int = 30) -> int:
+    """``days`` if it lies within the horizons that recursive forecasts support."""
+    if not low <= days <= high:
+        raise ValueError(f"a forecast covers {low} to {high} days, not {days}")
+    return days
 
 
 def to_number(value: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,11 +139,11 @@ class MultiDimensionalDetector:
         return self
 
     def fit(self, df: DataFrame) -> "MultiDimensionalDetector":
-        """A dimension that cannot be fitted is noted and skipped."""
+        """A dimension whose columns or key do not suit its method is noted and skipped; other failures, such as lost executors, are raised."""
         for name, detector in self.dimensions.items():
             try:
                 detector.fit(df, detector.columns)
-            except Exception as e:
+            except (ValueError, AnalysisException) as e:
                 self.errors[name] = str(e)
         return self
 

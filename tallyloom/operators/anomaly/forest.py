@@ -1,8 +1,8 @@
 """Isolation forest (Liu, Ting and Zhou, 2008).
 
 Each tree isolates a small random subsample, which is what the method prescribes; training draws
-those rows by hash, so the choice does not depend on partitioning. Trees grow in parallel, one
-group of at most ``pool`` rows per tree. Scoring is a vectorised pass over the table with the
+those rows by hash of a row key, so the choice depends neither on partitioning nor on size. Trees grow in
+parallel, one group of at most ``sample`` rows per tree. Scoring is a vectorised pass over the table with the
 trees, a few hundred nodes each, broadcast.
 """
 
@@ -36,17 +36,19 @@ def _feature(c: str) -> Column:
     return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
 
 
-def hashed_sample(df: DataFrame, columns: list[str], size: int, seed: int, key: list[str] | None = None) -> DataFrame:
-    """The ``size`` rows of lowest hash. A hash cut-off first leaves about that many rows."""
+def draw(df: DataFrame, columns: list[str], trees: int, sample: int, seed: int, key: list[str]) -> DataFrame:
+    """(tree, _h, features): for each tree the ``sample`` rows of least hash(seed, tree, key), at every size of table.
+
+    A row's hashes are compared in place with a cut-off that leaves about ``sample`` rows a tree, so rows become
+    several only where a tree may take them.
+    """
     n = df.count()
-    code = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in (key or columns)]), F.lit(HASH_SPAN))
-    rows = df.select(code.alias("_h"), *[_feature(c).alias(c) for c in columns])
-    if n > 2 * size:
-        cut = int(HASH_SPAN * min(1.0, (size + 10.0 * math.sqrt(size) + 100.0) / n))
-        near = rows.filter(F.col("_h") < cut)
-        if near.count() >= size:
-            rows = near
-    return rows.orderBy("_h", *columns).limit(size)
+    cut = int(HASH_SPAN * min(1.0, (sample + 10.0 * math.sqrt(sample) + 100.0) / max(n, 1)))
+    code = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, *[F.col(c) for c in key]), F.lit(HASH_SPAN))
+    taken = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), code(t).alias("_h"))), lambda s: s["_h"] < cut)
+    near = df.select(F.explode(taken).alias("_s"), *[_feature(c).alias(c) for c in columns]).select("_s.*", *columns)
+    least = Window.partitionBy("tree").orderBy("_h", *columns)
+    return near.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= sample)
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
@@ -71,20 +73,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def grow_trees(pool: DataFrame, columns: list[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """Node table of the forest.
-
-    A full pool is dealt out, one hand per tree; from a smaller one every tree draws its own rows.
-    """
-    order = Window.partitionBy().orderBy("_h", *columns)  # at most trees x sample rows
-    numbered = pool.withColumn("_r", F.row_number().over(order) - 1)
-    if len(pool.select("_h").take(trees * sample)) == trees * sample:
-        chosen = numbered.withColumn("tree", (F.col("_r") % trees).cast("int"))
-    else:
-        spread = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "_r"), "_r")
-        chosen = spread.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= sample)
-
+def grow_trees(drawn: DataFrame, columns: list[str], seed: int) -> DataFrame:
+    """Node table of the forest, one group of at most ``sample`` rows for each tree."""
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         x = pdf.sort_values("_r")[columns].to_numpy(float)
@@ -94,7 +84,7 @@ def grow_trees(pool: DataFrame, columns: list[str], trees: int, sample: int, see
         out.insert(0, "tree", tree)
         return out[["tree", "node", "feature", "threshold", "left", "right", "path"]]
 
-    return chosen.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
+    return drawn.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
 def _complete(nodes: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -158,10 +148,13 @@ class ForestModel:
 def fit_forest(df: DataFrame, columns: list[str], contamination: float = 0.05, trees: int = 100,
                sample: int = 256, seed: int = 42, key: list[str] | None = None) -> ForestModel:
     """Grow the trees and set the threshold at the exact quantile of the training scores."""
-    pool = hashed_sample(df, columns, trees * sample, seed, key)
-    nodes = [tuple(r) for r in grow_trees(pool, columns, trees, sample, seed).collect()]  # trees x 2 x sample
+    if not key:
+        raise ValueError("an isolation forest draws its rows by a row key: pass key=[...]")
+    rows = stage(df.select(*dict.fromkeys([*key, *columns])), "forest")
+    drawn = draw(rows, columns, trees, sample, seed, key)
+    nodes = [tuple(r) for r in grow_trees(drawn, columns, seed).collect()]  # trees x 2 x sample
     model = ForestModel(columns, nodes)
-    scores = stage(df.select(model.score_column(df.sparkSession).alias("score")), "scores")
+    scores = stage(rows.select(model.score_column(df.sparkSession).alias("score")), "scores")
     model.threshold = exact_quantiles(scores, {"score": [1.0 - contamination]})["score", 1.0 - contamination]
     return model
 

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ...functions.numbers import clamp_horizon, clamp_non_negative, round_currency
+from ...functions.numbers import checked_horizon, clamp_non_negative, round_currency
 from ...session import fresh_path, stage
 from ..features import Scaler
 from ..filters import numeric_columns
@@ -66,11 +66,12 @@ class SalesForecastModel:
         return rows.fillna(middle, subset=[self.target]) if middle is not None else rows
 
     def train(self, daily: DataFrame, test_size: float = 0.2) -> dict[str, float]:
-        """Fit on the first part of the series and measure on the rest."""
+        """Fit on the first part of the series and measure on the rest, then fit on all of it."""
         rows = stage(evaluate.chrono_split(self.prepare_features(daily), test_size, segment=self.segment), "train")
         self._fit(rows.filter("part = 'train'"))
         scored = self.predict_rows(rows.filter("part = 'test'"))
         self.metrics = evaluate.metrics(scored, self.target, "prediction").first().asDict()
+        self._fit(rows)
         return self.metrics
 
     def train_with_cv(self, daily: DataFrame, n_splits: int = 5) -> dict[str, float]:
@@ -196,7 +197,7 @@ class SalesForecastModel:
         shuffle per step and no growing plan.
         """
         self._require_fit()
-        horizon = clamp_horizon(horizon)
+        horizon = checked_horizon(horizon)
         spark = daily.sparkSession
         shared = spark.sparkContext.broadcast(self._evaluator_parts())
         columns, segment = self.columns, list(self.segment)

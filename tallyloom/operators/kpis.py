@@ -57,10 +57,11 @@ def summary(df: DataFrame, as_of: datetime, days: int = 30, flag=None) -> DataFr
         "anomaly_count", F.lit(days).alias("period_days"))
 
 
-def realtime(df: DataFrame, as_of: datetime, sample: int = 1_000, minutes: int = 60) -> DataFrame:
-    """Rates per minute over the last hour of the newest ``sample`` rows."""
-    recent = latest(df, sample).filter(
-        F.col("timestamp") >= timestamp_literal(as_of - timedelta(minutes=minutes)))
+def realtime(df: DataFrame, as_of: datetime, minutes: int = 60, sample: int | None = None) -> DataFrame:
+    """Rates per minute over all rows of the last ``minutes``, or of the newest ``sample`` of them if given."""
+    recent = df.filter(F.col("timestamp") >= timestamp_literal(as_of - timedelta(minutes=minutes)))
+    if sample is not None:
+        recent = latest(recent, sample)
     out = recent.agg(F.coalesce(F.sum("total_amount"), F.lit(0)).cast("double").alias("revenue"),
                      F.count(F.lit(1)).alias("n"),
                      F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))

@@ -13,6 +13,7 @@ from .dedupe import keep_first
 from .quantiles import exact_quantiles
 
 NUMERIC = ["quantity", "unit_price", "total_amount"]
+MIN_JUDGED = 100
 CATEGORICAL = ["category", "region", "payment_method"]
 
 
@@ -97,14 +98,14 @@ def parse_rows(df: DataFrame) -> DataFrame:
 
 
 def flag_extremes(df: DataFrame, column: str = "total_amount", bounds: tuple[float, float] | None = None) -> DataFrame:
-    """``is_extreme`` outside the 1st to 99th percentile; needs more than 100 rows to judge."""
+    """``is_extreme`` outside the 1st to 99th percentile; false for all of 100 rows or fewer, too few to judge."""
     if bounds is None:
-        if len(df.select(column).take(101)) <= 100:
-            return df
         q = exact_quantiles(df, {column: [0.01, 0.99]})
         bounds = q[column, 0.01], q[column, 0.99]
+    enough = len(df.select(column).take(MIN_JUDGED + 1)) > MIN_JUDGED
     value = F.col(column).cast("double")
-    return df.withColumn("is_extreme", (value < bounds[0]) | (value > bounds[1]))
+    outside = (value < bounds[0]) | (value > bounds[1])
+    return df.withColumn("is_extreme", outside if enough else F.lit(False))
 
 
 def clean(df: DataFrame, order: list[str] | None = None, ordered: bool = False) -> DataFrame:
@@ -119,8 +120,7 @@ def clean(df: DataFrame, order: list[str] | None = None, ordered: bool = False)
     filled = filled.fillna("Unknown", subset=[c for c in CATEGORICAL if c in df.columns])
     rows = stage(keep_first(filled, "transaction_id", order or ["timestamp"]), "clean")
     q = exact_quantiles(rows, {"total_amount": [0.01, 0.99], "unit_price": [0.5]})
-    if len(rows.select("total_amount").take(101)) > 100:
-        rows = flag_extremes(rows, bounds=(q["total_amount", 0.01], q["total_amount", 0.99]))
+    rows = flag_extremes(rows, bounds=(q["total_amount", 0.01], q["total_amount", 0.99]))
     quantity = F.when(F.col("quantity") <= 0, 1.0).otherwise(F.col("quantity"))
     price = F.when(F.col("unit_price") <= 0, F.lit(q["unit_price", 0.5])).otherwise(F.col("unit_price"))
     rows = rows.withColumns({"quantity": quantity, "unit_price": price})

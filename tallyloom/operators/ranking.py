@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import dates, labels
 from . import aggregates, series
 
-MAX_PAGE = 1_000
-
 
 def page(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Newest first; ``limit`` is capped at the page maximum. For deep pages use ``page_after``."""
+    """``limit`` rows, newest first, after ``offset`` rows. For deep pages use ``page_after``."""
     ordered = df.orderBy(F.desc("timestamp"), F.desc("transaction_id"))
-    return ordered.offset(offset).limit(min(limit, MAX_PAGE))
+    return ordered.offset(offset).limit(limit)
 
 
 def page_after(df: DataFrame, timestamp, transaction_id: str, limit: int = 100) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp_horizon
+from ..functions.numbers import checked_horizon
 from ..operators import aggregates, filters, insights, kpis, ranking, series
 from ..operators.anomaly import report
 from ..operators.anomaly.detector import AnomalyDetector
@@ -67,7 +67,7 @@ class SalesAnalytics:
         if len(self.sales.take(MIN_FORECAST_ROWS)) < MIN_FORECAST_ROWS:
             raise ValueError("Insufficient data for forecasting")
         daily = aggregates.daily(self.sales, model.segment)
-        return rounded(model.forecast(daily, clamp_horizon(horizon)))
+        return rounded(model.forecast(daily, checked_horizon(horizon)))
 
     def forecast_confidence(self) -> DataFrame:
         return self._model().confidence_report(self.spark)
@@ -92,14 +92,12 @@ class SalesAnalytics:
         return report.summary(report.breakdown(self._detected(days), self.as_of))
 
     def kpi_summary(self, days: int = 30) -> DataFrame:
-        return kpis.summary(self.sales, self.as_of, days, self._flag())
-
-    def _flag(self) -> Column | None:
-        """The detector's verdict as a column, where it needs nothing but the row."""
-        d = self.detector
-        if d is None or d.stats is None or not d.stats.usable("total_amount"):
-            return None
-        return F.abs(d.stats.z("total_amount")) > d.zscore_threshold
+        """Key figures; with a detector, the anomalies are those it flags among the current rows."""
+        figures = kpis.summary(self.sales, self.as_of, days)
+        if self.detector is None:
+            return figures
+        found = filters.flagged(self._detected(days)).agg(F.count(F.lit(1))).scalar()
+        return figures.withColumn("anomaly_count", found.cast("bigint"))
 
     def kpi_realtime(self) -> DataFrame:
         return kpis.realtime(self.live, self.as_of)

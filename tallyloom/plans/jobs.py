@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,16 +39,32 @@ def train_anomaly(sales: DataFrame, model_dir: str | None = None, algorithm: str
     return detector
 
 
-def score_anomalies(sales: DataFrame, out: str, model_dir: str | None = None) -> DataFrame:
+def _replace(rows: DataFrame, out: str) -> DataFrame:
+    """Write ``rows`` as a new version below ``out``. Readers of earlier versions are not disturbed, and a failed job leaves them;
+    ``newest_version`` finds the last one that was written in full."""
+    version = f"{out}/version={time.time_ns():020d}"
+    rows.write.parquet(version)
+    return rows.sparkSession.read.schema(rows.schema).parquet(version)
+
+
+def newest_version(spark: SparkSession, out: str) -> DataFrame:
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().getName() for s in fs.listStatus(root)), reverse=True)
+    done = next(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS")))
+    return spark.read.parquet(f"{out}/{done}")
+
+
+def score_anomalies(sales: DataFrame, out: str, model_dir: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Clean, engineer, detect and write the scored rows; without a model the z-score decides."""
-    featured = features.engineer(quality.clean(sales))
+    featured = features.engineer(quality.clean(sales, order))
     if model_dir:
         scored = AnomalyDetector.load(sales.sparkSession, model_dir).transform(featured)
     else:
         stats = ColumnStats.fit(featured, ["total_amount"])
         scored = detect_by_zscore(featured, stats)
-    scored.write.mode("overwrite").parquet(out)
-    return sales.sparkSession.read.schema(scored.schema).parquet(out)
+    return _replace(scored, out)
 
 
 def refresh_insights(sales: DataFrame, out: str, as_of: datetime | None = None, days: int = 30,
@@ -61,5 +78,4 @@ def refresh_insights(sales: DataFrame, out: str, as_of: datetime | None = None,
         current = detect_by_zscore(filters.trailing(rows, days, as_of), stats)
         breakdown = report.breakdown(current, as_of)
     found = insights.generate(rows, as_of, days, breakdown=breakdown, forecast=forecast, ordered=False)
-    found.write.mode("overwrite").parquet(out)
-    return sales.sparkSession.read.schema(found.schema).parquet(out)
+    return _replace(found, out)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, labels, numbers
 from ..operators import aggregates, dedupe, features, filters, kpis, quality, ranking, series
+from ..operators.anomaly.detector import AnomalyDetector
 from ..operators.quantiles import exact_quantiles
 from ..session import fresh_path
 from ..sources import files, unified
 from ..sources.star import latest_sale, load_dirty_sales, load_event_sales, load_newest_sales, load_sales
+from .analytics import SalesAnalytics
 from .registry import (ROLLED, daily_ctes, last_days, on_dirty, on_events, on_sales, plain, query, rounded)
 
 DAILY_COLS = ["timestamp", "transaction_id", "quantity", "unit_price", "total_amount", "customer_id"]
@@ -241,8 +243,18 @@ def kpi_summary(spark, d):
     return kpis.summary(rows, as_of, 30)
 
 
-@query("kpi_realtime", on_events("""with l as (select * from sales order by ts desc, transaction_id desc limit 1000),
-r as (select * from l where ts >= (select as_of from ref) - interval 60 minute),
+@query("kpi_detected", on_sales("""with cur as (select * from sales where ts >= (select as_of from ref) - interval 30 day),
+st as (select avg(cast(total_amount as double)) as m, stddev_samp(cast(total_amount as double)) as s from sales)
+select count(*) as anomaly_count, 30 as period_days from cur, st where abs((cast(total_amount as double)-m)/s)>1.5"""))
+def kpi_detected(spark, d):
+    """The key figures' anomaly count, from the detector fitted on all sales."""
+    rows = load_sales(spark, d)
+    found = AnomalyDetector("zscore", zscore_threshold=1.5).fit(rows.select("total_amount"), ["total_amount"])
+    site = SalesAnalytics(rows, as_of=latest_sale(spark, d), detector=found)
+    return site.kpi_summary(30).select("anomaly_count", "period_days")
+
+
+@query("kpi_realtime", on_events("""with r as (select * from sales where ts >= (select as_of from ref) - interval 60 minute),
 a as (select cast(coalesce(sum(total_amount),0) as double) as rev, count(*) as n, max(ts) as last_,
   greatest(1.0, coalesce((epoch_us(max(ts))-epoch_us(min(ts)))/1e6/60.0, 1.0)) as span from r)
 select round_even(rev/span*100,0)/100 as revenue_per_minute, round_even(n/span*100,0)/100 as transactions_per_minute,

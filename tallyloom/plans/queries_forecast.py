@@ -113,18 +113,12 @@ def ar_cross_products(spark, d):
 
 
 # ------------------------------------------------------------------ models
-_fitted: dict[tuple[str, str, str], tuple[SalesForecastModel, DataFrame]] = {}
-
-
 def trained(spark, d, algorithm) -> tuple[SalesForecastModel, DataFrame]:
-    """One fit per session, table folder and method; several queries ask about the same model."""
-    key = spark.sparkContext.applicationId, d, algorithm
-    if key not in _fitted:
-        frame = stage(series.daily_features(load_sales(spark, d, COLS)), "daily")
-        model = SalesForecastModel(algorithm)
-        model.train(frame)
-        _fitted[key] = model, frame
-    return _fitted[key]
+    """A model measured on the newest fifth of the days and then fitted on all of them."""
+    frame = stage(series.daily_features(load_sales(spark, d, COLS)), "daily")
+    model = SalesForecastModel(algorithm)
+    model.train(frame)
+    return model, frame
 
 
 @query("ridge_forecast")
@@ -209,20 +203,11 @@ def ar_information(spark, d):
 @query("ensemble_forecast")
 def ensemble_forecast(spark, d):
     """Forest, boosting and ARIMA, weighted by inverse MAPE."""
-    parts, scores = [], [("arima", None)]
-    for name in ("random_forest", "gradient_boosting"):
-        model, frame = trained(spark, d, name)
-        parts.append(model.forecast(frame, 7))
-        scores.append((name, model.metrics["mape"]))
-    parts.append(autoregression.forecast(autoregression.fit(frame), 7))
-    weights = ensemble.weights_from_mape(spark.createDataFrame(scores, "model string, mape double"))
-    return ensemble.combine(parts[0].unionByName(parts[1]).unionByName(parts[2]), weights).drop("individual")
+    frame = stage(series.daily_features(load_sales(spark, d, COLS)), "daily")
+    return ensemble.EnsembleForecastModel(include_arima=True).train(frame).forecast(frame, 7).drop("individual")
 
 
 @query("job_train_forecast")
 def job_train_forecast(spark, d):
-    """The training job end to end with ridge: clean, features, cross-validation, save, load, forecast."""
-    path = fresh_path(spark, "job-model")
-    model, ahead = jobs.train_forecast(load_sales(spark, d), path, algorithm="linear")
-    SalesForecastModel.load(spark, path)
-    return ahead
+    """The training job end to end with its random forest: clean, features, cross-validation, save, forecast."""
+    return jobs.train_forecast(load_sales(spark, d), fresh_path(spark, "job-model"))[1]

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import insights, quality
+from ..operators import insights
 from ..operators.anomaly import report, stats
 from ..session import fresh_path
 from ..sources.star import latest_sale, load_dirty_sales, load_sales
@@ -122,10 +122,9 @@ def insights_all(spark, d):
     return everything(spark, d).select(*NAMES)
 
 
-@query("insights_top", on_sales(f"with {BASE}, {_all(('category_growth', 'region_decline', 'anomaly_severity', 'anomaly_regions', 'forecast'))} select {SHOWN} from ins order by priority, pos limit 5"))
+@query("insights_top", on_sales(f"with {BASE}, {_all()} select {SHOWN} from ins order by priority, pos limit 5"))
 def insights_top(spark, d):
-    found = insights.generate(load_sales(spark, d, COLS), latest_sale(spark, d))
-    return insights.top(found.filter(~F.col("rule").isin("category_growth", "region_decline"))).select(*NAMES)
+    return insights.top(everything(spark, d)).select(*NAMES)
 
 
 @query("insights_by_type", on_sales(f"with {BASE}, {_all()} select {SHOWN} from ins where type='regional'"))
@@ -226,20 +225,17 @@ def period_changes(spark, d):
 
 
 # ------------------------------------------------------------------ jobs
-@query("job_refresh_insights", on_sales(f"with {BASE}, {_all(('anomaly_severity', 'anomaly_regions', 'forecast'))} select rule, type, title, message, priority_label, action from ins where rule in ('revenue','volume','top_category','top_region','best_worst_day')"))
+@query("job_refresh_insights", on_sales(f"with {BASE.replace('/s)>2 then 1', '/s)>3 then 1')}, {_all()} select {SHOWN} from ins"))
 def job_refresh_insights(spark, d):
-    rows = load_sales(spark, d)
-    out = jobs.refresh_insights(rows, fresh_path(spark, "insights"), latest_sale(spark, d), detect=False)
-    picked = out.filter(F.col("rule").isin("revenue", "volume", "top_category", "top_region", "best_worst_day"))
-    return picked.select("rule", "type", "title", "message", "priority_label", "action")
+    """The job end to end: cleaning, detection, all rules, a new version of the table."""
+    rows, forecast = load_sales(spark, d), naive_forecast(spark, d)
+    return jobs.refresh_insights(rows, fresh_path(spark, "insights"), latest_sale(spark, d), forecast=forecast).select(*NAMES)
 
 
 @query("job_score_anomalies", on_dirty(f"""{_CLEAN}, fin as (select transaction_id, case when abs(amt-q*pr)/(q*pr) > 0.1 then q*pr else amt end as amt from fx),
 st as (select avg(amt) as m, stddev_samp(amt) as s from fin)
 select transaction_id, round((amt-m)/s,4) as total_amount_zscore, case when abs((amt-m)/s)>3 then 1 else 0 end as is_anomaly from fin, st""".replace("st as (select quantile_cont", "q0 as (select quantile_cont").replace("from dd, st)", "from dd, q0)")))
 def job_score_anomalies(spark, d):
-    rows = quality.clean(load_dirty_sales(spark, d), order=["timestamp", "l_partkey", "l_suppkey", "total_amount"])
-    scored = stats.detect_by_zscore(rows, stats.ColumnStats.fit(rows, ["total_amount"]))
-    path = fresh_path(spark, "scored")
-    scored.write.parquet(path)
-    return rounded(spark.read.parquet(path).select("transaction_id", "total_amount_zscore", "is_anomaly"), "total_amount_zscore")
+    scored = jobs.score_anomalies(load_dirty_sales(spark, d), fresh_path(spark, "scored"),
+                                  order=["timestamp", "l_partkey", "l_suppkey", "total_amount"])
+    return rounded(scored.select("transaction_id", "total_amount_zscore", "is_anomaly"), "total_amount_zscore")

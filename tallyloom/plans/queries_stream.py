@@ -116,11 +116,19 @@ def stream_late_rows(spark, d):
     return splitter.read("late")
 
 
-@query("stream_metrics")
+@query("stream_metrics", on_events("""select false as running, count(*) as buffer_size, 10000 as max_buffer_size, count(*) as total,
+  count(*) as historical_records, 2*count(*) as total_available from sales"""))
 def stream_metrics(spark, d):
-    """Counters of a drained stream."""
+    """Counters of a drained stream, without the rate, which is another one each time."""
     base = fresh_path(spark, "metrics")
     sales = pipeline.read_event_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])
-    run = sinks.start_append(sales, f"{base}/out", f"{base}/checkpoint")
-    run.awaitTermination()
-    return sinks.stream_stats(run, spark, latest=spark.read.schema(sales.schema).parquet(f"{base}/out"))
+    counters = sinks.Counters()
+    spark.streams.addListener(counters)
+    try:
+        run = sinks.start_append(sales, f"{base}/out", f"{base}/checkpoint")
+        run.awaitTermination()
+        out = spark.read.schema(sales.schema).parquet(f"{base}/out")
+        stats = sinks.stream_stats(run, spark, counters, latest=out, history=load_event_sales(spark, d, ["transaction_id"]))
+        return stats.drop("transactions_per_minute")
+    finally:
+        spark.streams.removeListener(counters)

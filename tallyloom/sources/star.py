@@ -43,11 +43,12 @@ def load_sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = Non
     """One row per order line. ``since`` filters the order scan itself."""
     wanted = columns or SALES_COLUMNS
     needs = set(wanted)
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
-    if since is not None:
-        orders = orders.filter(F.col("o_orderdate") >= F.lit(str(since)).cast("timestamp_ntz"))
-    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    df = table(spark, sf_dir, "lineitem")
+    if since is not None or needs & {"timestamp", "customer_id", "payment_method", "region"}:
+        orders = table(spark, sf_dir, "orders")
+        if since is not None:
+            orders = orders.filter(F.col("o_orderdate") >= F.lit(str(since)).cast("timestamp_ntz"))
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if needs & {"product_id", "product_name", "category"}:
         df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if "region" in needs:
@@ -135,14 +136,18 @@ def event_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
                          ).select("c_custkey", "region", "c_mktsegment")
 
 
+def of_known_customers(events: DataFrame, spark: SparkSession, sf_dir: str, columns: list[str] | None) -> DataFrame:
+    """Events of customers in the customer table; unchanged where a later join for ``columns`` sees to that."""
+    if columns is None or set(columns) & {"region", "payment_method"}:
+        return events
+    keys = table(spark, sf_dir, "customer").select("c_custkey")
+    return events.join(keys, F.col("user_id") == F.col("c_custkey"), "left_semi")
+
+
 def load_event_sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """One row per event of a known customer."""
-    events, customers = table(spark, sf_dir, "events"), event_customers(spark, sf_dir)
-    known = columns is None or set(columns) & {"region", "payment_method"}
-    if not known:
-        keys = table(spark, sf_dir, "customer").select("c_custkey")
-        events = events.join(keys, F.col("user_id") == F.col("c_custkey"), "left_semi")
-    return shape_events(events, customers, columns)
+    events = of_known_customers(table(spark, sf_dir, "events"), spark, sf_dir, columns)
+    return shape_events(events, event_customers(spark, sf_dir), columns)
 
 
 def load_dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ def read_sales(spark: SparkSession, landing: str, files_per_trigger: int | None
 
 
 def read_event_sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """The event table as a stream, joined to the customer table it needs."""
+    """The event table as a stream, joined to the customer table it needs; like the batch view, known customers only."""
     schema = star.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    return star.shape_events(events, star.event_customers(spark, sf_dir), columns)
+    return star.shape_events(star.of_known_customers(events, spark, sf_dir, columns), star.event_customers(spark, sf_dir), columns)
 
 
 def windowed_kpis(sales: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "1 hour",

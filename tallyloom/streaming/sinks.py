@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..session import fresh_path
 
@@ -93,6 +95,14 @@ class LatestTable:
             rows = self.read(earlier[-1]).unionByName(batch)
         newest = rows.orderBy(F.desc("timestamp"), F.desc("transaction_id")).limit(self.size)
         newest.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        self.forget(earlier[:-1])
+
+    def forget(self, versions: list[int]) -> None:
+        """Remove versions that neither readers nor a replay of the newest batch need."""
+        jvm = self.spark._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for v in versions:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={v}"), True)
 
 
 class LateSplitter:
@@ -116,6 +126,7 @@ class LateSplitter:
             batch.filter(late).write.mode("overwrite").parquet(f"{self.path}/late/batch={batch_id}")
             newest = batch.agg(F.greatest(F.max("timestamp"), F.lit(str(seen) if seen else None).cast("timestamp")).alias("seen"))
             newest.write.mode("overwrite").parquet(f"{self.path}/progress/batch={batch_id}")
+            self.progress.forget(earlier[:-1])
         finally:
             batch.unpersist()
 
@@ -123,20 +134,49 @@ class LateSplitter:
         return self.spark.read.parquet(f"{self.path}/{kind}").drop("batch")
 
 
-def progress_frame(query: StreamingQuery, spark: SparkSession) -> DataFrame:
-    """Counters of a query: rows per batch and rates, from Spark's own progress reports."""
-    rows = [(p["batchId"], p["timestamp"], p["numInputRows"], float(p.get("inputRowsPerSecond") or 0.0),
-             float(p.get("processedRowsPerSecond") or 0.0)) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch_id bigint, at string, rows bigint, input_rate double, processed_rate double")
+class Counters(StreamingQueryListener):
+    """Running sums over every progress report of every query: three numbers a query, however many batches it has.
+
+    Register with ``spark.streams.addListener`` before the queries start. Reports of a query's own
+    recent list are not enough, since Spark keeps only the newest of them.
+    """
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.first: dict[str, datetime] = {}
+        self.last: dict[str, datetime] = {}
+        self.batch: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        report, key = event.progress, str(event.progress.id)
+        at = datetime.fromisoformat(report.timestamp.replace("Z", "+00:00"))
+        self.rows[key] = self.rows.get(key, 0) + report.numInputRows
+        self.first.setdefault(key, at)
+        self.last[key], self.batch[key] = at, report.batchId
+
+    def wait(self, query: StreamingQuery, seconds: float = 30.0) -> None:
+        """Until the newest report of ``query`` has arrived; reports come on a thread of their own."""
+        newest, until = query.lastProgress, time.monotonic() + seconds
+        while newest and self.batch.get(str(query.id), -1) < newest["batchId"] and time.monotonic() < until:
+            time.sleep(0.05)
 
 
-def stream_stats(query: StreamingQuery, spark: SparkSession, latest: DataFrame | None = None, size: int = 10_000,
-                 history: DataFrame | None = None) -> DataFrame:
+def stream_stats(query: StreamingQuery, spark: SparkSession, counters: Counters, latest: DataFrame | None = None,
+                 size: int = 10_000, history: DataFrame | None = None) -> DataFrame:
     """One row: running, buffered rows, total rows seen, rows per minute, rows of history."""
-    seen = progress_frame(query, spark)
-    out = seen.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
-                   F.max(F.col("at").cast("timestamp")).alias("last"), F.min(F.col("at").cast("timestamp")).alias("first"))
-    seconds = F.greatest(F.lit(1.0), (F.unix_micros("last") - F.unix_micros("first")) / 1e6)
+    counters.wait(query)
+    key = str(query.id)
+    span = (counters.last[key] - counters.first[key]).total_seconds() if key in counters.first else 0.0
+    out, seconds = spark.range(1).select(F.lit(counters.rows.get(key, 0)).cast("bigint").alias("total")), F.lit(max(1.0, span))
     buffered = latest.agg(F.count(F.lit(1))).scalar() if latest is not None else F.lit(0)
     past = history.agg(F.count(F.lit(1))).scalar() if history is not None else F.lit(0)
     return out.select(F.lit(query.isActive).alias("running"), buffered.cast("bigint").alias("buffer_size"),

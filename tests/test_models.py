@@ -72,11 +72,11 @@ def test_forest_ranks_outliers(spark):
     x[:10] += 12
     pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(i=range(2_000))
     df = spark.createDataFrame(pdf)
-    model = forest.fit_forest(df, ["a", "b", "c"], 0.05, trees=50)
+    model = forest.fit_forest(df, ["a", "b", "c"], 0.05, trees=50, key=["i"])
     got = forest.detect(df, model).toPandas().sort_values("anomaly_score", ascending=False)
     assert set(got["i"][:10]) == set(range(10))
     assert abs(got["is_anomaly_ml"].mean() - 0.05) < 0.002
-    again = forest.fit_forest(df.repartition(7), ["a", "b", "c"], 0.05, trees=50)
+    again = forest.fit_forest(df.repartition(7), ["a", "b", "c"], 0.05, trees=50, key=["i"])
     assert again.threshold == model.threshold
 
 

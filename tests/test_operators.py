@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import numbers
 from tallyloom.operators import aggregates, dedupe, features, filters, insights, kpis, quality, ranking, series
 from tallyloom.operators.quantiles import exact_quantiles, weighted_quantile
 from tallyloom.plans.analytics import SalesAnalytics
@@ -95,7 +96,7 @@ def test_clean_small(spark):
             ("2024-01-02", "c", "0", -1.0, 5.0, "y"), ("2024-01-03", "d", "abc", 8.0, 16.0, "z")]
     df = spark.createDataFrame(rows, "timestamp string, transaction_id string, quantity string, unit_price double, total_amount double, category string")
     got = {r.transaction_id: r for r in quality.clean(df, ordered=True).collect()}
-    assert set(got) == {"a", "c", "d"} and "is_extreme" not in quality.clean(df).columns
+    assert set(got) == {"a", "c", "d"} and not any(r.is_extreme for r in got.values())
     assert got["a"].quantity == 2.0 and got["a"].category == "Unknown"
     assert got["c"].quantity == 1.0 and got["c"].unit_price == 8.0 and got["c"].total_amount == 8.0
     assert got["d"].quantity == 2.0 and got["d"].total_amount == 16.0
@@ -175,7 +176,7 @@ def test_surface(spark, sf):
     found = AnomalyDetector("zscore").fit(rows, ["total_amount"])
     site = SalesAnalytics(rows, detector=found)
     page, total = site.transactions(limit=5000, offset=10)
-    assert total.first().total == rows.count() and page.count() == min(1000, rows.count() - 10)
+    assert total.first().total == rows.count() and page.count() == min(5000, rows.count() - 10)
     assert site.live_sales(7).count() == 7
     assert site.by_category().count() == 5 and site.by_region().count() <= 5
     for g in ("daily", "hourly", "weekly", "raw"):
@@ -189,6 +190,33 @@ def test_surface(spark, sf):
         site.forecast()
 
 
+def test_no_caps(spark):
+    from datetime import timedelta
+    now = datetime(2024, 1, 1, 12)
+    rows = [(now - timedelta(seconds=i), str(i), "a", "x", 1.0) for i in range(6000)]
+    df = sales_rows(spark, rows)
+    assert kpis.realtime(df, now).first().sample_size == 3601
+    assert kpis.realtime(df, now, sample=10).first().sample_size == 10
+    assert ranking.page(df, 5000).count() == 5000
+    flagged = quality.flag_extremes(df.limit(50))
+    assert flagged.count() == 50 and not flagged.filter("is_extreme").count()
+    with pytest.raises(ValueError):
+        numbers.checked_horizon(31)
+
+
+def test_detector_counts_in_the_figures(spark, sf):
+    from tallyloom.operators.anomaly.detector import AnomalyDetector
+    rows = load_event_sales(spark, sf).withColumn("product_name", F.col("category"))
+    found = AnomalyDetector("isolation_forest", key=["transaction_id"]).fit(rows, ["quantity", "total_amount"])
+    site = SalesAnalytics(rows, detector=found)
+    assert site.kpi_summary(30).first().anomaly_count == site.anomalies(30).count() > 0
+
+
+@pytest.mark.parametrize("columns", [["transaction_id", "total_amount"], ["quantity", "unit_price", "category"]])
+def test_lines_alone_are_read_without_a_join_of_orders(spark, sf, columns):
+    assert "o_orderkey" not in plan(load_sales(spark, sf, columns))
+
+
 def test_files(spark, sf, tmp_path):
     rows = load_sales(spark, sf)
     files.write_csv(rows, f"{tmp_path}/csv")

@@ -83,11 +83,26 @@ def test_late_rows_go_aside(spark, tmp_path):
 
 def test_counters(spark, sf, tmp_path):
     stream = pipeline.read_event_sales(spark, sf, ["timestamp", "transaction_id"])
+    counters = sinks.Counters()
+    spark.streams.addListener(counters)
     run = sinks.start_append(stream, f"{tmp_path}/o", f"{tmp_path}/c")
     run.awaitTermination()
     history = load_sales(spark, sf, ["transaction_id"])
-    row = sinks.stream_stats(run, spark, latest=spark.read.parquet(f"{tmp_path}/o"), history=history).first()
+    row = sinks.stream_stats(run, spark, counters, latest=spark.read.parquet(f"{tmp_path}/o"), history=history).first()
     assert row.total == row.buffer_size == 1000 and row.total_available == 1000 + row.historical_records
+    spark.streams.removeListener(counters)
+
+
+def test_counters_of_more_batches_than_spark_remembers(spark, tmp_path):
+    spark.range(0, 130, 1, 130).selectExpr("id", "timestamp_seconds(id) as timestamp").write.parquet(f"{tmp_path}/in")
+    counters = sinks.Counters()
+    spark.streams.addListener(counters)
+    stream = spark.readStream.schema("id bigint, timestamp timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = sinks.start_append(stream, f"{tmp_path}/o", f"{tmp_path}/c")
+    run.awaitTermination()
+    assert len(run.recentProgress) <= 100 < counters.batch.get(str(run.id), 200)
+    assert sinks.stream_stats(run, spark, counters).first().total == 130
+    spark.streams.removeListener(counters)
 
 
 def test_jobs(spark, sf, tmp_path):
