@@ -41,3 +41,24 @@ ADVICE = [
 ]
 ADVICE_NONE = "Monitor this data point for recurring patterns"
 SUMMARY_NONE = "Unusual pattern detected across multiple features"
+
+# Titles, messages and actions of single insights; braces hold the figures.
+INSIGHT_TEXTS = {
+    "revenue_up_action": "Continue strategies driving growth",
+    "revenue_down_action": "Investigate causes of revenue decline",
+    "region_action": "Investigate factors affecting {region} sales and consider regional promotions.",
+    "critical_title": "{critical_count} Critical Anomalies Detected",
+    "high_title": "{high_count} High-Priority Anomalies",
+    "critical_message": "There are {critical_count} critical anomalies requiring immediate attention. These represent significant deviations from expected patterns.",
+    "high_message": "Detected {high_count} high-priority anomalies that should be reviewed.",
+    "critical_action": "Review critical anomalies immediately and investigate root causes.",
+    "anomaly_region_action": "Investigate operational issues in {region} region.",
+    "forecast_up_action": "Prepare for increased demand",
+    "forecast_down_action": "Consider promotional activities to boost sales",
+    "weekend_title": "Weekend Sales Outperformance",
+    "weekday_title": "Weekday Sales Dominance",
+    "weekend_message": "Weekend sales average {weekend_text}/day vs {weekday_text}/day on weekdays. Consider weekend-focused campaigns.",
+    "weekday_message": "Weekday sales are stronger ({weekday_text}/day) than weekends ({weekend_text}/day).",
+    "weekend_action": "Increase weekend staffing and promotional activities.",
+    "weekday_action": "Consider weekend promotions to boost off-peak sales.",
+}

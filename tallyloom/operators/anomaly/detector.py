@@ -56,7 +56,7 @@ class AnomalyDetector:
     def transform(self, df: DataFrame, return_scores: bool = True) -> DataFrame:
         """Adds is_anomaly_ml, anomaly_score, standard scores, is_anomaly, severity and severity_z."""
         if self.stats is None:
-            raise RuntimeError("Model not trained. Call fit() first.")
+            raise RuntimeError("this detector has not been fitted")
         missing = [c for c in self.columns if c not in df.columns]
         out = df.withColumns({c: F.lit(0.0) for c in missing}) if missing else df
         if self.algorithm == "lof":
@@ -93,7 +93,7 @@ class AnomalyDetector:
     def save(self, spark: SparkSession, path: str) -> str:
         """Small Parquet tables below ``path``; for lof also the scored training points."""
         if self.stats is None:
-            raise RuntimeError("Cannot save untrained model")
+            raise RuntimeError("only a fitted detector can be saved")
         threshold = self.forest.threshold if self.forest else self.threshold
         spark.createDataFrame([(self.algorithm, self.contamination, self.zscore_threshold, self.columns, threshold)],
                               "algorithm string, contamination double, zscore_threshold double, "

@@ -117,6 +117,6 @@ def pipeline(df: DataFrame, strict: bool = True, order: list[str] | None = None)
     if strict:
         valid, errors = quality.is_valid(df)
         if not valid:
-            raise ValueError(f"Data validation failed: {errors}")
+            raise ValueError(f"the rows do not pass validation: {errors}")
     featured = engineer(quality.clean(df, order))
     return featured, series.daily_features(featured)

@@ -57,7 +57,7 @@ class EnsembleForecastModel:
 
     def forecast(self, daily: DataFrame, horizon: int = 7) -> DataFrame:
         if self.weights is None:
-            raise RuntimeError("Model not trained. Call train() first.")
+            raise RuntimeError("this ensemble has not been trained")
         parts = [m.forecast(daily, horizon) for m in self.models.values()]
         if self.include_arima:
             parts.append(autoregression.forecast(autoregression.fit(daily, segment=self.segment), horizon, self.segment))

@@ -58,7 +58,7 @@ class SalesForecastModel:
         """Numeric features (null as 0) and the target (null as its median)."""
         for c in ("date", self.target):
             if c not in daily.columns:
-                raise ValueError(f"Missing required column: {c}")
+                raise ValueError(f"the daily table lacks the column {c}")
         self.columns = numeric_columns(daily, NEVER_FEATURES | {self.target} | set(self.segment))
         rows = daily.select(*self.segment, "date", self.target, *[
             F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in self.columns])
@@ -151,7 +151,7 @@ class SalesForecastModel:
 
     def _require_fit(self) -> None:
         if not self.fitted:
-            raise RuntimeError("Model not trained. Call train() first.")
+            raise RuntimeError("this model has not been trained")
 
     def predict_rows(self, df: DataFrame, confidence: bool = False) -> DataFrame:
         """Adds ``prediction`` and, for forests, deviation and interval over the trees."""

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, labels, numbers
+from ..functions import dates, fixed, labels, numbers
 from ..functions.numbers import growth_rate, ratio, round_currency
 from ..schema import INSIGHT_SCHEMA
 from ..session import stage
@@ -247,7 +247,7 @@ def _dressed(rule: str, f: DataFrame) -> tuple[DataFrame, Column | str, Column |
         f = f.withColumns({**texts, "direction": F.when(up, "Up").otherwise("Down"),
                            "current_text": _money("current_revenue"), "previous_text": _money("previous_revenue")})
         return (f, F.when(F.abs(growth) > REVENUE_HIGH, "high").otherwise("medium"),
-                F.when(up, "Continue strategies driving growth").otherwise("Investigate causes of revenue decline"))
+                F.when(up, fixed.INSIGHT_TEXTS["revenue_up_action"]).otherwise(fixed.INSIGHT_TEXTS["revenue_down_action"]))
     if rule == "volume":
         return f.withColumns({"count_text": labels.format_count(F.col("transaction_count")),
                               "aov_text": _money("avg_order_value")}), "info", None
@@ -264,44 +264,32 @@ def _dressed(rule: str, f: DataFrame) -> tuple[DataFrame, Column | str, Column |
             "names", F.array_join(F.transform("top_products", lambda p: p["product_name"]), ", "))
         return f.withColumn("top_products", F.to_json("top_products")), "info", None
     if rule == "region_decline":
-        action = F.concat(F.lit("Investigate factors affecting "), F.col("region"),
-                          F.lit(" sales and consider regional promotions."))
-        return f.withColumns(texts), "high", action
+        return f.withColumns(texts), "high", _fill(fixed.INSIGHT_TEXTS["region_action"], f)
     if rule == "weekly_trend":
         return f.withColumns({**texts, "direction": F.when(up, "upward").otherwise("downward"),
                               "direction_title": F.when(up, "Upward").otherwise("Downward")}), "medium", None
     if rule == "best_worst_day":
         return f.withColumns({"best_text": _money("best_revenue"), "worst_text": _money("worst_revenue")}), "info", None
     if rule == "anomaly_severity":
-        critical, c, h = F.col("critical_count") > 0, F.col("critical_count").cast("string"), F.col("high_count").cast("string")
-        f = f.withColumns({
-            "title_text": F.when(critical, F.concat(c, F.lit(" Critical Anomalies Detected")))
-            .otherwise(F.concat(h, F.lit(" High-Priority Anomalies"))),
-            "message_text": F.when(critical, F.concat(
-                F.lit("There are "), c, F.lit(" critical anomalies requiring immediate attention. "
-                                              "These represent significant deviations from expected patterns.")))
-            .otherwise(F.concat(F.lit("Detected "), h, F.lit(" high-priority anomalies that should be reviewed.")))})
-        return (f, F.when(critical, "critical").otherwise("high"), F.when(
-            critical, "Review critical anomalies immediately and investigate root causes."))
+        critical = F.col("critical_count") > 0
+        worded = lambda part: F.when(critical, _fill(fixed.INSIGHT_TEXTS[f"critical_{part}"], f)).otherwise(
+            _fill(fixed.INSIGHT_TEXTS[f"high_{part}"], f))
+        f = f.withColumns({"title_text": worded("title"), "message_text": worded("message")})
+        return (f, F.when(critical, "critical").otherwise("high"), F.when(critical, fixed.INSIGHT_TEXTS["critical_action"]))
     if rule == "anomaly_regions":
-        return f, "high", F.concat(F.lit("Investigate operational issues in "), F.col("region"), F.lit(" region."))
+        return f, "high", _fill(fixed.INSIGHT_TEXTS["anomaly_region_action"], f)
     if rule == "forecast":
         f = f.withColumns({**texts, "direction": F.when(up, "increase").otherwise("decrease"),
                            "direction_title": F.when(up, "Increase").otherwise("Decrease"),
                            "total_text": _money("forecast_total")})
         return (f, F.when(F.abs(growth) < FORECAST_HIGH, "medium").otherwise("high"),
-                F.when(up, "Prepare for increased demand").otherwise("Consider promotional activities to boost sales"))
+                F.when(up, fixed.INSIGHT_TEXTS["forecast_up_action"]).otherwise(fixed.INSIGHT_TEXTS["forecast_down_action"]))
     if rule == "forecast_plain":
         return f.withColumns({"total_text": _money("forecast_total"), "avg_text": _money("forecast_daily_avg")}), "medium", None
-    weekend, a, b = F.col("better") == "weekend", _money("weekend_avg"), _money("weekday_avg")
-    f = f.withColumns({
-        "title_text": F.when(weekend, "Weekend Sales Outperformance").otherwise("Weekday Sales Dominance"),
-        "message_text": F.when(weekend, F.concat(
-            F.lit("Weekend sales average "), a, F.lit("/day vs "), b,
-            F.lit("/day on weekdays. Consider weekend-focused campaigns.")))
-        .otherwise(F.concat(F.lit("Weekday sales are stronger ("), b, F.lit("/day) than weekends ("), a, F.lit("/day).")))})
-    return f, "low", F.when(weekend, "Increase weekend staffing and promotional activities.").otherwise(
-        "Consider weekend promotions to boost off-peak sales.")
+    weekend, texts = F.col("better") == "weekend", fixed.INSIGHT_TEXTS
+    f = f.withColumns({"weekend_text": _money("weekend_avg"), "weekday_text": _money("weekday_avg")})
+    either = lambda part: F.when(weekend, _fill(texts[f"weekend_{part}"], f)).otherwise(_fill(texts[f"weekday_{part}"], f))
+    return f.withColumns({"title_text": either("title"), "message_text": either("message")}), "low", either("action")
 
 
 def present(rule: str, figures: DataFrame, as_of: datetime) -> DataFrame:
@@ -325,7 +313,7 @@ def present(rule: str, figures: DataFrame, as_of: datetime) -> DataFrame:
 def figures(cells: DataFrame, breakdown: DataFrame | None = None, forecast: DataFrame | None = None) -> dict[str, DataFrame]:
     """The figures of every rule that has its inputs."""
     products = cells.filter("dim = 'product_name'")
-    # days, categories and regions are a handful of rows: one partition spares every rule its shuffles
+    # days, categories and regions are a handful of rows in folders of their own: one partition spares the rules their shuffles
     cells = cells.filter("dim <> 'product_name'").coalesce(1)
     out = {
         "revenue": revenue_figures(cells), "volume": volume_figures(cells),
@@ -347,7 +335,7 @@ def generate(df: DataFrame, as_of: datetime, days: int = 30, baseline: str = "al
              breakdown: DataFrame | None = None, forecast: DataFrame | None = None,
              ordered: bool = True) -> DataFrame:
     """All insights, most urgent first. No current rows, no insights."""
-    cells = stage(summarise(df, as_of, days, baseline), "cells")
+    cells = stage(summarise(df, as_of, days, baseline), "cells", by="dim")
     if breakdown is not None:
         breakdown = stage(breakdown, "breakdown")
     rows = None

@@ -38,7 +38,7 @@ class SalesAnalytics:
         if self._as_of is None:
             self._as_of = filters.newest(self.sales)
         if self._as_of is None:
-            raise ValueError("No data available")
+            raise ValueError("the sales table is empty, so there is no reference time")
         return self._as_of
 
     def _recent(self, days: int) -> DataFrame:
@@ -65,7 +65,7 @@ class SalesAnalytics:
     def forecast(self, horizon: int = 7) -> DataFrame:
         model = self._model()
         if len(self.sales.take(MIN_FORECAST_ROWS)) < MIN_FORECAST_ROWS:
-            raise ValueError("Insufficient data for forecasting")
+            raise ValueError(f"a forecast takes {MIN_FORECAST_ROWS} sales or more")
         daily = aggregates.daily(self.sales, model.segment)
         return rounded(model.forecast(daily, checked_horizon(horizon)))
 
@@ -74,12 +74,12 @@ class SalesAnalytics:
 
     def _model(self) -> SalesForecastModel:
         if self.forecast_model is None or not self.forecast_model.fitted:
-            raise RuntimeError("Forecast model not available")
+            raise RuntimeError("pass a fitted forecast_model to ask for forecasts")
         return self.forecast_model
 
     def _detected(self, days: int) -> DataFrame:
         if self.detector is None:
-            raise RuntimeError("Anomaly detector not available")
+            raise RuntimeError("pass a fitted detector to ask for anomalies")
         return self.detector.transform(self._recent(days))
 
     def anomalies(self, days: int = 7, severity: str | None = None) -> DataFrame:

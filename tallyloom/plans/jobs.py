@@ -22,7 +22,7 @@ def train_forecast(sales: DataFrame, model_dir: str | None = None, algorithm: st
                    n_splits: int = 5, horizon: int = 7, **options) -> tuple[SalesForecastModel, DataFrame]:
     """Clean, aggregate, cross-validate, fit, save and forecast. Needs at least 100 rows."""
     if len(sales.take(MIN_ROWS)) < MIN_ROWS:
-        raise ValueError("Insufficient data for training")
+        raise ValueError(f"training takes {MIN_ROWS} sales or more")
     daily = stage(series.daily_features(quality.clean(sales)).dropna(), "daily")
     model = SalesForecastModel(algorithm, **options)
     model.train_with_cv(daily, n_splits)

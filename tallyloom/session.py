@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_given: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "tallyloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,17 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_dir(spark)}/tallyloom-{label}-{uuid.uuid4().hex}"
+    """An unused path below the shared folder, noted for ``clear_staged``."""
+    path = f"{shared_dir(spark)}/tallyloom-{label}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def clear_staged(spark: SparkSession) -> int:
+    """Delete what this application has staged so far. Call it once results that read staged tables are written."""
+    jvm, paths = spark._jvm, _given.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
+def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Used where one expensive frame feeds several actions: the copy is columnar, so each later
-    pass reads only the columns it needs, and it survives the loss of executors.
+    pass reads only the columns it needs, and it survives the loss of executors. With ``by``, a
+    column of few values, each value has a folder of its own, which filters on it then read alone.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
