@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -19,6 +19,8 @@ from .common import BROADCAST_ROWS, staged_keys
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Longs of a set's bit map: bit h % 2048 is set for each of its shingles h.
 BITS = 32
+#: Members of a bucket that one task compares with as many others at most.
+BLOCK_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -153,12 +155,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"))
 
 
-def _may_reach(percent: int, n: Column, bits: Column, other_n: Column, other_bits: Column) -> Column:
-    """False only for sets that cannot share ``percent`` of their union: a bit that one map has and the other lacks stands
-    for a shingle that is not shared."""
-    missing = lambda x, y: reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS)])
-    shared = F.least(n - missing(bits, other_bits), other_n - missing(other_bits, bits))
-    return 100 * shared >= percent * (n + other_n - shared)
+def _likely(config: MinHash):
+    """Sorted batches (bucket, i, j, block, id, component, hub, old, n, bits) -> (a, b): pairs of different components of one
+    bucket, not tested before, whose bit maps do not rule them out.
+
+    A bit that one map has and the other lacks stands for a shingle that is not shared, so the bound is exact. Rows of one
+    (bucket, i, j) lie together: at most two blocks of a bucket, compared slice by slice.
+    """
+    def pairs(rows: dict[str, np.ndarray], bits: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = np.flatnonzero(rows["block"] == rows["i"])
+        right = left if same else np.flatnonzero(rows["block"] == rows["j"])
+        n, old, hub, component = rows["n"], rows["old"], rows["hub"], rows["component"]
+        for at in range(0, len(left), 64):
+            x, y = left[at:at + 64, None], right[None, :]
+            open_ = (component[x] != component[y]) & (hub[x] | hub[y]) & ~(old[x] | old[y])
+            open_ &= 100 * np.minimum(n[x], n[y]) >= config.percent * np.maximum(n[x], n[y])
+            if same:
+                open_ &= x < y
+            where = np.nonzero(open_)
+            for cut in range(0, len(where[0]), 20_000):
+                p, q = left[at + where[0][cut:cut + 20_000]], right[where[1][cut:cut + 20_000]]
+                own, other = bits[p], bits[q]
+                shared = np.minimum(n[p] - np.bitwise_count(own & ~other).sum(axis=1, dtype=np.int64), n[q] - np.bitwise_count(other & ~own).sum(axis=1, dtype=np.int64))
+                ok = (100 + config.percent) * shared >= config.percent * (n[p] + n[q])
+                yield np.minimum(rows["id"][p[ok]], rows["id"][q[ok]]), np.maximum(rows["id"][p[ok]], rows["id"][q[ok]])
+
+    def group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        rows = {c: table.column(c).to_numpy() for c in table.column_names if c != "bits"}
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), BITS)
+        for a, b in pairs(rows, bits, rows["i"][0] == rows["j"][0]):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    now = tuple(keys[:, lo])
+                    if held and now != key:
+                        yield from group(held)
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    key = now
+        if held:
+            yield from group(held)
+    return run
+
+
+def _candidates(rest: DataFrame, maps: DataFrame, old: int, new: int | None, config: MinHash) -> DataFrame:
+    """Untested pairs (a, b) with a hub: the least id of each of ``new`` hash classes of a bucket, or any member if None.
+    Pairs with a hub of ``old`` classes have been tested. Buckets are compared in pairs of blocks, each a piece of work."""
+    hubs = lambda n: rest.groupBy("bucket", F.pmod("h", F.lit(n)).alias("c")).agg(F.min("id").alias("id")).select("bucket", "id").distinct()
+    marked = rest.join(hubs(old).withColumn("old", F.lit(True)), ["bucket", "id"], "left")
+    if new is not None:
+        marked = marked.join(hubs(new).withColumn("hub", F.lit(True)), ["bucket", "id"], "left")
+    else:
+        marked = marked.withColumn("hub", F.lit(True))
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("long")
+    dealt = (marked.join(maps, "id").withColumn("block", F.pmod("h", blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+             .select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component",
+                     F.coalesce("hub", F.lit(False)).alias("hub"), F.coalesce("old", F.lit(False)).alias("old"), "n", "bits"))
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_likely(config), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -166,9 +227,9 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows
 
     Signatures put each distinct shingle set into ``bands`` buckets. In a bucket only star-shaped pairs are made: all
     members with the least id. Pairs are confirmed on full sets and joined into components. A bucket whose members are
-    then still in several components is starred again around 8, 64, ... centres until no two of its members in
-    different components are untested, so stars lose no link and a bucket of alike texts costs one pair a member. Of
-    these later pairs, those whose bit maps of 2,048 bits prove them too different are not read in full.
+    then still in several components is starred again around 8, then 64 more centres, and what is then still apart is
+    compared with all of its bucket, so stars lose no link and a bucket of alike texts costs one pair a member. These
+    later comparisons are of bit maps of 2,048 bits, in blocks; only pairs that the maps cannot rule out are made.
 
     Exact copies are grouped first, by a hash of the whole set, and are represented by their least id. A null or
     word-less text has an empty set and is linked with nothing. Rows without doc_id are linked with nothing, have a
@@ -193,23 +254,14 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows
 
     pairs = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     labels = components(_confirmed(pairs, sets, config.percent))
-    centres, last = 8, 1
-    while True:
+    for old, new in ((1, 8), (8, 64), (64, None)):
         placed = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         open_ = (placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
                  .where("lo < hi").select("bucket", "size"))
-        rest = stage(placed.join(open_, "bucket").withColumn("h", F.abs(F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)))), "open")
-        largest = rest.agg(F.max("size")).first()[0]
-        if not largest or last > largest * largest:
+        rest = stage(placed.join(open_, "bucket").withColumn("h", F.xxhash64("id")), "open")
+        if not rest.limit(1).count():
             break
-        old = rest.groupBy("bucket", F.pmod("h", F.lit(last)).alias("c")).agg(F.min("id").alias("id")).select("bucket", "id")
-        new = rest.groupBy("bucket", F.pmod("h", F.lit(centres)).alias("c")).agg(F.min("id").alias("id")).select("bucket", "id")
-        hubs = (rest.join(new, ["bucket", "id"], "left_semi").join(old, ["bucket", "id"], "left_anti").join(maps, "id")
-                .select("bucket", F.col("id").alias("hub"), F.col("component").alias("hub_component"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")))
-        spokes = rest.select("bucket", "id", "component").join(maps, "id")
-        likely = ((spokes["bucket"] == hubs["bucket"]) & (F.col("component") != F.col("hub_component"))
-                  & _may_reach(config.percent, F.col("n"), F.col("bits"), F.col("hub_n"), F.col("hub_bits")))
-        pairs = spokes.join(hubs, likely).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = _candidates(rest, maps, old, new, config)
         found = _confirmed(pairs, sets, config.percent)
         left, right = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         merged = components(found.join(left, "a", "left").join(right, "b", "left")
@@ -217,7 +269,6 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows
         known = members.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         labels = stage(known.join(merged.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
                        .select("id", F.coalesce("top", "component").alias("component")), "labels")
-        last, centres = centres, centres * 8
 
     return (nodes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
