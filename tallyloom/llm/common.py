@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def least_hashed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The ``size`` rows of least hash of ``key``: a sample that depends on neither order nor partitioning.
+
+    A cut-off from the count of rows leaves little more than ``size`` rows before they are sorted, however many there are.
+    """
+    share = min(1.0, (size + 10.0 * math.sqrt(size) + 100.0) / max(rows.count(), 1))
+    code = F.pmod(F.xxhash64(key), F.lit(1 << 31))
+    return rows.where(code < int((1 << 31) * share)).orderBy(code, key).limit(size)
+
+
 def sized(keys: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``keys`` with a broadcast hint if its counted rows are within ``limit``, else as it is."""
     return F.broadcast(keys) if rows <= limit else keys

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import let, prefix_sums
+from .common import least_hashed, let, prefix_sums
 
 #: Base kinds in their order: name, pattern, the group whose length counts, its least length.
 BASE = (
@@ -70,8 +70,8 @@ def samples(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     values = F.transform(base_spans(text), lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["value"], BASE[0][1], 2)).otherwise(s["value"]))
     ordinary = F.filter(F.split(text, f"[^{ALPHABET}]+"), lambda x: F.length(x) >= 6)
     each = docs.select(let(values, lambda v: F.array(v, F.array_except(ordinary, v))).alias("lists")).select(F.posexplode("lists").alias("ordinary", "list"))
-    distinct = each.select((F.col("ordinary") == 0).alias("secret"), F.explode("list").alias("string")).distinct()
-    least = lambda secret: distinct.where(F.col("secret") == secret).orderBy(F.xxhash64("string"), "string").limit(size)
+    distinct = stage(each.select((F.col("ordinary") == 0).alias("secret"), F.explode("list").alias("string")).distinct(), "strings", by="secret")
+    least = lambda secret: least_hashed(distinct.where(F.col("secret") == secret), "string", size)
     return least(True).unionByName(least(False)).select("string", "secret")
 
 
