@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 #: Labelled pages, at most, that the model learns from: those of least hash of page_id.
 SAMPLE_PAGES = 2000
 
@@ -178,7 +180,7 @@ def main_text(pages: list[Page], model: TreeModel, threshold: float = 0.5) -> li
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, rounds: int = 300, ridge: float = 1e-3) -> TreeModel:
     """The model from at most ``sample_pages`` labelled pages of ``pages`` (page_id, html).
 
-    Spark parses the sample and counts distinct (traits, label, parent's label); on these counts trait weights are a
+    The sample takes pages of least hash of page_id; of rows that repeat an id, one; none without id. Spark parses it and counts distinct (traits, label, parent's label); on these counts trait weights are a
     ridge-regularised logistic regression in numpy, and pair potentials the log ratios of joint and separate shares.
     Without labelled pages, the weights say what the side parts' names say, and texts count as content.
     """
@@ -193,7 +195,9 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, rounds: int = 300, r
             columns = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.bool_()))], ["traits", "content", "above"])
 
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).select("html")
+    whole = pages.where("page_id is not null and html is not null").select("page_id", "html")
+    chosen = least_hashed(whole.select("page_id").distinct(), "page_id", sample_pages)
+    sample = whole.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).select("html")
     rows = sample.mapInArrow(counted, "traits string, content boolean, above boolean").groupBy("traits", "content", "above").count().collect()
     if not rows:
         return TreeModel({"side": -8.0, "text": 1.0}, 0.0, ((2.0, 0.0), (0.0, 2.0)))
