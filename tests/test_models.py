@@ -162,7 +162,9 @@ def test_forest_model(spark, tmp_path):
     model.save(spark, f"{tmp_path}/m")
     back = SalesForecastModel.load(spark, f"{tmp_path}/m")
     assert back.forecast(df, 4).collect() == model.forecast(df, 4).collect()
-    assert model.forecast(df, 99).count() == 30
+    assert model.forecast(df, 30).count() == 30
+    with pytest.raises(ValueError):
+        model.forecast(df, 99)
     with pytest.raises(RuntimeError):
         SalesForecastModel().forecast(df)
 
