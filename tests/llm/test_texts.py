@@ -75,8 +75,10 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
-def test_later_stars_find_links_that_the_first_misses(spark):
-    """One band of one bin puts whole families into one bucket, so its first star alone would lose links."""
+@pytest.mark.parametrize("block", [near_dedup.BLOCK_ROWS, 6])
+def test_later_stars_find_links_that_the_first_misses(spark, monkeypatch, block):
+    """Bands of one bin put whole families into one bucket, so its first star alone would lose links."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
     docs = [d for d in families(11, 3, 40)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
     config = near_dedup.MinHash(bands=30, rows=1)
