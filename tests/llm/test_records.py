@@ -193,6 +193,36 @@ def test_order_matters_to_the_trained_model(spark):
     assert lm_scoring.scored(train.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [lm_scoring.COMMON, 4])
+def test_rare_words_have_their_own_probabilities(spark, monkeypatch, common):
+    """Words of one hash class differ by their exact share of it, whether sent to the tasks or joined."""
+    monkeypatch.setattr(lm_scoring, "COMMON", common)
+    settings = lm_scoring.Settings(words=2, classes=2, width=3, batch=64)
+    counts = {"the": 400, "of": 300, **{f"w{i}": 40 + 2 * i for i in range(12)}, "once": 1}
+    words = [w for w, n in counts.items() for _ in range(n)]
+    random.Random(5).shuffle(words)
+    train = spark.createDataFrame([(i, " ".join(words[i * 50:i * 50 + 50])) for i in range(-(-len(words) // 50))], "doc_id long, text string")
+    model = lm_scoring.fit(train, settings)
+    class_of = {w: lm_scoring.hash_class(w, settings) for w in [*counts, "xqzzy"]}
+    whole = {c: (sum(counts[w] for w in own), len(own)) for c in (2, 3) for own in [[w for w in counts if class_of[w] == c and w not in ("the", "of")]]}
+    def share(w):
+        n, kinds = whole[class_of[w]]
+        return np.log((counts.get(w, 0) + 0.5) / (n + 0.5 * (kinds + 1)))
+    probes = ["w0", "w11", "w5", "once", "xqzzy"]
+    texts = [f"the {w} of the {w}" for w in probes] + [None, "", "the of"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0])], "doc_id long, text string")
+    got = lm_scoring.scored(table, model).collect()
+    assert len(got) == len(texts) + 2
+    by_id = {r.doc_id: r.log_likelihood for r in got}
+    assert by_id[5] == by_id[6] == 0 and abs(by_id[None] - by_id[0]) < 1e-9
+    listed = lm_scoring.Vocabulary(model.words, settings)
+    for i, w in enumerate(probes):
+        ids, places, _ = lm_scoring.laid_out([texts[i]], listed, settings)
+        of_classes = lm_scoring.Network(settings, model.weights).log_probabilities(ids, places).sum()
+        assert abs(by_id[i] - of_classes - 2 * share(w)) < 1e-4
+    assert (model.rare.count() > 0) == (common == 4)
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_stages_do_what_their_operators_say(spark, sf):
