@@ -26,6 +26,12 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
              "sub sup time tt u var wbr img br".split())
 #: A start tag of the first closes an open one of the others.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: They mark the article, the first of them that a page has, and end what is inherited from a side part around them.
+MARKS = ("article", "main")
+#: Never side parts, whatever their names say.
+WHOLE = {"html", "body"}
+#: A name that begins so tells what the element has or lacks, not what it is.
+OUTER_FIRST = {"no", "not", "with", "without", "has", "have", "hide"}
 #: Page parts besides the article, by element and by words of class, id or role.
 SIDE_TAGS = set("nav header footer aside form dialog menu button fieldset".split())
 SIDE_WORDS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form "
@@ -52,10 +58,15 @@ class Page:
         self.text.append(text)
         self.tag.append(tag)
         self.side.append(side)
-        self.below.append(side or self.below[parent])
+        self.below.append(side or self.below[parent] and tag not in MARKS)
         return len(self.parent) - 1
 
 
+def names_side(name: list[str]) -> bool:
+    """Whether a name, split into words, is that of a side part, not of a page with or without one (no-sidebar, search-page)."""
+    return name[0] not in OUTER_FIRST and name[-1] != "page" and any(w in SIDE_WORDS for w in name)
+
+
 def parse(source: str) -> Page:
     """Block elements with their texts. Inline elements only mark links; unclosed and unopened tags are tolerated."""
     page, stack, pieces = Page(), [(0, "#root")], []
@@ -115,11 +126,12 @@ def parse(source: str) -> Page:
             stack.pop()
             if stack[-1][1] in IMPLIED.get(tag, ()):
                 stack.pop()
-        words = []
+        names = []
         if m[3] and not m[3].isspace():
-            words = [w for found in NAMED.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(found).lower()) if w]
-        side = tag in SIDE_TAGS or any(w in SIDE_WORDS for w in words)
-        below = page.below[stack[-1][0]]
+            names = [re.split("[_-]+", n) for found in NAMED.findall(m[3]) for n in "".join(found).lower().split()]
+        words = [w for n in names for w in n if w]
+        side = tag in SIDE_TAGS or tag not in WHOLE and any(names_side(n) for n in names)
+        below = page.below[stack[-1][0]] and tag not in MARKS
         traits = ["below side"] if below else ["side"] if side else [f"is {tag}", *(f"named {w}" for w in words)]
         stack.append((page.add(stack[-1][0], tag, traits, side), tag))
     flush()
@@ -129,7 +141,7 @@ def parse(source: str) -> Page:
 def labels(page: Page) -> list[bool] | None:
     """Labels of a page that marks its article: content is what lies in ``article`` (else ``main``) outside side parts.
     None for a page without such a mark."""
-    mark = next((t for t in ("article", "main") if t in page.tag), None)
+    mark = next((t for t in MARKS if t in page.tag), None)
     if mark is None:
         return None
     out = [False]

@@ -132,6 +132,19 @@ def test_extraction_without_marks_and_of_odd_pages(spark, sf):
     assert html_extract.extracted(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["<body class='single no-sidebar'>", "<div class='content with-sidebar'>", "<div id='search-page'>", "<div class='page-header-fixed'>", "<form>"])
+@pytest.mark.parametrize("mark", ["article", "main"])
+def test_a_wrapper_named_like_a_side_part_keeps_its_article(spark, wrapper, mark):
+    model = html_extract.fit(queries.table(spark, "/root/testdata/sf0.01", "pages"))
+    prose = "Words of the main text, long enough to be read as prose by any measure there is."
+    page = (f"{wrapper}<nav><ul><li><a href=1>Home</a></li></ul></nav><{mark}><h1>Head line</h1><p>{prose}</p><p>{prose}</p>"
+            f"<aside><p>Beside it.</p></aside></{mark}><div class='ad'><p>{prose}</p></div><footer>(c)</footer>")
+    want = [f"Head line\n\n{prose}\n\n{prose}"]
+    assert html_extract.main_text([html_extract.parse(page)], model) == want
+    if "fixed" not in wrapper and "form" not in wrapper:  # known from their names alone, without a mark
+        assert html_extract.main_text([html_extract.parse(page.replace(f"<{mark}>", "<div>").replace(f"</{mark}>", "</div>"))], model) == want
+
+
 def test_marginals_match_enumeration():
     """Sum-product on small random trees equals the sum over all labellings."""
     rnd = random.Random(7)
