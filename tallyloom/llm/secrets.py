@@ -55,12 +55,72 @@ class RandomStrings:
 
     ratios: tuple[float, ...]
 
-    def score(self, string: Column) -> Column:
-        """The log-likelihood ratio of a string of the alphabet; character 0 stands before its first."""
+    def pairs(self, string: Column) -> Column:
+        """The log-likelihood ratio of each character of a string of the alphabet; character 0 stands before its first."""
         table = F.lit(list(self.ratios))
         codes = F.transform(F.split(string, ""), lambda c: F.ascii(c))
-        pairs = lambda c: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(c, F.lit(1), F.size(c) - 1)), c, lambda a, b: F.get(table, a * CODES + b))
-        return F.aggregate(let(codes, pairs), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
+        return let(codes, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(c, F.lit(1), F.size(c) - 1)), c,
+                                               lambda a, b: F.coalesce(F.get(table, a * CODES + b), F.lit(0.0))))
+
+    def score(self, string: Column) -> Column:
+        """The log-likelihood ratio of a string of the alphabet."""
+        return F.aggregate(self.pairs(string), F.lit(0.0), lambda t, x: t + x)
+
+    def parts(self, string: Column, threshold: float) -> Column:
+        """Structs (start, end) of what is random in a string: all of it if its score exceeds ``threshold``, else every part of
+        ``LEAST`` characters or more whose score does, and that no fall by ``threshold`` splits."""
+        nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
+        def of(p: Column) -> Column:
+            whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.size(p).cast("long").alias("end")))
+            return (F.when(F.aggregate(p, F.lit(0.0), lambda t, x: t + x) > threshold, whole)
+                    .when(F.size(p) <= LEAST, nothing).otherwise(_random_parts(p, threshold)))
+        return let(self.pairs(string), of)
+
+
+#: Ratios are summed as whole numbers of this part of a nat.
+GRAIN = 1 << 20
+
+
+def _random_parts(ratios: Column, threshold: float) -> Column:
+    """Structs (start, end) of the parts of ``LEAST`` ratios or more with a sum over ``threshold``, in one pass over running sums.
+
+    A part ends where its sum is highest; it is closed by a fall below that by ``threshold``, and the next may start from its
+    end on. The lowest running sum ``LEAST`` places back is the best start: ``low`` of this part, ``next`` of the one after it.
+    """
+    least = int(threshold * GRAIN)
+    state = "struct<low:bigint,start:bigint,best:bigint,end:bigint,peak:bigint,next:bigint,next_start:bigint,parts:array<struct<start:bigint,end:bigint>>>"
+    none = F.lit((1 << 62)).cast("long")
+    zero = F.struct(none.alias("low"), F.lit(0).cast("long").alias("start"), F.lit(least).cast("long").alias("best"), F.lit(-1).cast("long").alias("end"),
+                    F.lit(0).cast("long").alias("peak"), none.alias("next"), F.lit(0).cast("long").alias("next_start"),
+                    F.array().cast("array<struct<start:bigint,end:bigint>>").alias("parts")).cast(state)
+
+    def made(*values: Column) -> Column:
+        return F.struct(*[v.alias(n) for n, v in zip(("low", "start", "best", "end", "peak", "next", "next_start", "parts"), values)]).cast(state)
+
+    def step(a: Column, x: Column) -> Column:
+        back, now, at = x["back"], x["now"], x["at"]  # the running sums before a part of LEAST ratios and after it
+        i = at - LEAST
+        lower = (a["end"] < 0) & (back < a["low"])
+        later = (a["end"] >= 0) & (i >= a["end"]) & (back < a["next"])
+        low, start = F.when(lower, back).otherwise(a["low"]), F.when(lower, i).otherwise(a["start"])
+        nxt, next_start = F.when(later, back).otherwise(a["next"]), F.when(later, i).otherwise(a["next_start"])
+        return (F.when(now - low > a["best"], made(low, start, now - low, at, now, none, F.lit(0).cast("long"), a["parts"]))
+                .when((a["end"] >= 0) & (now < a["peak"] - least),
+                      made(nxt, next_start, F.lit(least).cast("long"), F.lit(-1).cast("long"), F.lit(0).cast("long"), none, F.lit(0).cast("long"),
+                           F.concat(a["parts"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end"))))))
+                .otherwise(made(low, start, a["best"], a["end"], a["peak"], nxt, next_start, a["parts"])))
+
+    def closed(a: Column) -> Column:
+        return F.when(a["end"] < 0, a["parts"]).otherwise(F.concat(a["parts"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))))
+
+    def passed(sums: Column) -> Column:
+        places = F.sequence(F.lit(LEAST).cast("long"), F.size(sums).cast("long"))
+        backs = F.concat(F.array(F.lit(0).cast("long")), sums)
+        steps = F.zip_with(F.zip_with(places, F.slice(sums, F.lit(LEAST), F.size(sums)), lambda p, s: F.struct(p.alias("at"), s.alias("now"))),
+                           F.slice(backs, F.lit(1), F.size(sums) - LEAST + 1), lambda q, b: F.struct(q["at"].alias("at"), q["now"].alias("now"), b.alias("back")))
+        return F.aggregate(steps, zero, step, closed)
+
+    return let(prefix_sums(F.transform(ratios, lambda r: F.round(r * GRAIN).cast("long"))), passed)
 
 
 def samples(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -98,15 +158,38 @@ def fit(labelled: DataFrame, uniform: float = 0.5, smoothing: float = 0.5) -> Ra
     return RandomStrings(tuple(ratios))
 
 
+def _masked(text: Column, base: Column) -> Column:
+    """``text`` with blanks for what ``base``, sorted spans, covers."""
+    before = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    def step(a: Column, s: Column) -> Column:
+        upto = F.greatest(a["at"], s["start"])
+        cut = F.substring(text, (a["at"] + 1).cast("int"), (upto - a["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - upto, F.lit(0)).cast("int"))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["parts"], F.array(F.concat(cut, blank))).alias("parts"))
+    rest = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, before, step, rest))
+
+
+def _to_edges(run: Column, part: Column) -> Column:
+    """``part`` of ``run`` up to the next '=', '/', '_' or '-' on each side, so that no end of a secret stays."""
+    value = F.translate(run["value"], "=_-", "///")
+    edge = lambda at: F.substring(value, at.cast("int"), F.lit(1)) == "/"
+    before = F.when(edge(part["start"] + 1), "").otherwise(F.substring_index(F.substring(value, F.lit(1), part["start"].cast("int")), "/", -1))
+    after = F.when(edge(part["end"]), "").otherwise(F.substring_index(F.substring(value, (part["end"] + 1).cast("int"), F.length(value)), "/", 1))
+    start, end = part["start"] - F.length(before), part["end"] + F.length(after)
+    return F.struct((run["start"] + start).alias("start"), (run["start"] + end).alias("end"),
+                    F.substring(run["value"], (start + 1).cast("int"), (end - start).cast("int")).alias("value"))
+
+
 def spans(text: Column, model: RandomStrings, threshold: float = 15.0) -> Column:
-    """All spans (start, kind, end, value) sorted: the base, and runs that the models take for random by ``threshold`` nats
-    and that touch no base span. A null text has none; the whole text is read."""
+    """All spans (start, kind, end, value) sorted: the base, and what the models take for random by ``threshold`` nats in the
+    runs outside base spans: the whole run, or parts of it. A null text has none; the whole text is read."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    judged = F.filter(found(text, f"[{ALPHABET}]{{{LEAST},}}"), lambda s: s["value"].rlike("[A-Za-z]") & (model.score(s["value"]) > threshold))
-    def joined(base: Column) -> Column:
-        free = F.filter(_kind(judged, len(BASE)), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.array_sort(F.concat(base, free))
-    return let(base_spans(text), joined)
+    def judged(rest: Column) -> Column:
+        runs = F.filter(found(rest, f"[{ALPHABET}]{{{LEAST},}}"), lambda s: s["value"].rlike("[A-Za-z]"))
+        each = F.transform(runs, lambda s: F.transform(model.parts(s["value"], threshold), lambda p: _to_edges(s, p)))
+        return F.filter(F.array_distinct(F.flatten(each)), lambda s: s["value"].rlike("[A-Za-z]"))
+    return let(base_spans(text), lambda base: F.array_sort(F.concat(base, _kind(judged(_masked(text, base)), len(BASE)))))
 
 
 def listed(spans: Column) -> Column:

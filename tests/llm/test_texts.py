@@ -256,6 +256,25 @@ def test_markov_models_tell_random_from_ordinary(spark):
     assert all((h[0]["start"], h[0]["end"]) == (4, 36) for h in hits[:200] if h)
 
 
+def test_secrets_joined_to_ordinary_text_are_found(spark):
+    rnd, path = random.Random(1), "user/the/list/count/data/time/value/name/index/"
+    labelled = [(random_string(rnd), True) for _ in range(300)] + [("/".join(rnd.choices(path[:-1].split("/"), k=6)), False) for _ in range(1500)]
+    model = secrets.fit(spark.createDataFrame(labelled, "string string, secret boolean"))
+    keys = ["Qz8vT1xWb4Lk9Rm2Pf7Yc3Hd", "9f3kq7zx2mv8bt4wJ6Ns5Gu0"]
+    texts = [path + keys[0], f"{path * 3}{keys[0]}/{path * 3}{keys[1]}/{path}", "AKIA" + "B2" * 9 + "/" + keys[0], path * 4,
+             f"token=abcdef1 {keys[1]}", "x" + "deadbeef" * 4 + "_" + keys[1], f"{path * 40}{keys[1]}" * 3]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [s for s in r.secrets if s["kind"] == 3] for r in secrets.scanned(table, model).collect()}
+    for i, text in enumerate(texts):
+        assert all(text[s["start"]:s["end"]] == s["value"] for s in found[i])
+        for k in keys:
+            for m in re.finditer(k, text):
+                assert any(s["start"] <= m.start() and m.end() <= s["end"] for s in found[i]), (i, k)
+    assert not found[3]
+    assert [(s["start"], s["end"]) for s in found[0]] == [(len(path), len(path) + 24)]
+    assert not any(k in r.text for k in keys for r in secrets.redact(table, model).collect())
+
+
 def test_redaction_leaves_no_base_secret(spark):
     texts = secret_texts()
     table = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, secrets string")
