@@ -21,6 +21,8 @@ TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Their content is no text of the page.
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "select", "xmp", "noembed", "noframes"}
+#: Of these, those that a tag ending in '/>' closes, and those that take the rest of the page if no end tag follows.
+CLOSABLE, TO_END = {"svg", "iframe", "select", "noscript", "template"}, {"script", "style", "title", "textarea"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong "
              "sub sup time tt u var wbr img br".split())
@@ -70,7 +72,7 @@ def names_side(name: list[str]) -> bool:
 def parse(source: str) -> Page:
     """Block elements with their texts. Inline elements only mark links; unclosed and unopened tags are tolerated."""
     page, stack, pieces = Page(), [(0, "#root")], []
-    state = {"link": False, "linked": 0}
+    state, unclosed = {"link": False, "linked": 0}, set()
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
@@ -115,8 +117,15 @@ def parse(source: str) -> Page:
                     pass
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = close.end() if close else end
+            if tag in unclosed or tag in CLOSABLE and source[at - 2] == "/":
+                continue
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if close:
+                at = close.end()
+            elif tag in TO_END:
+                at = end
+            else:
+                unclosed.add(tag)
             continue
         flush()
         state["link"] = False

@@ -145,6 +145,15 @@ def test_a_wrapper_named_like_a_side_part_keeps_its_article(spark, wrapper, mark
         assert html_extract.main_text([html_extract.parse(page.replace(f"<{mark}>", "<div>").replace(f"</{mark}>", "</div>"))], model) == want
 
 
+@pytest.mark.parametrize("tag", ["svg", "iframe", "select", "noscript", "template"])
+def test_raw_elements_take_only_their_own_content(tag):
+    texts = lambda source: [t for t in html_extract.parse(source).text if t]
+    assert texts(f"<p>a</p><{tag} x='1' /><p>b</p><{tag}>c</{tag}><p>d</p>") == ["a", "b", "d"]
+    assert texts(f"<p>a</p><{tag}><p>b</p><{tag}><p>d</p>") == ["a", "b", "d"]
+    assert texts("<p>a</p><script>b</script x><p>c</p><script>d</script>") == ["a", "c"]
+    assert texts("<p>a</p><script>b<p>c</p>") == ["a"]
+
+
 def test_marginals_match_enumeration():
     """Sum-product on small random trees equals the sum over all labellings."""
     rnd = random.Random(7)
