@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import bpe, chat_format, decontaminate, html_extract, lm_scoring, near_dedup, quality_rules, secrets, token_counts, warc
+from . import bpe, chat_format, collocations, decontaminate, html_extract, jaccard_join, lm_scoring, near_dedup, quality_rules, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +158,38 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+OP11_SQL = OP9_SQL.replace("len(w) < 5", "len(w) < 3").replace("len(w) - 3)", "len(w) - 1)").replace("w[i:i + 4]", "w[i:i + 2]").replace("* p.c >= 75 *", "* p.c >= 90 *").replace(
+    "select n.doc_id, n.n as n_shingles, min(r.r) as component_id, n.doc_id = min(r.r) as kept", "select n.doc_id, n.n as n_shingles, min(r.r) as component_id")
+
+
+@query("op11_jaccard_join", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that links of nine tenths of their 3-word shingles connect."""
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""with
+t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from t),
+w as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from w, (select unnest([1, 2, 3]) as k) where len(w) >= k),
+f as (select lang, k, phrase, count(*) as a from g group by all),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as s from f where k > 1 and a >= 10),
+x as (select lang, k, phrase, a, s, unnest(range(1, k)) as i from c),
+y as (select x.lang, x.k, x.phrase, x.a, x.i, l.a as l, r.a as r, (1000000::hugeint * x.a * x.a) // (l.a::hugeint * r.a) as score from x
+  join f l on l.lang = x.lang and l.phrase = array_to_string(x.s[1:x.i], ' ') join f r on r.lang = x.lang and r.phrase = array_to_string(x.s[x.i + 1:x.k], ' ')),
+z as (select * from y qualify row_number() over (partition by lang, phrase order by score, i) = 1),
+b as (select lang, a, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) as phrase from c where k = 3),
+m as (select lang, phrase, max(a) as more from b group by all),
+o as (select z.* from z left join m on z.lang = m.lang and z.phrase = m.phrase where coalesce(100 * m.more < 50 * z.a, true)),
+q as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from o)
+select q.lang, q.rank, q.phrase, q.a, q.l, q.r, n.n, q.score::bigint as score from q join n on q.lang = n.lang where q.rank <= 2000"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
