@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import bpe, chat_format, collocations, decontaminate, html_extract, jaccard_join, lm_scoring, near_dedup, quality_rules, secrets, token_counts, warc
+from . import bpe, chat_format, collocations, decontaminate, html_extract, jaccard_join, lm_scoring, near_dedup, prefix_trie, quality_rules, secrets, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,6 +170,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 
 
+OP12_SQL = r"""with
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as r, role, text from t),
+c as (select conv_id, count(*) as n, conv_id - conv_id % 20 as base, xor(list_reduce(list_prepend(4294967295::bigint,
+        list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint)), lambda acc, b:
+        list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda u, z: case when u & 1 = 1 then xor(u >> 1, 3988292384) else u >> 1 end)),
+        4294967295::bigint) % 4 as h from o group by conv_id),
+d as (select c.*, least(c.h, coalesce(b.n, 0)) as taken from c left join c b on c.base = b.conv_id),
+p as (select d.conv_id, o.r + 1 as depth, o.role, o.text from d join o on o.conv_id = d.base and o.r < d.taken
+  union all select d.conv_id, o.r - d.h + d.taken + 1, o.role, o.text from d join o on o.conv_id = d.conv_id and o.r >= d.h),
+q as (select conv_id, depth, len(regexp_extract_all(text, '[^ 	-]+')) as words,
+        string_agg(length(role) || ':' || role || length(text) || ':' || text, '' order by depth) over (partition by conv_id order by depth) as k from p
+  union all select conv_id, 0, 0, '' from d),
+l as (select conv_id, max(depth) as length from q group by conv_id),
+n as (select depth, k, min(conv_id) as conv, count(*) as n_convs, max(words) as words from q group by all),
+m as (select n.*, a.conv as parent from n left join q on q.conv_id = n.conv and q.depth = n.depth - 1 left join n a on a.depth = q.depth and a.k = q.k),
+h as (select parent, depth - 1 as depth, count(*) as n_children from m where depth > 0 group by all),
+f as (select m.*, coalesce(h.n_children, 0) as n_children from m left join h on h.parent = m.conv and h.depth = m.depth),
+s as (select q.depth, q.k, count(*) filter (where f.n_children = 0) as n_leaves, sum((f.n_convs - 1) * f.words)::bigint as saved_tokens
+  from f join q on q.conv_id = f.conv and q.depth <= f.depth group by all),
+e as (select q.depth, q.k, string_agg(q.conv_id::varchar, ',' order by q.conv_id) as ids from q join l on l.conv_id = q.conv_id and l.length = q.depth group by all)
+select f.conv as conv_id, f.depth::bigint as depth, f.parent as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from f join s on s.depth = f.depth and s.k = f.k left join e on e.depth = f.depth and e.k = f.k"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations' first turns with totals over subtrees."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 OP13_SQL = r"""with
 t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from t),
