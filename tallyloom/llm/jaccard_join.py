@@ -30,6 +30,8 @@ from .near_dedup import components, mix, shingles
 #: Rows of a region that one task compares with as many others at most.
 BLOCK_ROWS = 1000
 SALTS = 16
+#: Classes of a sketch for each class that regions are made of.
+FINE = 4
 
 
 @dataclass(frozen=True)
@@ -87,10 +89,10 @@ def regions(values: np.ndarray, config: JaccardJoin) -> np.ndarray:
 
 
 def sketch(values: np.ndarray, config: JaccardJoin) -> np.ndarray:
-    """Counts of the hash classes of the set's own bracket: few bytes beside the set itself."""
-    m = config.classes(len(values).bit_length() - 1)
+    """Counts of hash classes, about one for each of the set's shingles: few bytes beside the set itself, but near its distances."""
+    m = FINE * config.classes(len(values).bit_length() - 1)
     where, sizes, _ = parts(values, m)
-    counts = np.zeros(m, "<u4")
+    counts = np.zeros(m, "<u2")
     counts[where] = sizes
     return counts
 
@@ -102,7 +104,7 @@ def fold(counts: np.ndarray, m: int) -> np.ndarray:
 
 def level(rows: list[bytes], m: int | None = None) -> np.ndarray:
     """Sketches of unequal brackets as one matrix of ``m`` classes, by default the coarsest."""
-    counts = [np.frombuffer(r, "<u4") for r in rows]
+    counts = [np.frombuffer(r, "<u2") for r in rows]
     m = m or min(map(len, counts))
     return np.stack([fold(c, m) for c in counts])
 
@@ -138,34 +140,29 @@ def _sets(config: JaccardJoin):
 
 
 def _placed(config: JaccardJoin):
-    """Batches (region, id, component, home, sketch, width, pivots) -> (region, id, component, home, pivot, near).
+    """Batches (region, id, component, home, sketch, width, pivots) -> (region, id, home, among, cells, near), ``among`` pivots.
 
-    A row goes to its nearest pivot's region and, as a guest, to each pivot not farther than that by twice the threshold:
-    who is within the threshold of a row whose home is p is itself no farther from p. ``near`` rows may link with p.
+    ``cells`` are the row's nearest pivot and, after it, each one not farther than that by twice the threshold: who is within
+    the threshold of a row whose home is p is itself no farther from p. ``near`` are the pivots that it may link with.
     One region's distances are all in as many classes as its coarsest sketch of ``width`` bytes has.
     """
     wide = 2.0 * (100 - config.percent) / 100 + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("region", "id", "component", "home", "pivot", "near")}
+            cells, close = [], []
             for row in batch.to_pylist():
                 pivots = row["pivots"]
-                counts = level([row["sketch"], *[p["sketch"] for p in pivots]], row["width"] // 4)
+                counts = level([row["sketch"], *[p["sketch"] for p in pivots]], row["width"] // 2)
                 apart = np.abs(counts[1:] - counts[0]).sum(axis=1)
                 both = counts[1:].sum(axis=1) + counts[0].sum()
                 far = 2.0 * apart / np.maximum(both + apart, 1)
                 possible = (100 + config.percent) * (both - apart) >= 2 * config.percent * both
                 nearest = int(far.argmin())
-                for k in np.flatnonzero(far <= far[nearest] + wide).tolist():
-                    out["region"].append(row["region"])
-                    out["id"].append(row["id"])
-                    out["component"].append(row["component"])
-                    out["home"].append(bool(row["home"] and k == nearest))
-                    out["pivot"].append(pivots[k]["id"])
-                    out["near"].append(bool(possible[k] and pivots[k]["component"] != row["component"]))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("region", pa.int64()), ("id", pa.int64()), ("component", pa.int64()), ("home", pa.bool_()),
-                                                             ("pivot", pa.int64()), ("near", pa.bool_())]))
+                cells.append([pivots[nearest]["id"]] + [pivots[k]["id"] for k in np.flatnonzero(far <= far[nearest] + wide).tolist() if k != nearest])
+                close.append([p["id"] for p, yes in zip(pivots, possible) if yes and p["component"] != row["component"]])
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("id"), batch.column("home"), pa.array([len(row) for row in batch.column("pivots")], pa.int32()),
+                                              pa.array(cells, pa.list_(pa.int64())), pa.array(close, pa.list_(pa.int64()))], ["region", "id", "home", "among", "cells", "near"])
     return run
 
 
@@ -238,7 +235,7 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` (region, id, home) with components, of those regions that still hold several; with the region's rows."""
     placed = rows.join(labels, "id", "left").select("region", "id", "home", F.coalesce("component", "id").alias("component"))
     several = placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    return stage(placed.join(several.select("region", "size"), "region"), "open")
+    return stage(placed.join(staged_keys(several.select("region", "size"), "several"), "region"), "open")
 
 
 def _with(rows: DataFrame, small: DataFrame, key: str, limit: int, how: str = "left") -> DataFrame:
@@ -298,12 +295,14 @@ def joined(docs: DataFrame, config: JaccardJoin = JaccardJoin(), broadcast_rows:
         drawn = stage(large.join(sketches, "id"), "drawn")
         coarsest = drawn.groupBy("region").agg(F.min(F.octet_length("sketch")).alias("width"))
         dealt = stage(drawn.join(chosen.join(coarsest, "region"), "region").select("region", "id", "component", "home", "sketch", "width", "pivots")
-                      .mapInArrow(_placed(config), "region long, id long, component long, home boolean, pivot long, near boolean"), "dealt")
-        labels = _relabelled(labels, _links(dealt.where("near").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")), sets, config.percent))
-        cost = dealt.groupBy("region", "pivot").count().groupBy("region").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
-        shrunk = stage(large.groupBy("region").agg(F.max("size").alias("size")).join(cost, "region")
-                       .where(2 * F.col("cost") <= F.col("size") * F.col("size")).select("region"), "shrunk")
-        split = dealt.join(shrunk, "region").select(F.xxhash64("region", "pivot").alias("region"), "id", "home")
+                      .mapInArrow(_placed(config), "region long, id long, home boolean, among int, cells array<long>, near array<long>"), "dealt")
+        close = dealt.select("id", F.explode("near").alias("pivot")).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+        labels = _relabelled(labels, _links(close, sets, config.percent))
+        # worth a split if the cells, were they of one size, hold at most half of the pairs
+        shrunk = staged_keys(dealt.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("cells")).alias("held"), F.max("among").alias("among"))
+                             .where(2.0 * F.col("held") * F.col("held") <= 1.0 * F.col("among") * F.col("n") * F.col("n")).select("region"), "shrunk")
+        split = (dealt.join(shrunk, "region").select("region", "id", "home", F.posexplode("cells").alias("k", "pivot"))
+                 .select(F.xxhash64("region", "pivot").alias("region"), "id", (F.col("home") & (F.col("k") == 0)).alias("home")))
         whole = large.join(shrunk, "region", "left_anti").select("region", "id", "home")
         work = _open(split.unionByName(whole), labels)
     finished.append(work.select("region", "id", "home"))
