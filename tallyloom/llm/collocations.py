@@ -7,6 +7,7 @@ then read by composing a range's transducer with the automaton of the phrases as
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ class Collocations:
     least: int = 10
     within: int = 50
     top: int = 2000
-    block_words: int = 1 << 19
+    block_words: int = 1 << 20
     range_words: int = 1 << 20
 
 
@@ -41,6 +42,26 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().translate(TO_END).replace(END, b" " + END + b" ").split()
 
 
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """Integer arrays as steps in the fewest bytes each, compressed; the first eight bytes tell their size."""
+    out = io.BytesIO()
+    for a in arrays:
+        step = np.diff(a.astype(np.int64), prepend=0)
+        low, high = (int(step.min()), int(step.max())) if len(step) else (0, 0)
+        kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        np.save(out, step.astype(kind), allow_pickle=False)
+    raw = out.getvalue()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = io.BytesIO(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+    out, end = [], raw.getbuffer().nbytes
+    while raw.tell() < end:
+        out.append(np.cumsum(np.load(raw, allow_pickle=False), dtype=np.int64))
+    return out
+
+
 def _blocks(config: Collocations):
     """Batches (lang, text) -> (block, lang, words, counts, tokens): ``tokens`` are places in the sorted ``words``, -1 for an end."""
     def flush(block: int, lang: str, held: list[bytes]) -> pa.RecordBatch:
@@ -51,7 +72,7 @@ def _blocks(config: Collocations):
         counts = np.bincount(tokens[tokens >= 0], minlength=len(symbols))
         return pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.array([lang]), pa.array([symbols], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())),
-             pa.array([tokens.tobytes()], pa.binary())], ["block", "lang", "words", "counts", "tokens"])
+             pa.array([packed([tokens])], pa.binary())], ["block", "lang", "words", "counts", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, total = TaskContext.get().partitionId() << 32, {}, 0
@@ -74,9 +95,9 @@ def _blocks(config: Collocations):
 
 
 class Ranges:
-    """Prefix ranges: n-grams in the order of their first two words, cut into ``count`` parts of like many occurrences.
+    """Prefix ranges: n-grams in the order of the prefixes of their first two words, cut into ``count`` parts of like many occurrences.
 
-    Only the first two bytes of a word count, so the histogram behind it has 65,793 rows at most.
+    A prefix is two bytes, so the histogram behind it has 65,792 rows at most; n-grams of equal prefixes are in one range.
     """
 
     def __init__(self, histogram: list[tuple[bytes, int]], range_words: int):
@@ -138,6 +159,10 @@ class Transducer:
                 _, where, back = np.unique(one, return_index=True, return_inverse=True)
                 if (two[where][back] != two).any():  # unlike states of one hash: all stay apart
                     where = back = np.arange(len(full))
+                order = np.argsort(where)  # numbered as they first occur, so that steps between arcs are small
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                where, back = where[order], place[back]
                 state[full] = back
                 kept = full[where]
                 take = _runs(begin[kept], size[kept])
@@ -148,7 +173,7 @@ class Transducer:
         return Transducer(symbols, levels)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """All counted n-grams in sorted order with their counts."""
+        """All counted n-grams with their counts, by length and in sorted order."""
         rows, counts = [], []
         state, prefix = np.zeros(1, np.int64), np.empty((1, 0), np.int64)
         for k, (edge, symbol, weight, to) in enumerate(self.levels):
@@ -160,9 +185,7 @@ class Transducer:
             counts.append(weight[arcs][ends])
             on = to[arcs] >= 0
             prefix, state = prefix[on], to[arcs][on]
-        grams, counts = np.concatenate(rows), np.concatenate(counts)
-        order = np.lexsort(grams.T[::-1])
-        return grams[order], counts[order]
+        return np.concatenate(rows), np.concatenate(counts)
 
     def compose(self, asked: list[list[bytes]]) -> np.ndarray:
         """Counts of the phrases ``asked``, 0 for others: all are read at once, level by level."""
@@ -214,26 +237,32 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct n-grams in sorted order with summed counts."""
     if not len(grams):
         return grams, counts
-    order = np.lexsort(grams.T[::-1])
-    grams, counts = grams[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)]))
+    width = int(grams.max()) + 2
+    if width < 1 << 20:  # one number for an n-gram
+        code = np.zeros(len(grams), np.int64)
+        for i in range(MOST):
+            code = code * width + grams[:, i] + 1
+        order = np.argsort(code, kind="stable")
+        new = np.diff(code[order], prepend=-1) != 0
+    else:
+        order = np.lexsort(grams.T[::-1])
+        new = np.concatenate([[True], (grams[order[1:]] != grams[order[:-1]]).any(axis=1)])
+    grams, counts, first = grams[order], counts[order], np.flatnonzero(new)
     return grams[first], np.add.reduceat(counts, first)
 
 
-LEVELS = [(f"{name}{k}", kind) for k in range(MOST) for name, kind in (("edge", "int"), ("symbol", "int"), ("weight", "long"), ("to", "int"))]
-PARTS = "lang string, prefix_range long, symbols array<binary>, " + ", ".join(f"{name} array<{kind}>" for name, kind in LEVELS)
+PARTS = "lang string, prefix_range long, symbols array<binary>, arcs binary"
 
 
 def _row(lang: str, prefix_range: int, part: Transducer) -> pa.RecordBatch:
-    arrays = [pa.array([lang], pa.string()), pa.array([prefix_range], pa.int64()), pa.array([part.symbols], pa.list_(pa.binary()))]
-    flat = [a for level in part.levels for a in level]
-    arrays += [pa.array([a.astype(np.int32 if kind == "int" else np.int64)], pa.list_(pa.int32() if kind == "int" else pa.int64())) for a, (_, kind) in zip(flat, LEVELS)]
-    return pa.RecordBatch.from_arrays(arrays, ["lang", "prefix_range", "symbols", *[name for name, _ in LEVELS]])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang], pa.string()), pa.array([prefix_range], pa.int64()), pa.array([part.symbols], pa.list_(pa.binary())),
+         pa.array([packed([a for level in part.levels for a in level])], pa.binary())], ["lang", "prefix_range", "symbols", "arcs"])
 
 
 def _read(batch: pa.RecordBatch, i: int) -> tuple[tuple[str, int], Transducer]:
     """((lang, prefix_range), transducer) of row ``i``."""
-    flat = [batch.column(name)[i].values.to_numpy().astype(np.int64) for name, _ in LEVELS]
+    flat = unpacked(batch.column("arcs")[i].as_py())
     key = (batch.column("lang")[i].as_py(), batch.column("prefix_range")[i].as_py())
     return key, Transducer(batch.column("symbols")[i].as_py(), [tuple(flat[k:k + 4]) for k in range(0, len(flat), 4)])
 
@@ -244,22 +273,12 @@ def _counted(ranges: Ranges):
     Words that are rare everywhere cannot be part of a candidate: like ends, they part what stands around them.
     """
     def grams(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, counts = [], []
+        rows = []
         for n in range(1, MOST + 1):
-            rows = np.stack([tokens[i:len(tokens) - n + 1 + i] for i in range(n)], axis=1)
-            rows = rows[(rows >= 0).all(axis=1)]
-            width = int(tokens.max(initial=0)) + 1
-            if n < MOST or width < 1 << 20:
-                code = rows[:, 0].astype(np.int64)
-                for i in range(1, n):
-                    code = code * width + rows[:, i]
-                code, count = np.unique(code, return_counts=True)
-                rows = np.stack([code // width ** (n - 1 - i) % width for i in range(n)], axis=1)
-            else:
-                rows, count = np.unique(rows, axis=0, return_counts=True)
-            out.append(np.pad(rows, ((0, 0), (0, MOST - n)), constant_values=-1))
-            counts.append(count)
-        return np.concatenate(out), np.concatenate(counts)
+            some = np.stack([tokens[i:len(tokens) - n + 1 + i] for i in range(n)], axis=1)
+            rows.append(np.pad(some[(some >= 0).all(axis=1)], ((0, 0), (0, MOST - n)), constant_values=-1))
+        rows = np.concatenate(rows)
+        return summed(rows, np.ones(len(rows), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,17 +288,20 @@ def _counted(ranges: Ranges):
                 symbols = every.take(pa.array(frequent)).to_pylist()
                 place = np.full(len(every) + 1, -1, np.int64)
                 place[frequent] = np.arange(len(frequent))
-                tokens = place[np.frombuffer(batch.column("tokens")[i].as_py(), np.int32)]
-                rows, counts = grams(tokens)
+                rows, counts = grams(place[unpacked(batch.column("tokens")[i].as_py())[0]])
+                if not len(rows):
+                    continue
                 codes = ranges.codes(symbols)
-                where = ranges.of(codes[rows[:, 0]], np.where(rows[:, 1] < 0, -1, codes[np.maximum(rows[:, 1], 0)])) if len(rows) else np.empty(0, np.int64)
-                for r in np.unique(where):
-                    mine = where == r
-                    used, back = np.unique(rows[mine], return_inverse=True)
-                    back = back.reshape(-1, MOST) - (used[0] < 0)
-                    used = used[used >= 0]
-                    part = Transducer.build([symbols[k] for k in used], *summed(back, counts[mine]))
-                    yield _row(batch.column("lang")[i].as_py(), int(r), part)
+                where = ranges.of(codes[rows[:, 0]], np.where(rows[:, 1] < 0, -1, codes[np.maximum(rows[:, 1], 0)]))
+                order = np.argsort(where, kind="stable")  # n-grams stay sorted inside a range
+                rows, counts, where = rows[order], counts[order], where[order]
+                edges = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+                for lo, hi in zip(edges, edges[1:]):
+                    some = rows[lo:hi]
+                    used = np.flatnonzero(np.bincount(some[some >= 0], minlength=len(symbols)))
+                    move = np.full(len(symbols) + 1, -1, np.int64)
+                    move[used] = np.arange(len(used))
+                    yield _row(batch.column("lang")[i].as_py(), int(where[lo]), Transducer.build([symbols[k] for k in used], move[some], counts[lo:hi]))
     return run
 
 
@@ -293,7 +315,7 @@ def _united(least: int, at_once: int = 16):
         grams, counts = whole.grams()
         often = counts >= least
         used, back = np.unique(np.append(grams[often].reshape(-1), -1), return_inverse=True)
-        part = Transducer.build([whole.symbols[k] for k in used[1:]], back[:-1].reshape(-1, MOST) - 1, counts[often])
+        part = Transducer.build([whole.symbols[k] for k in used[1:]], *summed(back[:-1].reshape(-1, MOST) - 1, counts[often]))
         return _row(key[0], key[1], part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,18 +390,20 @@ def collocations(docs: DataFrame, config: Collocations = Collocations()) -> Data
     one inside a longer candidate of ``within`` percent of its count or more is dropped. Ranked by score, count and phrase.
 
     A null lang is ``und``; a null or empty text has no words; repeated rows count again; an empty table gives no rows; other
-    columns are ignored. Words of fewer than ``least`` occurrences, found by counting all, are part of no candidate and are left
-    out of the transducers; each block is told which of its own words are frequent, so no list of all words is held anywhere.
+    columns are ignored. Words of fewer than ``least`` occurrences, found by counting the hashes of all, are part of no candidate and
+    are left out of the transducers; each block is told which of its own words are frequent, so no list of all words is held
+    anywhere. A rare word that shares its hash with others may stay in; counts are of words, so results do not change.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = stage(rows.mapInArrow(_blocks(config), "block long, lang string, words array<binary>, counts array<long>, tokens binary"), "blocks")
-    listed = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    single = stage(listed.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    histogram = single.groupBy(F.substring("word", 1, 2).alias("k")).agg(F.sum("n").alias("n")).collect()  # two bytes: 65,792 rows at most
+    listed = (blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
+              .select("block", "lang", "place", F.col("w.counts").alias("n"), F.xxhash64("lang", "w.words").alias("h"), F.substring("w.words", 1, 2).alias("k")))
+    totals = stage(listed.groupBy("lang", "k").agg(F.sum("n").alias("n")), "totals")
+    histogram = totals.groupBy("k").agg(F.sum("n").alias("n")).collect()  # two bytes: 65,792 rows at most
     ranges = Ranges([(bytes(r.k), r.n) for r in histogram], config.range_words)
 
-    often = single.where(F.col("n") >= config.least).select("lang", "word")
-    told = listed.select("block", "lang", "place", "word").join(often, ["lang", "word"]).groupBy("block").agg(F.collect_list("place").alias("frequent"))
+    often = stage(listed.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= config.least).select("h"), "often")
+    told = listed.select("block", "place", "h").join(often, "h").groupBy("block").agg(F.collect_list("place").alias("frequent"))
     made = blocks.select("block", "lang", "words", "tokens").join(told, "block").select("lang", "words", "tokens", "frequent").mapInArrow(_counted(ranges), PARTS)
     held = stage(made.repartition("lang", "prefix_range").sortWithinPartitions("lang", "prefix_range").mapInArrow(_united(config.least), PARTS), "ranges")
 
@@ -403,5 +427,5 @@ def collocations(docs: DataFrame, config: Collocations = Collocations()) -> Data
     left = scored.join(beaten, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("more") < config.within * F.col("a"), F.lit(True)))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = left.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= config.top)
-    total = single.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = totals.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
