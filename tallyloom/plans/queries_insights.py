@@ -102,10 +102,17 @@ _RULES = [
 ]
 
 
+#: Rules of several insights, with the table whose rank orders them.
+_RANKED = {"category_growth": "r4", "region_decline": "r7", "anomaly_regions": "areg"}
+
+
 def _all(skip=()):
-    parts = [f"select '{rule}' as rule, '{kind}' as type, {i} as pos, x.* from ({sql}) x" for i, (rule, kind, sql) in enumerate(_RULES) if rule not in skip]
+    def ranked(rule, sql):
+        head, at, tail = sql.rpartition(f" from {_RANKED[rule]}") if rule in _RANKED else (f"select x.*, 0 as rk from ({sql}) x", "", "")
+        return f"{head}, rk{at}{tail}" if at else head
+    parts = [f"select '{rule}' as rule, '{kind}' as type, {i} as pos, x.* from ({ranked(rule, sql)}) x" for i, (rule, kind, sql) in enumerate(_RULES) if rule not in skip]
     return "every as (" + "\nunion all ".join(parts) + """),
-ins as (select rule, type, title, message, cast(priority as integer) as priority, case priority when 1 then 'critical' when 2 then 'high' when 3 then 'medium' when 4 then 'low' else 'info' end as priority_label, action, pos from every)"""
+ins as (select rule, type, title, message, cast(priority as integer) as priority, case priority when 1 then 'critical' when 2 then 'high' when 3 then 'medium' when 4 then 'low' else 'info' end as priority_label, action, pos, rk from every)"""
 
 
 SHOWN = "rule, type, title, message, priority, priority_label, action"
@@ -122,7 +129,7 @@ def insights_all(spark, d):
     return everything(spark, d).select(*NAMES)
 
 
-@query("insights_top", on_sales(f"with {BASE}, {_all()} select {SHOWN} from ins order by priority, pos limit 5"))
+@query("insights_top", on_sales(f"with {BASE}, {_all()} select {SHOWN} from ins order by priority, pos, rk limit 5"))
 def insights_top(spark, d):
     return insights.top(everything(spark, d)).select(*NAMES)
 

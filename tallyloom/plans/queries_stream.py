@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..operators import filters
 from ..operators.anomaly import report
+from ..operators.anomaly.detector import AnomalyDetector
 from ..operators.anomaly.stats import ColumnStats
-from ..session import fresh_path
+from ..session import fresh_path, stage
 from ..sources.star import load_event_sales
 from ..sources.unified import unified_scan
-from ..streaming import pipeline, sinks
-from .queries_anomaly import DETECTED
+from ..streaming import history, metrics, pipeline, scoring, sinks, upsert
+from .queries_anomaly import DETECTED, FEATURES
 from .registry import on_events, plain, query, rounded
 
 # Windows that the watermark has closed when the stream ends: one hour before the newest event.
@@ -132,3 +133,114 @@ def stream_metrics(spark, d):
         return stats.drop("transactions_per_minute")
     finally:
         spark.streams.removeListener(counters)
+
+
+# ------------------------------------------------------------------ fitted models, bounded history, upserts, durable counters
+FOREST_COLUMNS = ["timestamp", "transaction_id", *FEATURES]
+
+
+def event_batches(spark, d, columns, parts=3):
+    """A landing folder with the events in ``parts`` files, oldest first, and its schema."""
+    rows = load_event_sales(spark, d, columns)
+    landing, first, last = f"{fresh_path(spark, 'landing')}/in", *rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    edges = [first + (last - first) * k / parts for k in range(parts)] + [None]
+    for lo, hi in zip(edges, edges[1:]):
+        some = rows.filter(F.col("timestamp") >= F.lit(str(lo)).cast("timestamp"))
+        (some if hi is None else some.filter(F.col("timestamp") < F.lit(str(hi)).cast("timestamp"))).coalesce(1).write.mode("append").parquet(landing)
+    return landing, rows.schema
+
+
+def forest_scored(spark, d, landing, schema):
+    """Arrivals scored by a stored isolation forest, batch by batch."""
+    base = fresh_path(spark, "forest-stream")
+    models = scoring.ModelTable(spark, f"{base}/models")
+    models.publish(AnomalyDetector("isolation_forest", key=["transaction_id"]).fit(load_event_sales(spark, d, FOREST_COLUMNS), FEATURES))
+    scorer = scoring.BatchScorer(spark, models, f"{base}/out")
+    sinks.start_batches(pipeline.read_sales(spark, landing, 1, schema), scorer, f"{base}/checkpoint").awaitTermination()
+    return models, scorer.read()
+
+
+@query("stream_forest", on_events("""select 'scored' as outcome, count(*) as transactions from sales
+union all select 'equal to batch', count(*) from sales"""))
+def stream_forest(spark, d):
+    """How many arrivals the streamed forest scores, and for how many of them score, flag and severity equal the batch result."""
+    landing, schema = event_batches(spark, d, FOREST_COLUMNS)
+    models, live = forest_scored(spark, d, landing, schema)
+    shown = ["transaction_id", "anomaly_score", "is_anomaly_ml", "is_anomaly", "severity"]
+    batch = models.load(1).transform(load_event_sales(spark, d, FOREST_COLUMNS)).select(*shown)
+    live = stage(live.select(*shown), "live")
+    same = live.join(batch.select(F.col("transaction_id").alias("id"), F.struct(*shown[1:]).alias("b")), F.expr("transaction_id = id")).where(F.struct(*shown[1:]) == F.col("b"))
+    count = lambda name, rows: rows.agg(F.lit(name).alias("outcome"), F.count("*").alias("transactions"))
+    return count("scored", live).unionByName(count("equal to batch", same))
+
+
+@query("stream_forest_scores")
+def stream_forest_scores(spark, d):
+    """Scores, flags and severity that a stored isolation forest gives each arrival, in the streaming plan itself."""
+    fitted = AnomalyDetector("isolation_forest", key=["transaction_id"]).fit(load_event_sales(spark, d, FOREST_COLUMNS), FEATURES)
+    models = scoring.ModelTable(spark, fresh_path(spark, "models"))
+    stored = models.load(models.publish(fitted))
+    out = sinks.run_to_end(scoring.scored(pipeline.read_event_sales(spark, d, FOREST_COLUMNS), stored), "forest-scores")
+    return out.select("transaction_id", "anomaly_score", "is_anomaly_ml", "is_anomaly", "severity")
+
+
+def flagged_arrivals(spark, d, landing, schema, threshold=3.0):
+    fitted = ColumnStats.fit(load_event_sales(spark, d, ["total_amount"]), ["total_amount"])
+    stream = filters.flagged(pipeline.score(pipeline.read_sales(spark, landing, 1, schema), fitted, threshold))
+    return stream.select("timestamp", "transaction_id", F.col("total_amount").cast("double").alias("total_amount"), "severity")
+
+
+@query("stream_bounded_history", on_events(f"""with {DETECTED} select transaction_id, ts as "timestamp", cast(total_amount as double) as total_amount, severity
+from det where abs(z)>1 order by ts desc, transaction_id desc limit 1000"""))
+def stream_bounded_history(spark, d):
+    """The newest 1,000 arrivals beyond one standard deviation, kept in state with eviction; the stream is stopped and restarted on the way."""
+    cols = ["timestamp", "transaction_id", "total_amount"]
+    rows = load_event_sales(spark, d, cols)
+    table = history.HistoryTable(spark, fresh_path(spark, "bounded"), 1000)
+    landing, cut = fresh_path(spark, "arrivals"), F.lit(str(filters.newest(rows) - timedelta(days=8))).cast("timestamp")
+    for part in (rows.filter(F.col("timestamp") < cut), rows.filter(F.col("timestamp") >= cut)):
+        part.write.mode("append").parquet(landing)
+        table.start(flagged_arrivals(spark, d, landing, rows.schema, 1.0)).awaitTermination()
+    return table.read()
+
+
+@query("stream_aged_history", on_events(f"""with {DETECTED} select transaction_id, ts as "timestamp", severity from det
+where flag=1 and ts > (select max(ts) from det where flag=1) - interval 1 hour - interval 5 day order by ts desc, transaction_id desc limit 1000"""))
+def stream_aged_history(spark, d):
+    """Flagged arrivals that are at most five days behind the watermark: older ones are evicted by timers."""
+    landing, schema = event_batches(spark, d, ["timestamp", "transaction_id", "total_amount"], 4)
+    table = history.HistoryTable(spark, fresh_path(spark, "aged"), 1000, age="5 days")
+    table.start(flagged_arrivals(spark, d, landing, schema)).awaitTermination()
+    return table.read().select("transaction_id", "timestamp", "severity")
+
+
+@query("stream_upsert", on_events("""with live as (select * from sales where ts >= (select as_of from ref) - interval 12 day),
+past as (select * from sales where ts < (select as_of from ref) - interval 8 day)
+select transaction_id, ts as "timestamp", cast(total_amount as double) as total_amount from live
+union all select transaction_id, ts, cast(total_amount + 1 as double) from past where transaction_id not in (select transaction_id from live)"""))
+def stream_upsert(spark, d):
+    """History and, in three batches, arrivals that correct part of it: one row an id, the arrival's if there is one."""
+    rows = load_event_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])
+    as_of = filters.newest(rows)
+    past = rows.filter(F.col("timestamp") < as_of - timedelta(days=8)).withColumn("total_amount", (F.col("total_amount") + 1).cast("decimal(12,2)"))
+    live = rows.filter(F.col("timestamp") >= as_of - timedelta(days=12))
+    landing, base = fresh_path(spark, "changes"), fresh_path(spark, "upsert")
+    table = upsert.UpsertTable(spark, f"{base}/table", "transaction_id", ["source_rank", "timestamp"])
+    ordered = [past.withColumn("source_rank", F.lit(0))] + [live.filter(F.pmod(F.xxhash64("transaction_id"), F.lit(2)) == k).withColumn("source_rank", F.lit(1)) for k in range(2)]
+    for part in ordered:
+        part.write.mode("append").parquet(landing)
+        sinks.start_batches(pipeline.read_sales(spark, landing, schema=part.schema), table, f"{base}/checkpoint").awaitTermination()
+    return plain(table.read().drop("source_rank"))
+
+
+@query("stream_counters", on_events("""select 3 as batches, count(*) as total, min(ts) as first, max(ts) as last,
+  round(count(*) / greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) * 60, 6) as per_event_minute from sales"""))
+def stream_counters(spark, d):
+    """Counters kept by the batches themselves, over a restart after the first file."""
+    landing, schema = event_batches(spark, d, ["timestamp", "transaction_id", "total_amount"])
+    base = fresh_path(spark, "counters")
+    for _ in range(2):  # the second start finds nothing new and counts nothing twice
+        latest = sinks.LatestTable(spark, f"{base}/latest", 1000)
+        metered = metrics.Metered(spark, f"{base}/metrics", latest)
+        sinks.start_batches(pipeline.read_sales(spark, landing, 1, schema), metered, f"{base}/checkpoint").awaitTermination()
+    return rounded(metered.totals().select(F.col("batches").cast("int").alias("batches"), "total", "first", "last", "per_event_minute"), "per_event_minute", digits=6)
