@@ -333,9 +333,9 @@ def figures(cells: DataFrame, breakdown: DataFrame | None = None, forecast: Data
 
 def generate(df: DataFrame, as_of: datetime, days: int = 30, baseline: str = "all",
              breakdown: DataFrame | None = None, forecast: DataFrame | None = None,
-             ordered: bool = True) -> DataFrame:
-    """All insights, most urgent first. No current rows, no insights."""
-    cells = stage(summarise(df, as_of, days, baseline), "cells", by="dim")
+             ordered: bool = True, cells: DataFrame | None = None) -> DataFrame:
+    """All insights, most urgent first. No current rows, no insights. ``cells``: the summary, if it is at hand."""
+    cells = stage(summarise(df, as_of, days, baseline) if cells is None else cells, "cells", by="dim")
     if breakdown is not None:
         breakdown = stage(breakdown, "breakdown")
     rows = None

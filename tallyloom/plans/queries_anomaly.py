@@ -248,3 +248,17 @@ def job_train_anomaly(spark, d):
     path = fresh_path(spark, "forest")
     jobs.train_anomaly(rows, path)
     return AnomalyDetector.load(spark, path).transform(rows).select("transaction_id", "is_anomaly_ml", "is_anomaly", "severity_z")
+
+
+@query("model_round_trip", on_events("""select a.algorithm, count(*) as transactions, count(*) as equal from sales, (values ('isolation_forest'), ('lof'), ('iqr'), ('zscore')) a(algorithm) group by 1"""))
+def model_round_trip(spark, d):
+    """For each method: on how many transactions the detector read back from its tables agrees with the fitted one in score, flags and severity."""
+    rows, out = load_event_sales(spark, d, ["transaction_id", *FEATURES]), None
+    shown = ["anomaly_score", "is_anomaly_ml", "is_anomaly", "severity"]
+    for algorithm in ("isolation_forest", "lof", "iqr", "zscore"):
+        fitted = AnomalyDetector(algorithm, key=["transaction_id"]).fit(rows, ["quantity", "total_amount"])
+        again = AnomalyDetector.load(spark, fitted.save(spark, fresh_path(spark, "model")))
+        a, b = (m.transform(rows).select("transaction_id", F.struct(*shown).alias(name)) for m, name in ((fitted, "a"), (again, "b")))
+        part = a.join(b, "transaction_id").agg(F.lit(algorithm).alias("algorithm"), F.count("*").alias("transactions"), F.count_if(F.col("a") == F.col("b")).alias("equal"))
+        out = part if out is None else out.unionByName(part)
+    return out

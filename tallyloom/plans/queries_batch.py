@@ -8,14 +8,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, labels, numbers
-from ..operators import aggregates, dedupe, features, filters, kpis, quality, ranking, series
+from ..operators import aggregates, dedupe, features, filters, kpis, quality, ranking, series, sketches
 from ..operators.anomaly.detector import AnomalyDetector
 from ..operators.quantiles import exact_quantiles
 from ..session import fresh_path
 from ..sources import files, unified
 from ..sources.star import latest_sale, load_dirty_sales, load_event_sales, load_newest_sales, load_sales
 from .analytics import SalesAnalytics
-from .registry import (ROLLED, daily_ctes, last_days, on_dirty, on_events, on_sales, plain, query, rounded)
+from .registry import (ROLLED, SQL, daily_ctes, last_days, on_dirty, on_events, on_sales, plain, query, rounded)
 
 DAILY_COLS = ["timestamp", "transaction_id", "quantity", "unit_price", "total_amount", "customer_id"]
 
@@ -749,3 +749,50 @@ def inject_events(spark, d):
         {"type": "spike", "date": day(30), "magnitude": 2.5}, {"type": "drop", "date": day(60), "magnitude": 3.0},
         {"type": "region_drop", "date": day(15), "region": "EUROPE", "magnitude": 2.0}])
     return rounded(out.select("transaction_id", "total_amount", "is_anomaly"), "total_amount")
+
+
+# ------------------------------------------------------------------ distinct counts from daily sketches
+@query("customers_trailing", on_events("""with d as (select distinct cast(ts as date) as date from sales)
+select d.date, count(distinct s.customer_id) as customers_7d, m.n as customers_30d from d join sales s on cast(s.ts as date) between d.date - 6 and d.date
+  join (select d.date, count(distinct s.customer_id) as n from d join sales s on cast(s.ts as date) between d.date - 29 and d.date group by 1) m on m.date = d.date group by 1, 3"""))
+def customers_trailing(spark, d):
+    """Distinct customers of the last 7 and 30 days on each day, from one sketch a day."""
+    daily = sketches.daily_sketches(load_event_sales(spark, d, ["timestamp", "customer_id"]), "customer_id")
+    week, month = (sketches.trailing_distinct(daily, n).withColumnRenamed("n_distinct", f"customers_{n}d") for n in (7, 30))
+    return week.join(month, "date")
+
+
+@query("customers_by_category", on_events("""select category, count(distinct customer_id) as n_distinct from sales
+where cast(ts as date) between cast((select as_of from ref) as date) - 13 and cast((select as_of from ref) as date) group by 1"""))
+def customers_by_category(spark, d):
+    """Distinct customers of each category over the last fourteen calendar days."""
+    rows = load_event_sales(spark, d, ["timestamp", "category", "customer_id"])
+    last = filters.newest(rows).date()
+    return sketches.distinct_between(sketches.daily_sketches(rows, "customer_id", ("category",)), last - timedelta(days=13), last, ("category",))
+
+
+# ------------------------------------------------------------------ files and display text
+@query("export_file", SQL["export_projection"])
+def export_file(spark, d):
+    """The quoted export written and read again; empty cells are written as quoted empty text."""
+    path = files.export_csv(load_sales(spark, d, files.EXPORT_COLUMNS), fresh_path(spark, "export"))
+    return spark.read.schema(", ".join(f"{c} string" for c in files.EXPORT_COLUMNS)).option("header", True).option("emptyValue", "").csv(path)
+
+
+@query("append_transactions", on_events("""select cast(ts as date) as date, count(*) as n, count(distinct transaction_id) as ids, cast(sum(total_amount) as double) as total from sales group by 1"""))
+def append_transactions(spark, d):
+    """Days of sales appended to a landing table one after the other, by halves of the history, and read as one."""
+    rows = load_event_sales(spark, d, ["timestamp", "transaction_id", "total_amount"])
+    landing, cut = fresh_path(spark, "landing"), filters.timestamp_literal(filters.newest(rows) - timedelta(days=3))
+    for part in (rows.filter(F.col("timestamp") < cut), rows.filter(F.col("timestamp") >= cut)):
+        files.add_transactions(spark, part, landing, rows.schema)
+    back = files.read_transactions(spark, landing, schema=rows.schema)
+    return back.groupBy(F.to_date("timestamp").alias("date")).agg(F.count("*").alias("n"), F.countDistinct("transaction_id").alias("ids"), F.sum("total_amount").cast("double").alias("total"))
+
+
+@query("fn_percentage_card", on_events("""with v as (select transaction_id, round(cast(total_amount as double) - 50, 2) as v from sales)
+select transaction_id, concat(case when v > 0 then '+' else '' end, format('{:.1f}', v), '%') as signed, concat(format('{:.1f}', v), '%') as plain from v"""))
+def fn_percentage_card(spark, d):
+    v = F.round(F.col("total_amount").cast("double") - 50, 2)
+    return load_event_sales(spark, d, ["transaction_id", "total_amount"]).select(
+        "transaction_id", labels.format_percentage_card(v).alias("signed"), labels.format_percentage_card(v, include_sign=False).alias("plain"))

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 from ..operators import insights
 from ..operators.anomaly import report, stats
+from ..operators.filters import timestamp_literal
+from ..operators.partials import DailyCells
 from ..session import fresh_path
+from ..sources.files import read_transactions
 from ..sources.star import latest_sale, load_dirty_sales, load_sales
+from ..streaming import sinks
+from ..streaming.pipeline import read_sales
 from . import jobs
 from .queries_anomaly import SEVERITY
 from .queries_batch import _CLEAN
@@ -239,6 +244,37 @@ def job_refresh_insights(spark, d):
     return jobs.refresh_insights(rows, fresh_path(spark, "insights"), latest_sale(spark, d), forecast=forecast).select(*NAMES)
 
 
+@query("job_refresh_incrementally", on_sales(f"with {BASE.replace('/s)>2 then 1', '/s)>3 then 1')}, {_all()} select {SHOWN} from ins"))
+def job_refresh_incrementally(spark, d):
+    """Three refreshes as days go by; the last one reads what is new and equals a refresh from all rows."""
+    rows, as_of = load_sales(spark, d, COLS), latest_sale(spark, d)
+    cells, out = DailyCells(spark, fresh_path(spark, "daily-cells")), fresh_path(spark, "insights")
+    cells.update(rows, (as_of - timedelta(days=40)).date())
+    cells.update(rows, (as_of - timedelta(days=9)).date())
+    return jobs.refresh_insights_incrementally(rows, cells, out, as_of, forecast=naive_forecast(spark, d)).select(*NAMES)
+
+
+@query("stream_refresh", on_sales(f"with {BASE.replace('/s)>2 then 1', '/s)>3 then 1')}, {_all(skip=('forecast',))} select {SHOWN} from ins"))
+def stream_refresh(spark, d):
+    """The insight table kept up to date while sales arrive: each batch stores its finished days and refreshes from them."""
+    rows, as_of = load_sales(spark, d, COLS), latest_sale(spark, d)
+    base = fresh_path(spark, "refresh")
+    landing, cells = f"{base}/landing", DailyCells(spark, f"{base}/cells")
+
+    def refresh(batch, batch_id):
+        arrived = read_transactions(spark, landing, schema=rows.schema)
+        jobs.refresh_insights_incrementally(arrived, cells, f"{base}/insights")
+    cut = timestamp_literal(as_of - timedelta(days=20))
+    for part in (rows.filter(F.col("timestamp") < cut), rows.filter(F.col("timestamp") >= cut)):
+        part.write.mode("append").parquet(landing)
+        run = sinks.start_refresh(read_sales(spark, landing, schema=rows.schema), refresh, f"{base}/checkpoint", "1 second")
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    return jobs.newest_version(spark, f"{base}/insights").select(*NAMES)
+
+
 @query("job_score_anomalies", on_dirty(f"""{_CLEAN}, fin as (select transaction_id, case when abs(amt-q*pr)/(q*pr) > 0.1 then q*pr else amt end as amt from fx),
 st as (select avg(amt) as m, stddev_samp(amt) as s from fin)
 select transaction_id, round((amt-m)/s,4) as total_amount_zscore, case when abs((amt-m)/s)>3 then 1 else 0 end as is_anomaly from fin, st""".replace("st as (select quantile_cont", "q0 as (select quantile_cont").replace("from dd, st)", "from dd, q0)")))

@@ -244,3 +244,17 @@ def stream_counters(spark, d):
         metered = metrics.Metered(spark, f"{base}/metrics", latest)
         sinks.start_batches(pipeline.read_sales(spark, landing, 1, schema), metered, f"{base}/checkpoint").awaitTermination()
     return rounded(metered.totals().select(F.col("batches").cast("int").alias("batches"), "total", "first", "last", "per_event_minute"), "per_event_minute", digits=6)
+
+
+@query("stream_callbacks", on_events("""select category, count(*) as n, cast(sum(total_amount) as double) as total from sales group by 1"""))
+def stream_callbacks(spark, d):
+    """Two handlers of every batch, one of which always fails: the other's table is whole."""
+    base, calls = fresh_path(spark, "callbacks"), sinks.Callbacks()
+
+    def broken(batch, batch_id):
+        raise RuntimeError("a handler that fails")
+    calls.add(broken)
+    calls.add(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}"))
+    landing, schema = event_batches(spark, d, ["timestamp", "transaction_id", "category", "total_amount"])
+    sinks.start_batches(pipeline.read_sales(spark, landing, 1, schema), calls, f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("category").agg(F.count("*").alias("n"), F.sum("total_amount").cast("double").alias("total"))

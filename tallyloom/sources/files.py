@@ -27,9 +27,10 @@ def load_tail(df: DataFrame, buffer_size: int = 10_000) -> DataFrame:
     return df.orderBy(F.desc("timestamp"), F.desc("transaction_id")).limit(buffer_size)
 
 
-def add_transactions(spark: SparkSession, rows: list[dict], landing: str, schema=SALES_SCHEMA) -> None:
-    """Append records to the landing table that the file stream reads."""
-    spark.createDataFrame(rows, schema).write.mode("append").parquet(landing)
+def add_transactions(spark: SparkSession, rows: list[dict] | DataFrame, landing: str, schema=SALES_SCHEMA) -> None:
+    """Append records, or a frame of them, to the landing table that the file stream reads."""
+    frame = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, schema)
+    frame.write.mode("append").parquet(landing)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
