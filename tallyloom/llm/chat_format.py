@@ -58,7 +58,7 @@ def paths(trees: DataFrame, branches: Branches = Branches()) -> DataFrame:
     """
     one = F.min(F.struct("parent", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("r")
     nodes = stage(trees.where("node is not null").groupBy("conv_id", "node").agg(one)
-                  .select(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("tree"), "conv_id", "node", "r.*"), "nodes")
+                  .select(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")).alias("tree"), "conv_id", "node", "r.*"), "nodes")
     real = nodes.select("tree", F.col("node").alias("parent")).withColumn("there", F.lit(True))
     jump = stage(nodes.join(real, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"),

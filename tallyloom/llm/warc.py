@@ -220,13 +220,13 @@ def read(captures: DataFrame) -> DataFrame:
 
 def payload_facts(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): a revisit takes bytes and digest from the response
-    it refers to; digests are computed again from the bytes read."""
-    facts = stage(records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha")), "facts")
-    named = facts.where("refers_to is not null").select(F.col("refers_to").alias("main")).distinct()
-    mains = (facts.where("record_type = 'response'").join(named, F.col("page_id") == F.col("main"), "left_semi")
-             .groupBy(F.col("page_id").alias("main")).agg(F.max(F.struct("size", "sha")).alias("m")))
-    return facts.join(mains, F.col("refers_to") == F.col("main"), "left").select(
-        "page_id", F.coalesce("size", "m.size").alias("payload_bytes"), F.coalesce("sha", "m.sha").alias("payload_digest"), "record_type", "refers_to")
+    it refers to by page and digest, since a page_id may have several; digests are computed again from the bytes read."""
+    facts = stage(records.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha")), "facts")
+    named = facts.where("refers_to is not null").select(F.col("refers_to").alias("page_id"), F.col("digest").alias("sha")).distinct()
+    mains = (facts.where("record_type = 'response'").join(named, ["page_id", "sha"], "left_semi")
+             .groupBy(F.col("page_id").alias("main"), F.col("sha").alias("main_sha")).agg(F.max("size").alias("main_size")))
+    return facts.join(mains, (F.col("refers_to") == F.col("main")) & (F.col("digest") == F.col("main_sha")), "left").select(
+        "page_id", F.coalesce("size", "main_size").alias("payload_bytes"), F.coalesce("sha", "main_sha").alias("payload_digest"), "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -275,3 +275,17 @@ def test_pipeline_stages_do_what_their_operators_say(spark, sf):
 def test_stages_of_no_documents(spark, sf, name):
     none = queries.table(spark, sf, "documents").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, none, sf).count() == 0
+
+
+def test_revisits_find_the_payload_of_their_own_digest(spark):
+    a, b = "A" * 1500, "B" * 2500
+    rows = [(5, a), (5, b), (1, a)]
+    got = {(r.page_id, r.payload_bytes): r for r in warc.round_trip(spark.createDataFrame([(i, f"http://x.org/{i}", h) for i, h in rows], "page_id long, url string, html string")).collect()}
+    assert got[1, 1500].payload_digest == hashlib.sha1(a.encode()).hexdigest() and got[1, 1500].refers_to == 5
+    assert got[5, 2500].record_type == got[5, 1500].record_type == "response"
+
+
+def test_a_conversation_called_none_is_not_the_null_one(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "null"), ("none", 0, "user", "one"), ("none", 1, "assistant", "two")], "conv_id string, turn long, role string, text string")
+    chats = chat_format.format_trees(chat_format.thread(turns))
+    assert sorted((str(r.conv_id), r.text) for r in chat_format.read_back(chats).collect()) == [("None", "null"), ("none", "one"), ("none", "two")]
