@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Code points of a chunk's own part, and of the part it shares with the next chunk.
-CHUNK, OVERLAP = 32_768, 512
-#: Near a chunk's end a boundary may owe itself to the cut: the pattern looks at most so many code points ahead.
+CHUNK, OVERLAP = 16_384, 512
+#: Near a chunk's end a boundary may owe itself to the cut: the pattern looks at most so many code points ahead. It holds for
+#: ``PATTERN``; a pattern that looks farther needs more.
 LOOK_AHEAD = 4
-MEMO_TOKENS, MEMO_LENGTH = 1 << 17, 64
+#: Pre-tokens of one generation of a worker's memo; the generation before is kept as well.
+MEMO_TOKENS, MEMO_LENGTH = 1 << 18, 64
 
 
 class Encoder(dict):
@@ -29,18 +32,23 @@ class Encoder(dict):
 
     def __init__(self, ranks: bytes, pattern: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         pairs = (line.split() for line in ranks.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
 
     def __missing__(self, token: str) -> bytes:
-        packed = np.array(self.merged(token.encode("utf-8", "replace")), "<u4").tobytes()
+        ids = self.before.get(token)
+        if ids is None:
+            merged = self.merged(token.encode("utf-8", "replace"))
+            ids = struct.pack(f"<{len(merged)}I", *merged)
         if len(token) <= MEMO_LENGTH:
-            if len(self) >= MEMO_TOKENS:
+            if len(self) >= MEMO_TOKENS:  # what is still in use comes back from there
+                self.before = dict(self)
                 self.clear()
-            self[token] = packed
-        return packed
+            self[token] = ids
+        return ids
 
     def merged(self, token: bytes) -> list[int]:
         """Merge the adjacent pair of least rank, leftmost first, until no pair has a rank; n log n steps."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 #: Lengths of one block: sums are suffixed inside blocks, and over the short list of blocks.
 BLOCK = 4096
 
@@ -16,12 +18,11 @@ def length_histogram(lengths: DataFrame, block: int = BLOCK) -> DataFrame:
     docs_within (at most that length), share_within, truncated_tokens (all documents cut at that length), total_docs and
     total_tokens. Rows without length are ignored; an empty table gives an empty histogram.
 
-    Documents are counted in the map tasks. Suffix sums are windows inside blocks of ``block`` lengths; what lies beyond
+    Documents are counted in the map tasks, once: the short histogram is staged. Suffix sums are windows inside blocks of ``block`` lengths; what lies beyond
     a block comes from one row per block, so no task sorts all lengths.
     """
-    counts = (lengths.where("n_tokens is not null").groupBy(F.col("n_tokens").cast("long").alias("n_tokens"))
-              .agg(F.count("*").alias("n_docs")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
-              .withColumn("block", F.floor(F.col("n_tokens") / block)))
+    counts = stage(lengths.where("n_tokens is not null").groupBy(F.col("n_tokens").cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs")), "lengths")
+    counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -94,3 +94,23 @@ def test_limits_and_quantiles(spark):
     below = token_counts.length_histogram(spark.createDataFrame([(7,), (9,)], "n_tokens long"))
     one = token_counts.at_limits(below, spark.createDataFrame([(5,)], "context_limit long")).first()
     assert (one.docs_within, one.tokens_within, one.truncated_tokens) == (0, 0, 10)
+
+
+def test_memo_generations_lose_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_TOKENS", 4)
+    own = bpe.Encoder(bpe._file(bpe.RANKS), bpe.PATTERN)
+    for text in odd_texts(5, 200) + ["a b c d e f g h a b c", "x" * 100]:
+        assert own.encode(text) == packed(library, text)
+        assert len(own) <= 4 and len(own.before) <= 4
+
+
+def test_given_tables_hold_chunked_texts(spark):
+    """Texts of the dealt method's own path: longer than one chunk."""
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    assert docs.where(f"length(text) > {bpe.CHUNK + bpe.OVERLAP}").count() > 0
+
+
+def test_histogram_encodes_each_text_once(spark, sf):
+    """The histogram's plan reads staged counts only."""
+    plan = queries.QUERIES["op4_token_counts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
