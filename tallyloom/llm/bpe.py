@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Code points of a chunk's own part, and of the part it shares with the next chunk.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 24_576, 512
 #: Near a chunk's end a boundary may owe itself to the cut: the pattern looks at most so many code points ahead. It holds for
 #: ``PATTERN``; a pattern that looks farther needs more.
 LOOK_AHEAD = 4

@@ -8,6 +8,7 @@ then read by composing a range's transducer with the automaton of the phrases as
 from __future__ import annotations
 
 import io
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,7 +98,8 @@ def _blocks(config: Collocations):
 class Ranges:
     """Prefix ranges: n-grams in the order of the prefixes of their first two words, cut into ``count`` parts of like many occurrences.
 
-    A prefix is two bytes, so the histogram behind it has 65,792 rows at most; n-grams of equal prefixes are in one range.
+    A prefix is two bytes, so the histogram behind it has 65,792 rows at most. A pair of prefixes that is due more than one range
+    is spread over them by hash of the two words, so common beginnings crowd none.
     """
 
     def __init__(self, histogram: list[tuple[bytes, int]], range_words: int):
@@ -108,13 +110,18 @@ class Ranges:
         self.count = -(-total // range_words)
         self.place = {k: i for i, k in enumerate(self.keys)}
 
-    def codes(self, symbols: list[bytes]) -> np.ndarray:
-        return np.array([self.place[w[:2]] for w in symbols], np.int64)
+    def codes(self, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the prefix, hash) of each word; one more of each, for no word, at the end."""
+        return np.array([*(self.place[w[:2]] for w in symbols), -1], np.int64), np.array([*map(zlib.crc32, symbols), 0], np.uint64)
 
-    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The ranges of n-grams by the codes of their first two words; -1 for no second word."""
-        inner = np.where(second < 0, 0.0, self.before[np.maximum(second, 0)])
-        return np.minimum((self.count * (self.before[first] + self.share[first] * inner)).astype(np.int64), self.count - 1)
+    def of(self, codes: tuple[np.ndarray, np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The ranges of n-grams whose first two words are at ``first`` and ``second`` (-1 for none) in ``codes``."""
+        p, q = codes[0][first], codes[0][second]
+        inner = np.where(q < 0, 0.0, self.before[np.maximum(q, 0)])
+        wide = np.where(q < 0, 0.0, self.share[np.maximum(q, 0)])
+        mixed = ((codes[1][first] * np.uint64(2654435761) + codes[1][second] * np.uint64(40503)) >> np.uint64(8)) % np.uint64(1 << 24)
+        at = self.before[p] + self.share[p] * (inner + wide * np.where(self.count * self.share[p] * wide > 1, mixed / float(1 << 24), 0.0))
+        return np.minimum((self.count * at).astype(np.int64), self.count - 1)
 
 
 class Transducer:
@@ -292,7 +299,7 @@ def _counted(ranges: Ranges):
                 if not len(rows):
                     continue
                 codes = ranges.codes(symbols)
-                where = ranges.of(codes[rows[:, 0]], np.where(rows[:, 1] < 0, -1, codes[np.maximum(rows[:, 1], 0)]))
+                where = ranges.of(codes, rows[:, 0], rows[:, 1])
                 order = np.argsort(where, kind="stable")  # n-grams stay sorted inside a range
                 rows, counts, where = rows[order], counts[order], where[order]
                 edges = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
@@ -308,7 +315,7 @@ def _counted(ranges: Ranges):
 def _united(least: int, at_once: int = 16):
     """Batches of transducers sorted by (lang, prefix_range) -> one for each range: the union, of counts of ``least`` or more.
 
-    A few are held at a time and united with what has been united so far.
+    A few are held at a time; unions of as many parts each are united again, so each count is handled log n times.
     """
     def finish(key: tuple, held: list[Transducer]) -> pa.RecordBatch:
         whole = united(held)
@@ -319,19 +326,24 @@ def _united(least: int, at_once: int = 16):
         return _row(key[0], key[1], part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        levels: list[list[Transducer]] = []
+        key = None
         for batch in batches:
             for i in range(batch.num_rows):
                 now, part = _read(batch, i)
-                if held and now != key:
-                    yield finish(key, held)
-                    held = []
+                if levels and now != key:
+                    yield finish(key, [p for held in levels for p in held])
+                    levels = []
                 key = now
-                held.append(part)
-                if len(held) >= at_once:
-                    held = [united(held)]
-        if held:
-            yield finish(key, held)
+                for k in range(len(levels) + 1):
+                    if k == len(levels):
+                        levels.append([])
+                    levels[k].append(part)
+                    if len(levels[k]) < at_once:
+                        break
+                    part, levels[k] = united(levels[k]), []
+        if levels:
+            yield finish(key, [p for held in levels for p in held])
     return run
 
 
@@ -355,11 +367,11 @@ def _candidates(ranges: Ranges):
                         phrases = [b" ".join(p).decode() for p in spelled]
                         for cut in range(1, size):
                             for slot, (lo, hi) in ((2 * cut, (0, cut)), (2 * cut + 1, (cut, size))):
-                                second = codes[some[:, lo + 1]] if hi - lo > 1 else np.full(len(some), -1)
+                                second = some[:, lo + 1] if hi - lo > 1 else np.full(len(some), -1)
                                 yield pa.RecordBatch.from_arrays(
                                     [pa.array([language] * len(some)), pa.array(phrases), pa.array([size] * len(some), pa.int32()), pa.array(n, pa.int64()),
                                      pa.array([slot] * len(some), pa.int32()), pa.array([p[lo:hi] for p in spelled], pa.list_(pa.binary())),
-                                     pa.array(ranges.of(codes[some[:, lo]], second), pa.int64())], schema=out_schema)
+                                     pa.array(ranges.of(codes, some[:, lo], second), pa.int64())], schema=out_schema)
     return run
 
 
