@@ -35,7 +35,7 @@ class Collocations:
     within: int = 50
     top: int = 2000
     block_words: int = 1 << 20
-    range_words: int = 1 << 20
+    range_words: int = 1 << 19
 
 
 def words(text: bytes) -> list[bytes]:
@@ -312,7 +312,7 @@ def _counted(ranges: Ranges):
     return run
 
 
-def _united(least: int, at_once: int = 16):
+def _united(least: int, at_once: int = 4):
     """Batches of transducers sorted by (lang, prefix_range) -> one for each range: the union, of counts of ``least`` or more.
 
     A few are held at a time; unions of as many parts each are united again, so each count is handled log n times.
