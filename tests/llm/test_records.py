@@ -132,17 +132,42 @@ def test_extraction_without_marks_and_of_odd_pages(spark, sf):
     assert html_extract.extracted(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("wrapper", ["<body class='single no-sidebar'>", "<div class='content with-sidebar'>", "<div id='search-page'>", "<div class='page-header-fixed'>", "<form>"])
+WRAPPERS = ["<form id='aspnetForm'>", "<div class='page-header-fixed'>", "<div class='content-widget'>", "<div class='notice-board-article'>",
+            "<div class='social-news'>", "<div class='ad-free'>", "<div class='comment-is-free'>", "<body class='single no-sidebar'>", "<div id='search-page'>"]
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return html_extract.fit(queries.table(spark, "/root/testdata/sf0.01", "pages"))
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
 @pytest.mark.parametrize("mark", ["article", "main"])
-def test_a_wrapper_named_like_a_side_part_keeps_its_article(spark, wrapper, mark):
-    model = html_extract.fit(queries.table(spark, "/root/testdata/sf0.01", "pages"))
+def test_a_wrapper_named_like_a_side_part_keeps_its_article(learned, wrapper, mark):
     prose = "Words of the main text, long enough to be read as prose by any measure there is."
-    page = (f"{wrapper}<nav><ul><li><a href=1>Home</a></li></ul></nav><{mark}><h1>Head line</h1><p>{prose}</p><p>{prose}</p>"
-            f"<aside><p>Beside it.</p></aside></{mark}><div class='ad'><p>{prose}</p></div><footer>(c)</footer>")
+    inner = f"<h1>Head line</h1><p>{prose}</p><p>{prose}</p><aside><p>Beside it.</p></aside>"
+    before, after = "<nav><ul><li><a href=1>Home</a></li></ul></nav>", f"<div class='comments'><p>{prose}</p></div><div class='ad'><p>{prose}</p></div><footer>(c)</footer>"
     want = [f"Head line\n\n{prose}\n\n{prose}"]
-    assert html_extract.main_text([html_extract.parse(page)], model) == want
-    if "fixed" not in wrapper and "form" not in wrapper:  # known from their names alone, without a mark
-        assert html_extract.main_text([html_extract.parse(page.replace(f"<{mark}>", "<div>").replace(f"</{mark}>", "</div>"))], model) == want
+    end = f"</{wrapper[1:].split()[0]}>"
+    for model in (learned, html_extract.TRAINED):
+        for opened, closed in ((f"<{mark}>", f"</{mark}>"), ("<div>", "</div>")):
+            for page in (wrapper + before + opened + inner + closed + after + end, before + wrapper + opened + inner + closed + end + after):
+                assert html_extract.main_text([html_extract.parse(page)], model) == want
+
+
+def test_a_table_without_marks_takes_the_trained_model(spark, sf):
+    pages = queries.table(spark, sf, "pages")
+    want = {r.page_id: r.text for r in html_extract.extracted(pages).collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    assert html_extract.fit(bare) == html_extract.TRAINED
+    assert {r.page_id: r.text for r in html_extract.extracted(bare).collect()} == want
+
+
+def test_pages_are_sampled_after_their_mark_is_known(spark, sf):
+    """Few marked pages among many others are all learnt from."""
+    pages = queries.table(spark, sf, "pages").select("page_id", "html")
+    others = spark.range(10_000, 16_000).select(F.col("id").alias("page_id"), F.lit("<p>x").alias("html"))
+    assert html_extract.fit(pages.union(others), sample_pages=60) == html_extract.fit(pages, sample_pages=60)
 
 
 @pytest.mark.parametrize("tag", ["svg", "iframe", "select", "noscript", "template"])
