@@ -222,6 +222,17 @@ def _candidates(rest: DataFrame, maps: DataFrame, old: int, new: int | None, con
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_likely(config), "a long, b long").distinct()
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, large: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` with what ``table`` or else ``large`` (both one row a key) holds for ``key``, null if neither does.
+
+    Rows of the keys of ``large``, a table short enough to broadcast, never meet in a task; those of other keys are shuffled.
+    """
+    if large is None:
+        return rows.join(table, key, "left")
+    spread = F.broadcast(large)
+    return rows.join(spread, key).unionByName(rows.join(spread, key, "left_anti").join(table, key, "left"))
+
+
 def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -239,9 +250,12 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(rows.mapInArrow(_signed(config), "doc_id long, n_shingles long, set_key binary, buckets array<long>, bits array<long>"), "signed")
     usable = signed.where("doc_id is not null and set_key is not null")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    nodes = stage(signed.join(classes, "set_key", "left")
-                  .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"),
+    classes = stage(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"), "classes")
+    most = signed.count() // max(broadcast_rows, 1)  # larger classes are fewer than broadcast_rows
+    large = classes.where(F.col("size") > most).select("set_key", "rep") if broadcast_rows else None
+    nodes = stage(_looked_up(signed, classes.where(F.col("size") <= most).select("set_key", "rep"), large, "set_key")
+                  .withColumn("rep", F.when(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull(), F.coalesce("rep", "doc_id")))
+                  .select("doc_id", "n_shingles", "rep",
                           F.when(F.col("doc_id") == F.col("rep"), F.col("buckets")).alias("buckets"),
                           F.when(F.col("doc_id") == F.col("rep"), F.col("bits")).alias("bits")), "nodes")
     maps = nodes.where("bits is not null").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "bits")
@@ -270,18 +284,33 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows
         labels = stage(known.join(merged.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
                        .select("id", F.coalesce("top", "component").alias("component")), "labels")
 
-    return (nodes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    tops = labels.select(F.col("id").alias("rep"), "component")
+    named = None if large is None else stage(large.select("rep").distinct().join(tops, "rep", "left"), "large")
+    return (_looked_up(nodes.select("doc_id", "n_shingles", "rep"), tops, named, "rep")
             .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def keep_one(docs: DataFrame, config: MinHash = MinHash(), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the least doc_id, once if it is repeated."""
-    found = stage(near_duplicates(docs, config, broadcast_rows), "groups")
-    gone = staged_keys(found.where("not kept").select("doc_id").distinct(), "gone", broadcast_rows)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = stage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not twice.limit(1).count():
-        return left
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """``docs`` with one row of each near-duplicate group: that of the least (doc_id, hash of its text).
+
+    A row is told by its doc_id and text: equal ones are one document, of which one row stays, and unlike texts under one
+    doc_id are documents of their own. Rows without doc_id all stay. Other columns are carried, whatever their names.
+    """
+    id_, mark = F.col("doc_id").cast("long"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    row = docs.select(F.struct("*").alias("row"), id_.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), mark.alias("mark"))
+    texts = stage(row.where("doc_id is not null").groupBy("doc_id", "mark").count(), "texts")
+    shared = staged_keys(texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids", broadcast_rows)
+    first = texts.agg(F.least(F.min("doc_id"), F.lit(0)).alias("least")).collect()[0]["least"] or 0
+    own = texts.join(shared, "doc_id").select("doc_id", "mark", (F.lit(first - 1) - F.monotonically_increasing_id()).alias("node"))
+    nodes = staged_keys(own, "nodes", broadcast_rows)  # texts that share an id are numbered below all ids
+    numbered = row.select("doc_id", "mark", "text").join(nodes, ["doc_id", "mark"], "left").select(F.coalesce("node", "doc_id").alias("doc_id"), "text")
+    found = stage(near_duplicates(numbered, config, broadcast_rows).where("doc_id is not null").select(F.col("doc_id").alias("node"), "component_id").distinct(), "groups")
+    known = texts.join(nodes, ["doc_id", "mark"], "left").select(F.coalesce("node", "doc_id").alias("node"), "doc_id", "mark")
+    stays = F.struct("doc_id", "mark")
+    best = found.join(known, "node").groupBy("component_id").agg(F.min(stays).alias("best"))
+    gone = found.join(known, "node").join(best, "component_id").where(stays != F.col("best")).select("doc_id", "mark")
+    left = row.join(staged_keys(gone, "gone", broadcast_rows), ["doc_id", "mark"], "left_anti")
+    twice = staged_keys(texts.where("count > 1").select("doc_id", "mark"), "repeated", broadcast_rows)
+    once = left.join(twice, ["doc_id", "mark"], "left_anti").select("row.*")
+    return once.unionByName(left.join(twice, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(F.first("row").alias("row")).select("row.*"))

@@ -96,6 +96,29 @@ def test_near_duplicates_of_odd_ids(spark):
     assert rows(got, "doc_id", "component_id", "kept") == sorted(map(repr, [(None, None, True)] * 2 + [(3, 2, False), (2, 2, True), (2, 2, True)]))
 
 
+@pytest.mark.parametrize("broadcast_rows", [near_dedup.BROADCAST_ROWS, 0, 3])
+def test_unlike_texts_of_one_id_are_documents_of_their_own(spark, broadcast_rows):
+    text, other, third = "a b c d e f g", "wholly other words stand in this one here", "yet another row of words that is like none"
+    docs = [(1, text, "x"), (2, text, "x"), (2, other, "x"), (2, other, "y"), (3, other, "x"), (-5, None, "x"), (-5, "", "x"), (-5, third, "x"), (4, third, "x"),
+            (None, text, "x"), (None, text, "x"), (6, None, "x"), (7, "", "x")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, row string")
+    kept = near_dedup.keep_one(table, broadcast_rows=broadcast_rows)
+    assert kept.columns == table.columns
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+    want = [(1, text), (2, other), (-5, ""), (-5, third), (None, text), (None, text), (6, ""), (7, "")]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("broadcast_rows", [near_dedup.BROADCAST_ROWS, 100, 0])
+def test_large_groups_of_copies(spark, broadcast_rows):
+    """Classes above the bound are broadcast, smaller ones shuffled; both, and copies near another class, get their component."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    docs = [(i, text) for i in range(300, 500)] + [(i, text + " more") for i in range(100, 250)] + [(9, "some pair of copies that is alike"), (8, "some pair of copies that is alike"), (7, "alone")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_rows=broadcast_rows).collect()
+    assert len(got) == len(docs)
+    assert {r.doc_id: r.component_id for r in got} == {**{i: 100 for i, _ in docs if i >= 100}, 9: 8, 8: 8, 7: 7}
+
+
 # ------------------------------------------------------------------ benchmark passages
 
 def word_list(text):
