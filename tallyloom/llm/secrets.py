@@ -57,7 +57,7 @@ class RandomStrings:
 
     def pairs(self, string: Column) -> Column:
         """The log-likelihood ratio of each character of a string of the alphabet; character 0 stands before its first."""
-        table = F.lit(list(self.ratios))
+        table = F.split(F.lit(",".join(map(repr, self.ratios))), ",").cast("array<double>")  # one literal, folded once
         codes = F.transform(F.split(string, ""), lambda c: F.ascii(c))
         return let(codes, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(c, F.lit(1), F.size(c) - 1)), c,
                                                lambda a, b: F.coalesce(F.get(table, a * CODES + b), F.lit(0.0))))
