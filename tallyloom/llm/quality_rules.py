@@ -170,11 +170,11 @@ def judged(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with all their columns; texts are counted twice, never moved."""
-    model = fit(docs.select(votes_of(rules).alias("votes")), len(rules))
-    good = let(features(F.col("text")), lambda f: ~base_failed(f) & let(votes(f, rules), lambda v: model.posterior(v) >= threshold))
-    return docs.where(good)
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns, whatever their names.
 
-
-def votes_of(rules=RULES) -> Column:
-    return let(features(F.col("text")), lambda f: votes(f, rules))
+    Rows are staged with their votes beside them: the label model reads the votes alone, and the filter counts nothing again.
+    """
+    judged = let(features(F.col("text")), lambda f: F.struct(votes(f, rules).alias("votes"), base_failed(f).alias("failed")))
+    noted = stage(docs.select(F.struct("*").alias("row"), judged.alias("f")), "votes")
+    model = fit(noted.select("f.votes"), len(rules))
+    return noted.where(~F.col("f.failed") & (model.posterior(F.col("f.votes")) >= threshold)).select("row.*")
