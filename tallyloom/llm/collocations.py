@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ..session import stage
+from .near_dedup import mix
 
 #: Ends of pieces, and what stands for them among words: a byte that UTF-8 never holds.
 ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
@@ -35,7 +37,7 @@ class Collocations:
     within: int = 50
     top: int = 2000
     block_words: int = 1 << 20
-    range_words: int = 1 << 19
+    range_words: int = 1 << 21
 
 
 def words(text: bytes) -> list[bytes]:
@@ -274,41 +276,127 @@ def _read(batch: pa.RecordBatch, i: int) -> tuple[tuple[str, int], Transducer]:
     return key, Transducer(batch.column("symbols")[i].as_py(), [tuple(flat[k:k + 4]) for k in range(0, len(flat), 4)])
 
 
-def _counted(ranges: Ranges):
-    """Batches (lang, words, tokens, frequent) -> one transducer a row for each range that the block meets.
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (block, lang, words, tokens, frequent) -> (block, lang, symbols, tokens): what is left of a block without its rare words.
 
     Words that are rare everywhere cannot be part of a candidate: like ends, they part what stands around them.
     """
-    def grams(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            every = batch.column("words")[i].values
+            frequent = np.sort(batch.column("frequent")[i].values.to_numpy())
+            place = np.full(len(every) + 1, -1, np.int64)
+            place[frequent] = np.arange(len(frequent))
+            tokens = place[unpacked(batch.column("tokens")[i].as_py())[0]]
+            tokens = tokens[(tokens >= 0) | (np.append(-2, tokens[:-1]) >= 0)]  # one end says as much as many
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([every.take(pa.array(frequent)).to_pylist()], pa.list_(pa.binary())),
+                 pa.array([packed([tokens])], pa.binary())], ["block", "lang", "symbols", "tokens"])
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """How neighbouring words are counted before any transducer is built: by hashes of ``bits`` bits, dealt into ``deals`` spans.
+
+    Pairs of one hash are counted together, so a frequent pair is never missed; the width grows with the corpus to keep that rare.
+    """
+
+    deals: int
+    bits: int
+
+    def of(self, lang: str, symbols: list[bytes], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the distinct pairs in ascending order, their counts, for each token the place of the pair that it begins or -1,
+        where each span begins)."""
+        width = len(symbols)
+        met = (tokens[:-1] >= 0) & (tokens[1:] >= 0)
+        codes, back, counts = np.unique(tokens[:-1][met] * width + tokens[1:][met], return_inverse=True, return_counts=True)
+        word = np.fromiter(map(xxh3_64_intdigest, symbols), np.uint64, width)
+        first, second = (word[codes // width], word[codes % width]) if width else (word, word)
+        own = np.uint64(xxh3_64_intdigest(lang))
+        hashes = mix(first * np.uint64(0x9E3779B97F4A7C15) + mix(second + own)) >> np.uint64(64 - self.bits)
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        starts = np.full(len(tokens), -1, np.int64)
+        starts[:-1][met] = place[back]
+        hashes = hashes[order].astype(np.int64)
+        span = -(-(1 << self.bits) // self.deals)
+        return hashes, counts[order], starts, np.searchsorted(hashes, np.arange(self.deals + 1) * span)
+
+    def dealt(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches (block, lang, symbols, tokens) -> (deal, block, pairs): the block's hashes and counts of each span."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes, counts, _, edges = self.of(batch.column("lang")[i].as_py(), batch.column("symbols")[i].as_py(), unpacked(batch.column("tokens")[i].as_py())[0])
+                deals = np.flatnonzero(np.diff(edges))
+                if len(deals):
+                    blobs = [packed([hashes[edges[d]:edges[d + 1]], counts[edges[d]:edges[d + 1]]]) for d in deals]
+                    yield pa.RecordBatch.from_arrays([pa.array(deals, pa.int64()), pa.array([batch.column("block")[i].as_py()] * len(deals), pa.int64()), pa.array(blobs, pa.binary())],
+                                                     ["deal", "block", "pairs"])
+
+
+def _common(least: int):
+    """Batches (deal, block, pairs) sorted by deal -> (block, deal, bits): which pairs of each block occur ``least`` times in all blocks."""
+    def finish(deal: int, held: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+        hashes = np.concatenate([pairs[0] for _, pairs in held])
+        _, back = np.unique(hashes, return_inverse=True)
+        totals = np.zeros(int(back.max()) + 1, np.int64)
+        np.add.at(totals, back, np.concatenate([pairs[1] for _, pairs in held]))
+        often = np.split(totals[back] >= least, np.cumsum([len(pairs[0]) for _, pairs in held])[:-1])
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([deal] * len(held), pa.int64()),
+                                           pa.array([np.packbits(x).tobytes() for x in often], pa.binary())], ["block", "deal", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            for deal, block, pairs in zip(batch.column("deal").to_pylist(), batch.column("block").to_pylist(), batch.column("pairs")):
+                if held and deal != key:
+                    yield finish(key, held)
+                    held = []
+                key = deal
+                held.append((block, unpacked(pairs.as_py())))
+        if held:
+            yield finish(key, held)
+    return run
+
+
+def _counted(ranges: Ranges, pairs: Pairs):
+    """Batches (lang, symbols, tokens, common) -> one transducer a row for each range that the block meets.
+
+    A phrase of ``least`` occurrences holds only pairs of as many, so n-grams with a rarer pair are not built. Words count alone too.
+    """
+    def grams(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, starts = [], tokens >= 0
         for n in range(1, MOST + 1):
-            some = np.stack([tokens[i:len(tokens) - n + 1 + i] for i in range(n)], axis=1)
-            rows.append(np.pad(some[(some >= 0).all(axis=1)], ((0, 0), (0, MOST - n)), constant_values=-1))
+            if n > 1:
+                starts = starts[:-1] & common[n - 2:len(tokens) - 1]  # the n-gram's last pair begins n - 2 further on
+            at = np.flatnonzero(starts)
+            rows.append(np.stack([tokens[at + k] for k in range(n)] + [np.full(len(at), -1)] * (MOST - n), axis=1))
         rows = np.concatenate(rows)
         return summed(rows, np.ones(len(rows), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                every = batch.column("words")[i].values
-                frequent = np.sort(batch.column("frequent")[i].values.to_numpy())
-                symbols = every.take(pa.array(frequent)).to_pylist()
-                place = np.full(len(every) + 1, -1, np.int64)
-                place[frequent] = np.arange(len(frequent))
-                rows, counts = grams(place[unpacked(batch.column("tokens")[i].as_py())[0]])
+                lang, symbols = batch.column("lang")[i].as_py(), batch.column("symbols")[i].as_py()
+                tokens = unpacked(batch.column("tokens")[i].as_py())[0]
+                hashes, _, starts, edges = pairs.of(lang, symbols, tokens)
+                often = np.zeros(len(hashes) + 1, bool)  # the last, for no pair, stays false
+                for told in batch.column("common")[i].as_py() or []:
+                    lo, hi = edges[told["deal"]], edges[told["deal"] + 1]
+                    often[lo:hi] = np.unpackbits(np.frombuffer(told["bits"], np.uint8), count=hi - lo)
+                rows, counts = grams(tokens, often[starts])
                 if not len(rows):
                     continue
                 codes = ranges.codes(symbols)
                 where = ranges.of(codes, rows[:, 0], rows[:, 1])
                 order = np.argsort(where, kind="stable")  # n-grams stay sorted inside a range
                 rows, counts, where = rows[order], counts[order], where[order]
-                edges = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
-                for lo, hi in zip(edges, edges[1:]):
+                cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+                for lo, hi in zip(cuts, cuts[1:]):
                     some = rows[lo:hi]
-                    used = np.flatnonzero(np.bincount(some[some >= 0], minlength=len(symbols)))
-                    move = np.full(len(symbols) + 1, -1, np.int64)
-                    move[used] = np.arange(len(used))
-                    yield _row(batch.column("lang")[i].as_py(), int(where[lo]), Transducer.build([symbols[k] for k in used], move[some], counts[lo:hi]))
+                    used, back = np.unique(np.append(some.reshape(-1), -1), return_inverse=True)
+                    yield _row(lang, int(where[lo]), Transducer.build([symbols[k] for k in used[1:]], back[:-1].reshape(-1, MOST) - 1, counts[lo:hi]))
     return run
 
 
@@ -403,8 +491,9 @@ def collocations(docs: DataFrame, config: Collocations = Collocations()) -> Data
 
     A null lang is ``und``; a null or empty text has no words; repeated rows count again; an empty table gives no rows; other
     columns are ignored. Words of fewer than ``least`` occurrences, found by counting the hashes of all, are part of no candidate and
-    are left out of the transducers; each block is told which of its own words are frequent, so no list of all words is held
-    anywhere. A rare word that shares its hash with others may stay in; counts are of words, so results do not change.
+    are left out of the transducers, and so are n-grams with a rarer pair of words; each block is told which of its own words and
+    pairs are frequent, so no list of all is held anywhere. A rare word or pair that shares its hash with others may stay in;
+    counts are of words and phrases, so results do not change.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = stage(rows.mapInArrow(_blocks(config), "block long, lang string, words array<binary>, counts array<long>, tokens binary"), "blocks")
@@ -416,7 +505,11 @@ def collocations(docs: DataFrame, config: Collocations = Collocations()) -> Data
 
     often = stage(listed.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= config.least).select("h"), "often")
     told = listed.select("block", "place", "h").join(often, "h").groupBy("block").agg(F.collect_list("place").alias("frequent"))
-    made = blocks.select("block", "lang", "words", "tokens").join(told, "block").select("lang", "words", "tokens", "frequent").mapInArrow(_counted(ranges), PARTS)
+    kept = stage(blocks.select("block", "lang", "words", "tokens").join(told, "block").mapInArrow(_kept, "block long, lang string, symbols array<binary>, tokens binary"), "kept")
+    pairs = Pairs(ranges.count, min(62, max(40, sum(r.n for r in histogram).bit_length() + 14)))
+    common = (kept.mapInArrow(pairs.dealt, "deal long, block long, pairs binary").repartition("deal").sortWithinPartitions("deal")
+              .mapInArrow(_common(config.least), "block long, deal long, bits binary").groupBy("block").agg(F.collect_list(F.struct("deal", "bits")).alias("common")))
+    made = kept.join(common, "block", "left").select("lang", "symbols", "tokens", "common").mapInArrow(_counted(ranges, pairs), PARTS)
     held = stage(made.repartition("lang", "prefix_range").sortWithinPartitions("lang", "prefix_range").mapInArrow(_united(config.least), PARTS), "ranges")
 
     asked = held.mapInArrow(_candidates(ranges), "lang string, phrase string, size int, a long, slot int, part array<binary>, prefix_range long")
