@@ -7,7 +7,6 @@ then read by composing a range's transducer with the automaton of the phrases as
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,23 +44,30 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().translate(TO_END).replace(END, b" " + END + b" ").split()
 
 
+#: Step sizes of packed arrays; an array's first byte is its place here.
+STEPS = (np.int8, np.int16, np.int32, np.int64)
+
+
 def packed(arrays: list[np.ndarray]) -> bytes:
-    """Integer arrays as steps in the fewest bytes each, compressed; the first eight bytes tell their size."""
-    out = io.BytesIO()
+    """Integer arrays as steps in the fewest bytes each (step size, length, steps), compressed; the first eight bytes tell their size."""
+    out = []
     for a in arrays:
-        step = np.diff(a.astype(np.int64), prepend=0)
+        step = a.astype(np.int64)
+        step[1:] -= a[:-1]
         low, high = (int(step.min()), int(step.max())) if len(step) else (0, 0)
-        kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
-        np.save(out, step.astype(kind), allow_pickle=False)
-    raw = out.getvalue()
+        kind = next(k for k, t in enumerate(STEPS) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        out += [bytes([kind]), len(step).to_bytes(8, "little"), step.astype(STEPS[kind]).tobytes()]
+    raw = b"".join(out)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
-    raw = io.BytesIO(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
-    out, end = [], raw.getbuffer().nbytes
-    while raw.tell() < end:
-        out.append(np.cumsum(np.load(raw, allow_pickle=False), dtype=np.int64))
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        kind, size = STEPS[raw[at]], int.from_bytes(raw[at + 1:at + 9], "little")
+        out.append(np.cumsum(np.frombuffer(raw, kind, size, at + 9), dtype=np.int64))
+        at += 9 + size * np.dtype(kind).itemsize
     return out
 
 
@@ -366,14 +372,15 @@ def _counted(ranges: Ranges, pairs: Pairs):
     A phrase of ``least`` occurrences holds only pairs of as many, so n-grams with a rarer pair are not built. Words count alone too.
     """
     def grams(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows, starts = [], tokens >= 0
-        for n in range(1, MOST + 1):
-            if n > 1:
-                starts = starts[:-1] & common[n - 2:len(tokens) - 1]  # the n-gram's last pair begins n - 2 further on
+        alone = np.bincount(tokens[tokens >= 0])
+        used, starts = np.flatnonzero(alone), tokens >= 0
+        rows, counts = [np.stack([used] + [np.full(len(used), -1)] * (MOST - 1), axis=1)], [alone[used]]
+        for n in range(2, MOST + 1):
+            starts = starts[:-1] & common[n - 2:len(tokens) - 1]  # the n-gram's last pair begins n - 2 further on
             at = np.flatnonzero(starts)
             rows.append(np.stack([tokens[at + k] for k in range(n)] + [np.full(len(at), -1)] * (MOST - n), axis=1))
-        rows = np.concatenate(rows)
-        return summed(rows, np.ones(len(rows), np.int64))
+            counts.append(np.ones(len(at), np.int64))
+        return summed(np.concatenate(rows), np.concatenate(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
