@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,21 @@ COUNTED_WORDS = 500_000
 DOCS_AT_ONCE = 500
 #: A word with at least 1 in so many of all tokens is sent to every task, so at most so many are; the rarer ones, none of
 #: which weighs much in a shuffle, are joined.
-COMMON = 100_000
+COMMON = 400_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``words`` most frequent words and ``classes`` hash classes for all others are the token classes; a token sees
-    ``reach`` neighbours on each side through vectors of ``width``; one pass trains in steps of ``batch`` tokens. A word of a
+    """``words`` most frequent words and ``classes`` hash classes for all others are the token classes,
+    predicted by way of about the square root of so many groups; a token sees ``reach`` neighbours on each side through vectors of ``width``; one pass trains in steps of ``batch`` tokens. A word of a
     hash class has its count and ``smoothing`` more, as has one unseen word, of the class's sum."""
 
-    words: int = 160
-    classes: int = 32
+    words: int = 896
+    classes: int = 128
     reach: int = 2
     width: int = 16
-    batch: int = 4096
-    rate: float = 0.1
+    batch: int = 8192
+    rate: float = 0.2
     seed: int = 7
     smoothing: float = 0.5
 
@@ -43,6 +44,15 @@ class Settings:
     def size(self) -> int:
         return self.words + self.classes
 
+    @property
+    def group(self) -> int:
+        """Token classes in a group; consecutive ones, so words of similar frequency."""
+        return isqrt(self.size - 1) + 1
+
+    @property
+    def groups(self) -> int:
+        return -(-self.size // self.group)
+
     @property
     def offsets(self) -> list[int]:
         return [o for o in range(-self.reach, self.reach + 1) if o]
@@ -59,11 +69,11 @@ class Vocabulary(dict):
     def __init__(self, words: list[str], settings: Settings, common: list[str] = ()):
         super().__init__((w, i) for i, w in enumerate(words))
         self.update((w, settings.size + i) for i, w in enumerate(common))
-        self.settings = settings
+        self.first, self.classes = settings.words, settings.classes
         self.class_of = np.array([*range(settings.size), *(hash_class(w, settings) for w in common)], np.int32)
 
     def __missing__(self, word: str) -> int:
-        return hash_class(word, self.settings)
+        return self.first + xxh3_64_intdigest(word) % self.classes
 
 
 def entries(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -89,65 +99,114 @@ def laid_out(texts: list[str | None], vocabulary: Vocabulary, settings: Settings
 
 
 class Network:
-    """log P(token | neighbours): neighbours' vectors, one table for each offset, are summed and squashed; a softmax follows.
+    """log P(token | neighbours): neighbours' vectors, one table for each offset, are summed and squashed; the token class follows
+    by two softmaxes, first of its group of classes, then of the class in its group, so a token costs two small ones.
 
-    The target itself is never an input, which is what masking it means for a window network.
+    The target itself is never an input, which is what masking it means for a window network. ``tops`` and ``outputs`` have
+    their bias as the last column.
     """
 
     def __init__(self, settings: Settings, weights: np.ndarray):
         s = self.settings = settings
         self.weights = weights.astype(np.float32)
-        rows = s.size + 1
-        cut = len(s.offsets) * rows * s.width
+        rows, wide = s.size + 1, s.width + 1
+        cut, end = len(s.offsets) * rows * s.width, len(s.offsets) * rows * s.width + s.groups * wide
         self.inputs = self.weights[:cut].reshape(len(s.offsets), rows, s.width)
-        self.outputs = self.weights[cut:cut + s.size * s.width].reshape(s.size, s.width)
-        self.bias = self.weights[cut + s.size * s.width:]
+        self.tops = self.weights[cut:end].reshape(s.groups, wide)
+        self.outputs = self.weights[end:].reshape(s.size, wide)
 
     @staticmethod
     def start(settings: Settings, shares: np.ndarray) -> np.ndarray:
-        """Initial weights: small vectors, and as bias the log shares of the token classes."""
+        """Initial weights: small vectors, and as bias the log shares of the groups and of the token classes."""
         s, rng = settings, np.random.default_rng(settings.seed)
-        vectors = rng.normal(0, 0.1, len(s.offsets) * (s.size + 1) * s.width + s.size * s.width)
-        return np.concatenate([vectors, np.log(shares)]).astype(np.float32)
-
-    def _forward(self, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.zeros((len(places), self.settings.width), np.float32)
-        for table, offset in zip(self.inputs, self.settings.offsets):
-            hidden += table[ids[places + offset]]
-        np.tanh(hidden, out=hidden)
-        scores = hidden @ self.outputs.T
-        scores += self.bias
-        scores -= scores.max(axis=1, keepdims=True)
-        return hidden, scores
+        parts = [rng.normal(0, 0.1, (len(s.offsets) * (s.size + 1), s.width))]
+        for share in (np.add.reduceat(shares, np.arange(0, s.size, s.group)), shares):
+            parts.append(np.column_stack([rng.normal(0, 0.1, (len(share), s.width)), np.log(share)]))
+        return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+
+    def _by_group(self, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """An order of ``places`` by the group of their token, the tokens in this order, and (group, start, end) of each group."""
+        own = ids[places]
+        group = (own // self.settings.group).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=self.settings.groups)).tolist()
+        return order, own[order], [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+
+    def _hidden(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        width = self.settings.width
+        hidden = np.ones((len(places), width + 1), np.float32)
+        summed = self.inputs[0][ids[places + self.settings.offsets[0]]]
+        for table, offset in zip(self.inputs[1:], self.settings.offsets[1:]):
+            summed += table[ids[places + offset]]
+        np.tanh(summed, out=hidden[:, :width])
+        return hidden
 
     def log_probabilities(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         out = np.empty(len(places), np.float64)
         for at in range(0, len(places), self.settings.batch):
             p = places[at:at + self.settings.batch]
-            _, scores = self._forward(ids, p)
-            own = scores[np.arange(len(p)), ids[p]]
-            out[at:at + len(p)] = own - np.log(np.exp(scores, out=scores).sum(axis=1))
+            order, own, groups = self._by_group(ids, p)
+            hidden, found = self._hidden(ids, p[order]), np.empty(len(p), np.float64)
+            for g, a, b in groups:
+                found[a:b] = _log_softmax(self.outputs[g * self.settings.group:(g + 1) * self.settings.group], hidden[a:b], own[a:b] - g * self.settings.group)
+            found += _log_softmax(self.tops, hidden, own // self.settings.group)
+            out[at + order] = found
         return out
 
     def gradient(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability of the tokens at ``places``."""
         s = self.settings
-        hidden, p = self._forward(ids, places)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(places)), ids[places]] -= 1
-        p /= len(places)
-        back = (p @ self.outputs) * (1 - hidden * hidden)
-        flat, columns, rows = back.ravel(), np.arange(s.width), s.size + 1
-        tables = [np.bincount((ids[places + o][:, None] * s.width + columns).ravel(), flat, rows * s.width) for o in s.offsets]
-        return np.concatenate([*tables, (p.T @ hidden).ravel(), p.sum(axis=0)]).astype(np.float32)
+        order, own, groups = self._by_group(ids, places)
+        places = places[order]
+        hidden = self._hidden(ids, places)
+        out = np.zeros(len(self.weights), np.float32)
+        cut, end = self.inputs.size, self.inputs.size + self.tops.size
+        tops, outputs = out[cut:end].reshape(self.tops.shape), out[end:].reshape(self.outputs.shape)
+        wrong = _excess(self.tops, hidden, own // s.group, len(places))
+        np.matmul(wrong, hidden, out=tops)
+        back = wrong.T @ self.tops[:, :s.width]
+        for g, a, b in groups:
+            first = g * s.group
+            wrong = _excess(self.outputs[first:first + s.group], hidden[a:b], own[a:b] - first, len(places))
+            np.matmul(wrong, hidden[a:b], out=outputs[first:first + s.group])
+            back[a:b] += wrong.T @ self.outputs[first:first + s.group, :s.width]
+        squashed = hidden[:, :s.width]
+        back *= 1 - squashed * squashed
+        tables = out[:cut].reshape(self.inputs.shape)
+        for table, offset in zip(tables, s.offsets):
+            seen = ids[places + offset].astype(np.int16 if s.size < 1 << 15 else np.int32)
+            by_class = np.argsort(seen, kind="stable")
+            seen = seen[by_class]
+            starts = np.flatnonzero(np.diff(seen, prepend=-1))
+            table[seen[starts]] = np.add.reduceat(back[by_class], starts, axis=0)
+        return out
 
     def train(self, ids: np.ndarray, places: np.ndarray, squares: np.ndarray) -> None:
         """One pass of Adagrad over all places; ``squares`` holds the sums of squared gradients."""
         for at in range(0, len(places), self.settings.batch):
             g = self.gradient(ids, places[at:at + self.settings.batch])
             squares += g * g
-            self.weights -= self.settings.rate * g / np.sqrt(squares)
+            g *= self.settings.rate
+            g /= np.sqrt(squares)
+            self.weights -= g
+
+
+def _log_softmax(table: np.ndarray, hidden: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log of the softmax of ``table`` by ``hidden`` at the row ``own`` of each."""
+    scores = table @ hidden.T
+    scores -= scores.max(axis=0)
+    found = scores[own, np.arange(len(own))]
+    return found - np.log(np.exp(scores, out=scores).sum(axis=0))
+
+
+def _excess(table: np.ndarray, hidden: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """The softmax less 1 at the row ``own``, by ``n``: the gradient of the scores."""
+    p = table @ hidden.T
+    p -= p.max(axis=0)
+    np.exp(p, out=p)
+    p *= 1 / (n * p.sum(axis=0))
+    p[own, np.arange(len(own))] -= np.float32(1 / n)
+    return p
 
 
 @dataclass(frozen=True)

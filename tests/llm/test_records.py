@@ -197,28 +197,32 @@ def test_marginals_match_enumeration():
 
 # ------------------------------------------------------------------ language model
 
-SMALL = lm_scoring.Settings(words=12, classes=4, width=5, batch=64)
-
-
-def test_gradient_and_scores_match_plain_formulas():
+@pytest.mark.parametrize("size", [(12, 4), (12, 5), (1, 1)])
+def test_gradient_and_scores_match_plain_formulas(size):
+    """Whole groups of token classes, a last group cut short, and a single group."""
+    small = lm_scoring.Settings(words=size[0], classes=size[1], width=5, batch=64)
     rng = np.random.default_rng(1)
-    words = [f"w{i}" for i in range(12)]
-    vocabulary = lm_scoring.Vocabulary(words, SMALL)
-    texts = [" ".join(rng.choice([*words, "rare"], 30)), None, "", "w1"]
-    ids, places, owner = lm_scoring.laid_out(texts, vocabulary, SMALL)
+    words = [f"w{i}" for i in range(size[0])]
+    vocabulary = lm_scoring.Vocabulary(words, small)
+    texts = [" ".join(rng.choice([*words, "rare", "odd", "seldom"], 30)), None, "", "w0"]
+    ids, places, owner = lm_scoring.laid_out(texts, vocabulary, small)
     assert owner.tolist() == [0] * 30 + [3]
-    start = lm_scoring.Network.start(SMALL, np.full(16, 1 / 16)).astype(np.float64) + rng.normal(0, 0.3, len(lm_scoring.Network.start(SMALL, np.full(16, 1 / 16))))
+    start = lm_scoring.Network.start(small, np.full(small.size, 1 / small.size)).astype(np.float64)
+    start += rng.normal(0, 0.3, len(start))
 
     def plain(weights):
-        net, out = lm_scoring.Network(SMALL, weights), []
+        net, out = lm_scoring.Network(small, weights), []
         for p in places:
-            h = np.tanh(sum(net.inputs[k][ids[p + o]].astype(float) for k, o in enumerate(SMALL.offsets)))
-            z = net.outputs.astype(float) @ h + net.bias
-            out.append(z[ids[p]] - np.log(np.exp(z).sum()))
+            h = np.tanh(sum(net.inputs[k][ids[p + o]].astype(float) for k, o in enumerate(small.offsets)))
+            of_group = np.exp(net.tops.astype(float) @ [*h, 1])
+            of_class = np.exp(net.outputs.astype(float) @ [*h, 1])
+            g = ids[p] // small.group
+            inside = of_class[g * small.group:(g + 1) * small.group].sum()
+            out.append(np.log(of_group[g] / of_group.sum() * of_class[ids[p]] / inside))
         return np.array(out)
-    assert np.allclose(lm_scoring.Network(SMALL, start).log_probabilities(ids, places), plain(start), atol=1e-4)
-    grad = lm_scoring.Network(SMALL, start).gradient(ids, places)
-    for k in rng.choice(len(start), 25, replace=False):
+    assert np.allclose(lm_scoring.Network(small, start).log_probabilities(ids, places), plain(start), atol=1e-4)
+    grad = lm_scoring.Network(small, start).gradient(ids, places)
+    for k in rng.choice(len(start), 40, replace=False):
         up, down = start.copy(), start.copy()
         up[k] += 1e-2
         down[k] -= 1e-2
