@@ -18,11 +18,11 @@ from ...session import fresh_path, stage
 from ..features import Scaler
 from ..filters import numeric_columns
 from ..quantiles import exact_quantiles
-from . import evaluate
+from . import evaluate, grower
 from .trees import NODE_SCHEMA, TreeArrays, node_table
 
 # Model parameters.
-FOREST = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2}
+FOREST = {"numTrees": 200, "maxDepth": 15, "minRowsToSplit": 5, "minInstancesPerNode": 2}
 BOOSTING = {"maxIter": 100, "maxDepth": 10, "stepSize": 0.1}
 RIDGE_ALPHA = 1.0
 SEED = 42
@@ -36,7 +36,9 @@ NEVER_FEATURES = {"date", "datetime", "timestamp", "is_anomaly", "is_extreme"}
 class SalesForecastModel:
     """Fit on a daily frame, then predict rows or forecast future days of one or many series.
 
-    ``segment`` names the columns that identify a series; all series share one model.
+    ``segment`` names the columns that identify a series; all series share one model. Trees split between any two values, with
+    a least number of rows to split, and do not depend on the layout of the rows; ``exact=False`` takes Spark's own trees, which
+    split at 32 bins and know no such number.
     """
 
     algorithm: str = "random_forest"
@@ -45,6 +47,7 @@ class SalesForecastModel:
     confidence_level: float = 0.95
     params: dict = field(default_factory=dict)
     parallelism: int = 8
+    exact: bool = True
     columns: list[str] = field(default_factory=list)
     scaler: Scaler | None = None
     nodes: pd.DataFrame | None = None
@@ -82,7 +85,7 @@ class SalesForecastModel:
         for fold in range(n_splits):
             one = folds.filter(F.col("fold") == fold)
             trial = SalesForecastModel(self.algorithm, self.target, self.segment, params=self.params,
-                                       parallelism=self.parallelism, columns=self.columns)
+                                       parallelism=self.parallelism, exact=self.exact, columns=self.columns)
             trial._fit(one.filter("part = 'train'"))
             part = trial.predict_rows(one.filter("part = 'test'"))
             scored = part if scored is None else scored.unionByName(part)
@@ -94,6 +97,8 @@ class SalesForecastModel:
     def _fit(self, rows: DataFrame) -> "SalesForecastModel":
         spark = rows.sparkSession
         self.scaler = Scaler.fit(rows, self.columns)
+        if self.exact and self.algorithm != "linear":
+            return self._fit_exact(rows)
         vectors = VectorAssembler(inputCols=self.columns, outputCol="features").transform(
             self.scaler.transform(rows)).select("features", F.col(self.target).alias("label"))
         # Tree fitting ships one histogram per node and partition: few, full partitions are cheapest.
@@ -111,10 +116,23 @@ class SalesForecastModel:
             vectors.unpersist()
         return self
 
+    def _fit_exact(self, rows: DataFrame) -> "SalesForecastModel":
+        x = F.array(*[self.scaler.expression(c) for c in self.columns])
+        held = stage(rows.select(x.alias("x"), F.col(self.target).cast("double").alias("y"), F.xxhash64(*self.segment, "date").alias("key")), "rows")
+        boosting = self.algorithm == "gradient_boosting"
+        p = {**(BOOSTING if boosting else FOREST), **self.params}
+        rules = grower.Rules(p["maxDepth"], p.get("minRowsToSplit", 2), p.get("minInstancesPerNode", 1))
+        grown = (grower.boosted(held, len(self.columns), p["maxIter"], p["stepSize"], rules) if boosting
+                 else grower.forest(held, len(self.columns), p["numTrees"], rules, SEED))
+        self.importances = sorted(zip(self.columns, grower.shares(grown, len(self.columns)).tolist()), key=lambda p: -p[1])
+        self.nodes = grown.drop(columns=["gain", "drawn"])
+        return self
+
     def _fit_forest(self, spark: SparkSession, vectors: DataFrame) -> None:
         """The forest in slices fitted at the same time, each with its own seed."""
         params = {**FOREST, **self.params}
         total = params.pop("numTrees")
+        params.pop("minRowsToSplit", None)
         slices = min(self.parallelism, total)
         sizes = [total // slices + (i < total % slices) for i in range(slices)]
         def one(i: int):

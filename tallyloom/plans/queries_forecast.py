@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, series
-from ..operators.forecast import autoregression, ensemble, evaluate
+from ..operators.forecast import autoregression, ensemble, evaluate, grower
 from ..operators.forecast.models import (SalesForecastModel, forecast_totals, prediction_summary,
                                          proxy_interval, rounded as in_currency)
 from ..session import fresh_path, stage
@@ -112,6 +114,92 @@ def ar_cross_products(spark, d):
     return out.select("n", *[F.round(F.col("sums")[k] / 1e12, 4).alias(f"xy{k}") for k in range(1, _P + 1)])
 
 
+# ------------------------------------------------------------------ models told by SQL
+TREE = grower.Rules(depth=3, min_split=5, min_leaf=2)
+TREE_FEATURES = ("transaction_count", "avg_unit_price", "day_of_week", "month", "is_weekend", "revenue_lag_1", "revenue_lag_7")
+
+
+def _tree_sql() -> str:
+    """The tree level by level: all cuts between two values of a node, the best by explained squares, feature, value."""
+    cells = "\nunion all ".join(f"select date, {i} as k, cast({c} as double) as x from b" for i, c in enumerate(TREE_FEATURES))
+    steps = [f"""b as (select date, total_revenue, transaction_count, avg_unit_price, day_of_week, month, is_weekend,
+  coalesce(lag(total_revenue,1) over (order by date),0) as revenue_lag_1, coalesce(lag(total_revenue,7) over (order by date),0) as revenue_lag_7 from f),
+m as (select round(avg(total_revenue)) as m from b), y as (select date, cast(round((total_revenue-m)*10000) as hugeint) as q from b, m),
+x as ({cells}), n0 as (select date, 1 as node from b)"""]
+    for level in range(TREE.depth + 1):
+        steps.append(f"""t{level} as (select node, count(*) as n, cast(sum(q) as hugeint) as s from n{level} join y using (date) group by 1)""")
+        if level == TREE.depth:
+            break
+        steps.append(f"""c{level} as (select node, k, x, count(*) as n, sum(q) as s from n{level} join y using (date) join x using (date) group by 1,2,3),
+u{level} as (select c.node, c.k, c.x, lead(c.x) over w as nx, sum(c.n) over w as ln, sum(c.s) over w as ls, t.n as tn, t.s as ts
+  from c{level} c join t{level} t on c.node=t.node window w as (partition by c.node, c.k order by c.x)),
+e{level} as (select *, (cast(ls as double)*cast(ls as double))/ln+(cast(ts-ls as double)*cast(ts-ls as double))/(tn-ln) as e from u{level}
+  where nx is not null and tn>={TREE.min_split} and ln>={TREE.min_leaf} and tn-ln>={TREE.min_leaf}),
+s{level} as (select * from (select *, row_number() over (partition by node order by e desc, k, x) as best from e{level})
+  where best=1 and e>cast(ts as double)*cast(ts as double)/tn*(1+1e-12)),
+n{level + 1} as (select n.date, 2*n.node+case when x.x<=s.x then 0 else 1 end as node from n{level} n join s{level} s on n.node=s.node join x on x.date=n.date and x.k=s.k)""")
+    rows = " union all ".join([f"select t.node, s.k as feature, round((s.x+s.nx)/2,6) as threshold, t.n as days, round(t.s/10000.0/t.n+m,2) as value from m, t{v} t left join s{v} s on s.node=t.node"
+                               for v in range(TREE.depth)] + [f"select t.node, null, null, t.n, round(t.s/10000.0/t.n+m,2) from m, t{TREE.depth} t"])
+    return on_sales(f"with {D}, " + ",\n".join(steps) + f""", r as ({rows})
+select g.grown, r.node, r.feature, r.threshold, r.days, r.value from r, (values ('task'), ('levels')) g(grown)""")
+
+
+@query("tree_by_levels", _tree_sql())
+def tree_by_levels(spark, d):
+    """One tree of depth 3 over the days, grown below its root by one task, and level by level by Spark wherever a node holds
+    more than 100 days; both are to be the same tree. ``node`` numbers the root 1 and children 2n and 2n + 1."""
+    w = Window.orderBy("date")
+    rows = daily(spark, d).withColumns({f"revenue_lag_{n}": F.coalesce(F.lag("total_revenue", n).over(w), F.lit(0.0)) for n in (1, 7)})
+    rows = stage(rows.select(F.array(*[F.col(c).cast("double") for c in TREE_FEATURES]).alias("x"), F.col("total_revenue").cast("double").alias("y")), "tree")
+    found = []
+    for grown, local in (("task", TREE.local_rows), ("levels", 100)):
+        nodes = grower.tree(rows, len(TREE_FEATURES), replace(TREE, local_rows=local))
+        number = {0: 1}
+        for r in nodes.itertuples(index=False):  # at most 15 nodes, parents first
+            if r.feature >= 0:
+                number |= {r.left: 2 * number[r.node], r.right: 2 * number[r.node] + 1}
+        found += [(grown, number[r.node], r.feature if r.feature >= 0 else None, round(r.threshold, 6) if r.feature >= 0 else None, int(r.drawn), round(r.value, 2))
+                  for r in nodes.itertuples(index=False)]
+    return spark.createDataFrame(found, "grown string, node int, feature int, threshold double, days long, value double")
+
+
+@query("ridge_two_features", on_sales(f"""with {D}, b as (select date, total_revenue as y, cast(day_of_week as double) as a, coalesce(cast(lag(total_revenue,7) over (order by date) as double),0) as b from f),
+m as (select avg(a) as ma, stddev_pop(a) as sa, avg(b) as mb, stddev_pop(b) as sb, avg(y) as my, count(*) as n from b),
+z as (select (a-ma)/sa as p, (b-mb)/sb as q, y-my as y from b, m),
+s as (select sum(p*p)+1 as pp, sum(q*q)+1 as qq, sum(p*q) as pq, sum(p*y) as py, sum(q*y) as qy from z)
+select 'day_of_week' as feature, round((py*qq-pq*qy)/(pp*qq-pq*pq),3) as coefficient, round(my,3) as intercept from s, m
+union all select 'revenue_lag_7', round((pp*qy-pq*py)/(pp*qq-pq*pq),3), round(my,3) from s, m"""))
+def ridge_two_features(spark, d):
+    """The ridge model on two scaled features; its twin solves the two normal equations."""
+    rows = daily(spark, d).select("date", "total_revenue", "day_of_week", F.coalesce(F.lag("total_revenue", 7).over(Window.orderBy("date")), F.lit(0.0)).alias("revenue_lag_7"))
+    model = SalesForecastModel("linear")
+    model._fit(model.prepare_features(rows))
+    return spark.createDataFrame([(c, round(w, 3), round(model.intercept, 3)) for c, w in zip(model.columns, model.coefficients)], "feature string, coefficient double, intercept double")
+
+
+AR1_SQL = f"""with {daily_ctes("sales", "region")}, a as (select region, date, total_revenue-lag(total_revenue) over w as d0, total_revenue as y from d window w as (partition by region order by date)),
+b as (select *, lag(d0) over (partition by region order by date) as d1 from a),
+s as (select region, sum(d0*d1)/sum(d1*d1) as phi, count(*) as n from b where d1 is not null group by 1),
+v as (select s.region, phi, s.n, sum((d0-phi*d1)*(d0-phi*d1))/s.n as s2 from b join s on b.region=s.region where d1 is not null group by 1,2,3),
+l as (select region, max(date) as last_date, arg_max(y,date) as y, arg_max(d0,date) as d0 from b group by 1)"""
+
+
+@query("ar1_information", on_sales(f"""{AR1_SQL} select region, n, round(phi,6) as phi, round(ln(s2),6) as log_sigma2, round(4+n*(ln(2*pi()*s2)+1),3) as aic, round(2*ln(n)+n*(ln(2*pi()*s2)+1),3) as bic from v"""))
+def ar1_information(spark, d):
+    """ARIMA(1,1,0) for every region, in the closed form that one coefficient has."""
+    fitted = autoregression.fit(daily(spark, d, ("region",)), 1, segment=("region",))
+    return fitted.select("region", "n", F.round(F.col("phi")[0], 6).alias("phi"), F.round(F.log("sigma2"), 6).alias("log_sigma2"), F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic"))
+
+
+@query("ar1_forecast", on_sales(f"""{AR1_SQL}, h as (select region, last_date, y, d0, phi, s2, step, list_sum([phi**i for i in range(1,step+1)]) as run,
+  list_sum([list_sum([phi**j for j in range(0,i+1)])**2 for i in range(0,step)]) as spread from v join l using (region), range(1,4) r(step))
+select region, cast(step as integer) as step, cast(last_date+cast(step as integer)*interval 1 day as date) as date, round(y+d0*run,2) as value,
+  round(y+d0*run-1.959963984540054*sqrt(s2*spread),2) as confidence_lower, round(y+d0*run+1.959963984540054*sqrt(s2*spread),2) as confidence_upper from h"""))
+def ar1_forecast(spark, d):
+    fitted = autoregression.fit(daily(spark, d, ("region",)), 1, segment=("region",))
+    return rounded(autoregression.forecast(fitted, 3, ("region",)).drop("model"), "value", "confidence_lower", "confidence_upper", digits=2)
+
+
 # ------------------------------------------------------------------ models
 def trained(spark, d, algorithm) -> tuple[SalesForecastModel, DataFrame]:
     """A model measured on the newest fifth of the days and then fitted on all of them."""
