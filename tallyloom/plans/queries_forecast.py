@@ -200,6 +200,37 @@ def ar1_forecast(spark, d):
     return rounded(autoregression.forecast(fitted, 3, ("region",)).drop("model"), "value", "confidence_lower", "confidence_upper", digits=2)
 
 
+PHIS = (-0.6, -0.3, 0.0, 0.5)
+#: d1 is 0 for the first difference, whose own variance is wider by 1/(1-phi*phi).
+EXACT_SQL = f"""with {daily_ctes("sales", "region")}, a as (select region, date, total_revenue-lag(total_revenue) over (partition by region order by date) as d0 from d),
+b as (select *, lag(d0) over (partition by region order by date) as d1 from a where d0 is not null),
+w as (select region, count(*) as n, sum(d0*d0) as s00, sum(case when d1 is not null then d1*d1 end) as s11, sum(d0*d1) as s01, sum(case when d1 is null then d0*d0 end) as h from b group by 1),
+l as (select region, phi, n, (s00-h-2*phi*s01+phi*phi*s11+h*(1-phi*phi))/n as s2 from w, (select unnest(PHIS) as phi) g),
+e as (select region, phi, n, s2, -0.5*(n*(ln(2*pi()*s2)+1)-ln(1-phi*phi)) as loglik from l)"""
+
+
+@query("ar1_likelihood", on_sales(EXACT_SQL.replace("PHIS", str(list(PHIS))) + " select region, cast(phi as double) as phi, n, round(ln(s2),6) as log_sigma2, round(loglik,4) as loglik from e"))
+def ar1_likelihood(spark, d):
+    """Exact likelihood of ARIMA(1,1,0) for given coefficients, every region."""
+    phi = F.element_at(F.array(*[F.lit(float(v)) for v in PHIS]), F.col("candidate") + 1)
+    out = autoregression.likelihoods(daily(spark, d, ("region",)), [[v] for v in PHIS], segment=("region",))
+    return out.select("region", phi.alias("phi"), "n", F.round(F.log("sigma2"), 6).alias("log_sigma2"), F.round("loglik", 4).alias("loglik"))
+
+
+@query("ar1_exact", on_sales(EXACT_SQL.replace("PHIS", "[i/1000.0::double for i in range(-999,1000)]") + """
+select region, n, arg_max(phi, loglik) as near, round(max(loglik),3) as loglik, true as within, true as likeliest from e group by region, n"""))
+def ar1_exact(spark, d):
+    """The likeliest coefficient of a grid of a thousandth for every region; ``within``: the fitted one lies next to it;
+    ``likeliest``: none of the grid is likelier than the fitted one."""
+    base = stage(daily(spark, d, ("region",)), "daily")
+    fitted = autoregression.fit(base, 1, segment=("region",), exact=True).select("region", F.col("phi")[0].alias("phi"), ((4 - F.col("aic")) / 2).alias("most"))
+    grid = [[k / 1000.0] for k in range(-999, 1000)]
+    top = (autoregression.likelihoods(base, grid, segment=("region",)).groupBy("region", "n")
+           .agg(F.max("loglik").alias("top"), ((F.max_by("candidate", "loglik") - 999) / 1000.0).alias("near")))
+    return fitted.join(top, "region").select("region", "n", "near", F.round("top", 3).alias("loglik"), (F.abs(F.col("near") - F.col("phi")) <= 0.001).alias("within"),
+                                             (F.col("most") >= F.col("top") - 1e-6).alias("likeliest"))
+
+
 # ------------------------------------------------------------------ models
 def trained(spark, d, algorithm) -> tuple[SalesForecastModel, DataFrame]:
     """A model measured on the newest fifth of the days and then fitted on all of them."""

@@ -197,6 +197,43 @@ def test_ar_recovers_coefficients(spark):
     assert (ahead["confidence_upper"] - ahead["confidence_lower"]).is_monotonic_increasing
 
 
+@pytest.mark.parametrize("phi", [[0.5, -0.3], [0.95], [-0.7, 0.1, 0.2]])
+def test_exact_likelihood_is_that_of_the_whole_covariance(spark, phi):
+    """Against the Gaussian density with the stationary covariance, and against all neighbours of the estimate."""
+    rng, p = np.random.default_rng(3), len(phi)
+    d = [0.0] * p
+    for _ in range(300):
+        d.append(np.dot(phi, d[::-1][:p]) + rng.normal())
+    d = np.array(d[-60:])
+    y = 500 + np.cumsum(np.append(0, d))
+    days = pd.DataFrame({"date": [date(2000, 1, 1) + timedelta(days=i) for i in range(len(y))], "total_revenue": y})
+
+    def dense(c):
+        steps = [1.0]
+        for _ in range(3_000):
+            steps.append(np.dot(c[:len(steps)], steps[::-1][:p]))
+        steps = np.array(steps)
+        lags = np.array([steps[:len(steps) - k] @ steps[k:] for k in range(len(d))])
+        v = lags[np.abs(np.subtract.outer(range(len(d)), range(len(d))))]
+        s2 = d @ np.linalg.solve(v, d) / len(d)
+        return -0.5 * (len(d) * (np.log(2 * np.pi * s2) + 1) + np.linalg.slogdet(v)[1]), s2
+    frame = spark.createDataFrame(days)
+    near = [list(np.array(phi) * f) for f in (1.0, 0.5, 0.9)]
+    for r in autoregression.likelihoods(frame, near).collect():
+        assert r.n == 60 and np.allclose([r.loglik, r.sigma2], dense(np.array(near[r.candidate])), rtol=1e-8)
+    best = autoregression.fit(frame, p, exact=True).first()
+    top = dense(np.array(best.phi))[0]
+    assert np.isclose((2 * (p + 1) - best.aic) / 2, top) and np.isclose(best.sigma2, dense(np.array(best.phi))[1])
+    for k in range(p):
+        for step in (-1e-3, 1e-3):
+            moved = np.array(best.phi)
+            moved[k] += step
+            if autoregression.partial_autocorrelations(moved) is not None:
+                assert dense(moved)[0] <= top
+    with pytest.raises(ValueError):
+        autoregression.likelihoods(frame, [[1.2]])
+
+
 def test_ensemble(spark):
     weights = ensemble.weights_from_mape(spark.createDataFrame([("a", 10.0), ("b", 30.0), ("c", None)], "model string, mape double"))
     got = {r.model: r.weight for r in weights.collect()}
