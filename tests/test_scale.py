@@ -26,6 +26,48 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def counted(spark, rows, schema):
+    """A frame of ``rows`` and an accumulator of the rows that were read from it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    return spark.createDataFrame(rows, schema).mapInPandas(read, schema), seen
+
+
+SALE = "timestamp string, transaction_id string, quantity string, unit_price double, total_amount double, category string, customer_id string"
+
+
+def sales(n=300):
+    rows = [(str(date(2024, 1, 1) + timedelta(days=i % 60)), f"t{i}", str(1 + i % 5), 2.0 + i % 7, 3.0 + i, "ab"[i % 2], f"c{i % 9}") for i in range(n)]
+    return rows + [rows[0], rows[7]]
+
+
+def test_cleaning_reads_its_rows_once(spark):
+    df, seen = counted(spark, sales(), SALE)
+    assert quality.clean(df).count() == 300 and seen.value == 302
+
+
+def test_training_reads_its_rows_once(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def model(*_, **__):
+        raise Stop
+    monkeypatch.setattr(jobs, "SalesForecastModel", model)
+    df, seen = counted(spark, sales(), SALE)
+    with pytest.raises(Stop):
+        jobs.train_forecast(df)
+    assert seen.value == 302
+    with pytest.raises(ValueError, match="100 sales"):
+        jobs.train_forecast(df.limit(99))
+    same = df.limit(0).unionByName(spark.createDataFrame([sales()[0]] * 100, SALE))
+    with pytest.raises(Stop):
+        jobs.train_forecast(same)
+
+
 def test_lines_are_shuffled_twice(spark, sf, no_broadcast):
     p = plan(load_sales(spark, sf, queries_insights.FIGURES))
     before_parts = p.split("hashpartitioning(l_partkey")[1]
