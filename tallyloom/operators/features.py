@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..session import stage
 from . import quality, series
 from .filters import numeric_columns, with_columns_defaulted
 
+#: Labels that may be broadcast; a longer list is joined by shuffle.
+BROADCAST_LABELS = 1_000_000
+
 # Columns that are never features.
 NOT_FEATURES = {"date", "datetime", "timestamp", "transaction_id", "product_id", "product_name",
                 "customer_id", "time_of_day", "is_anomaly", "is_extreme"}
@@ -33,13 +37,21 @@ def fit_labels(df: DataFrame, column: str) -> DataFrame:
     return labels.withColumn("code", F.row_number().over(Window.partitionBy().orderBy(column)) - 1)
 
 
+def _codes(labels: DataFrame, column: str) -> DataFrame:
+    """(_label, <column>_encoded) to join with: staged, counted, and hinted for broadcast if short enough.
+
+    A shuffle by a few labels would put all rows of a label into one task.
+    """
+    known = stage(labels.select(F.col(column).alias("_label"), F.col("code").alias(f"{column}_encoded")), "labels")
+    return F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+
+
 def encode(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """Adds ``<column>_encoded``; a label never seen counts as "Unknown" and fails if that is unseen too.
 
-    Catalyst broadcasts the label table while it is small.
+    The label table is broadcast while it is small.
     """
-    known = labels.select(F.col(column).alias("_label"), F.col("code").alias(f"{column}_encoded"))
-    out = df.join(known, F.coalesce(F.col(column), F.lit("Unknown")) == F.col("_label"), "left").drop("_label")
+    out = df.join(_codes(labels, column), F.coalesce(F.col(column), F.lit("Unknown")) == F.col("_label"), "left").drop("_label")
     unknown = labels.filter(F.col(column) == "Unknown").agg(F.max("code")).scalar()
     return out.withColumn(f"{column}_encoded", F.coalesce(F.col(f"{column}_encoded"), unknown))
 
@@ -53,8 +65,7 @@ def engineer(df: DataFrame, encoders: dict[str, DataFrame] | None = None, includ
         if encoders and column in encoders:
             out = encode(out, column, encoders[column])
         else:
-            known = fit_labels(df, column).select(F.col(column).alias("_label"),
-                                                  F.col("code").alias(f"{column}_encoded"))
+            known = _codes(fit_labels(df, column), column)
             out = out.join(known, F.coalesce(F.col(column), F.lit("Unknown")) == F.col("_label")).drop("_label")
     return out
 

@@ -11,7 +11,7 @@ from ..functions import dates, labels, numbers
 from ..operators import aggregates, dedupe, features, filters, kpis, quality, ranking, series, sketches
 from ..operators.anomaly.detector import AnomalyDetector
 from ..operators.quantiles import exact_quantiles
-from ..session import fresh_path
+from ..session import fresh_path, stage
 from ..sources import files, unified
 from ..sources.star import latest_sale, load_dirty_sales, load_event_sales, load_newest_sales, load_sales
 from .analytics import SalesAnalytics
@@ -706,7 +706,8 @@ select transaction_id, cast(hour(ts) as integer) as hour, cast(isodow(ts)-1 as i
   case when hour(ts)<6 then 'night' when hour(ts)<12 then 'morning' when hour(ts)<18 then 'afternoon' else 'evening' end as time_of_day,
   cast(kc.c as integer) as category_encoded, cast(kr.r as integer) as region_encoded from sales join kc using (category) join kr using (region)"""))
 def engineer_features(spark, d):
-    return features.engineer(load_sales(spark, d, ["transaction_id", "timestamp", "category", "region"])).drop("timestamp", "category", "region")
+    rows = stage(load_sales(spark, d, ["transaction_id", "timestamp", "category", "region"]), "sales")
+    return features.engineer(rows).drop("timestamp", "category", "region")
 
 
 _STD = ["transaction_count", "total_quantity", "unique_customers", "avg_order_value", "day_of_week", "month", "is_weekend"]

@@ -107,3 +107,14 @@ def test_incremental_refresh_reads_joined_sales(spark, sf, monkeypatch):
     monkeypatch.setattr(jobs, "refresh_insights_incrementally", refresh)
     assert queries_insights.job_refresh_incrementally(spark, sf).count()
     assert files and not any("lineitem" in f or "orders" in f for f in files)
+
+
+def test_labels_do_not_gather_rows(spark, no_broadcast):
+    df = spark.createDataFrame([(datetime(2024, 1, 1), "ab"[i % 2], None if i % 3 else "x") for i in range(30)],
+                               "timestamp timestamp, category string, region string")
+    out = features.engineer(df)
+    p = plan(out)
+    assert "SortMergeJoin" not in p and "ShuffledHashJoin" not in p and p.count("BroadcastHashJoin") == 2
+    assert {(r.category, r.region, r.category_encoded, r.region_encoded) for r in out.collect()} == {
+        ("a", "x", 0, 1), ("b", "x", 1, 1), ("a", None, 0, 0), ("b", None, 1, 0)}
+    assert "SortMergeJoin" not in plan(features.encode(df, "category", features.fit_labels(df, "category")))
