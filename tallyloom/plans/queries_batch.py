@@ -388,7 +388,7 @@ k as (select *, last_value(q ignore nulls) over (order by ts_text, transaction_i
 select ts_text as "timestamp", transaction_id, l_partkey, l_suppkey, coalesce(up, down) as quantity from k"""))
 def ffill(spark, d):
     order = ["timestamp", "transaction_id", "l_partkey", "l_suppkey", "total_amount"]
-    filled = quality.forward_fill_rows(load_dirty_sales(spark, d), "quantity", order)
+    filled = quality.forward_fill_rows(load_dirty_sales(spark, d).select(*order, "quantity"), "quantity", order)
     return filled.select("timestamp", "transaction_id", "l_partkey", "l_suppkey", "quantity")
 
 

@@ -118,3 +118,14 @@ def test_labels_do_not_gather_rows(spark, no_broadcast):
     assert {(r.category, r.region, r.category_encoded, r.region_encoded) for r in out.collect()} == {
         ("a", "x", 0, 1), ("b", "x", 1, 1), ("a", None, 0, 0), ("b", None, 1, 0)}
     assert "SortMergeJoin" not in plan(features.encode(df, "category", features.fit_labels(df, "category")))
+
+
+def test_filling_keeps_to_ranges(spark):
+    values = [None if i < 250 or i % 7 or 1000 < i < 1400 else str(i) for i in range(3_000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").repartition(8)
+    out = quality.forward_fill_rows(df, "v", ["i"], range_rows=100)
+    assert ", 30)" in plan(out).split("hashpartitioning(_range")[1][:40]
+    want = pd.Series([float(v) if v else np.nan for v in values]).ffill().bfill()
+    assert np.allclose([r.v for r in out.orderBy("i").collect()], want)
+    empty = quality.forward_fill_rows(df.filter("i < 250"), "v", ["i"], range_rows=100)
+    assert empty.count() == 250 and empty.filter("v is not null").count() == 0
