@@ -3,7 +3,8 @@
 Each tree isolates a small random subsample, which is what the method prescribes; training draws
 those rows by hash of a row key, so the choice depends neither on partitioning nor on size. Trees grow in
 parallel, one group of at most ``sample`` rows per tree. Scoring is a vectorised pass over the table with the
-trees, a few hundred nodes each, broadcast.
+trees, a few hundred nodes each, broadcast: the cuts of a tree divide the space into a grid, and a row's cell
+tells its leaf without walking down, unless the grid would be too large.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..quantiles import exact_quantiles
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 HASH_SPAN = 2 ** 31
+#: Cells of a tree's grid; a tree that needs more is walked.
+GRID_CELLS = 250_000
 
 
 def average_path(n: float) -> float:
@@ -39,14 +42,16 @@ def _feature(c: str) -> Column:
 def draw(df: DataFrame, columns: list[str], trees: int, sample: int, seed: int, key: list[str]) -> DataFrame:
     """(tree, _h, features): for each tree the ``sample`` rows of least hash(seed, tree, key), at every size of table.
 
-    A row's hashes are compared in place with a cut-off that leaves about ``sample`` rows a tree, so rows become
-    several only where a tree may take them.
+    A row's hashes are compared with a cut-off that leaves about ``sample`` rows a tree as soon as they are made, in one
+    compiled loop over the trees.
     """
     n = df.count()
     cut = int(HASH_SPAN * min(1.0, (sample + 10.0 * math.sqrt(sample) + 100.0) / max(n, 1)))
-    code = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, *[F.col(c) for c in key]), F.lit(HASH_SPAN))
-    taken = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), code(t).alias("_h"))), lambda s: s["_h"] < cut)
-    near = df.select(F.explode(taken).alias("_s"), *[_feature(c).alias(c) for c in columns]).select("_s.*", *columns)
+    named = {f"_k{i}": F.col(c) for i, c in enumerate(key)}
+    each = df.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), *[e.alias(k) for k, e in named.items()],
+                     *[_feature(c).alias(c) for c in columns])
+    code = F.pmod(F.xxhash64(F.lit(seed), "tree", *named), F.lit(HASH_SPAN))
+    near = each.filter(code < cut).select("tree", code.alias("_h"), *columns)
     least = Window.partitionBy("tree").orderBy("_h", *columns)
     return near.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= sample)
 
@@ -119,6 +124,38 @@ def _complete(nodes: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, i
     return feature, cut, path, levels
 
 
+def _walk(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """The last place of each row of ``x`` in one complete tree."""
+    base, flat, at = np.arange(len(x)) * x.shape[1], x.ravel(), np.zeros(len(x), np.int64)
+    for _ in range(levels):
+        at = 2 * at + 1 + (flat[base + feature[at]] > cut[at])
+    return at
+
+
+def _grids(feature: np.ndarray, cut: np.ndarray, path: np.ndarray, levels: int, width: int) -> tuple[list[np.ndarray], list]:
+    """All cuts of each feature, and for each tree (steps, leaf of each cell, path lengths), or None if its grid is too large.
+
+    With the number r of all cuts of feature f below a row's value, ``steps[f][r]`` is what f adds to the number of its cell.
+    """
+    real = np.isfinite(cut)
+    cuts = [np.unique(cut[real & (feature == f)]) for f in range(width)]
+    trees = []
+    for f, c, p in zip(feature, cut, path):
+        own = [np.unique(c[np.isfinite(c) & (f == j)]) for j in range(width)]
+        sizes = [len(o) + 1 for o in own]
+        if math.prod(sizes) > GRID_CELLS:
+            trees.append(None)
+            continue
+        strides = [math.prod(sizes[j + 1:]) for j in range(width)]
+        steps = [np.concatenate([[0], np.cumsum(np.isin(a, o))]).astype(np.int32) * s for a, o, s in zip(cuts, own, strides)]
+        # a cell stands for the values above its lower cut and up to its upper one, which takes the same ways down
+        uppers = [np.concatenate([o, [np.inf]]) for o in own]
+        cells = np.stack([g.ravel() for g in np.meshgrid(*uppers, indexing="ij")], axis=1)
+        lengths, leaf = np.unique(p[_walk(cells, f, c, levels)], return_inverse=True)
+        trees.append((steps, leaf.astype(np.int16), lengths))
+    return cuts, trees
+
+
 @dataclass
 class ForestModel:
     columns: list[str]
@@ -127,18 +164,24 @@ class ForestModel:
 
     def score_column(self, spark: SparkSession) -> Column:
         """Anomaly score in (0, 1], near 1 for rows that isolate quickly."""
-        shared = spark.sparkContext.broadcast(_complete(self.nodes))
+        complete = _complete(self.nodes)
+        shared = spark.sparkContext.broadcast((complete, _grids(*complete, len(self.columns))))
 
         @F.pandas_udf("double")
         def score(features: pd.DataFrame) -> pd.Series:
-            feature, cut, path, levels = shared.value
+            (feature, cut, path, levels), (cuts, grids) = shared.value
             x = np.ascontiguousarray(features.to_numpy(float))
-            base, flat, total = np.arange(len(x)) * x.shape[1], x.ravel(), np.zeros(len(x))
-            for f, c, p in zip(feature, cut, path):
-                at = np.zeros(len(x), np.int64)
-                for _ in range(levels):
-                    at = 2 * at + 1 + (flat[base + f[at]] > c[at])
-                total += p[at]
+            total = np.zeros(len(x))
+            below = [np.where(np.isnan(v), 0, np.searchsorted(c, v)) for c, v in zip(cuts, x.T)]
+            for f, c, p, grid in zip(feature, cut, path, grids):
+                if grid is None:
+                    total += p[_walk(x, f, c, levels)]
+                    continue
+                steps, leaf, lengths = grid
+                cell = steps[0].take(below[0])
+                for s, r in zip(steps[1:], below[1:]):
+                    cell += s.take(r)
+                total += lengths.take(leaf.take(cell))
             scale = float(path[:, -1].mean()) or 1.0
             return pd.Series(np.power(2.0, -total / len(feature) / scale))
 

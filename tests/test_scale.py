@@ -129,3 +129,36 @@ def test_filling_keeps_to_ranges(spark):
     assert np.allclose([r.v for r in out.orderBy("i").collect()], want)
     empty = quality.forward_fill_rows(df.filter("i < 250"), "v", ["i"], range_rows=100)
     assert empty.count() == 250 and empty.filter("v is not null").count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_grid_gives_the_leaves_of_the_walk(width, monkeypatch):
+    rng = np.random.default_rng(width)
+    nodes = []
+    for t in range(10):
+        x = np.round(rng.normal(size=(256, width)), 1)
+        nodes += [(t, i, n["feature"], n["threshold"], n["left"], n["right"], n["path"])
+                  for i, n in enumerate(forest._grow(x, np.random.default_rng(t), 8))]
+    feature, cut, path, levels = forest._complete(nodes)
+    cuts, grids = forest._grids(feature, cut, path, levels, width)
+    x = np.round(rng.normal(size=(2_000, width)) * 2, 1)
+    x[:3], x[3:6] = np.inf, -np.inf
+    x[10:10 + min(50, len(cuts[0])), 0] = cuts[0][:50]
+    below = [np.searchsorted(c, v) for c, v in zip(cuts, x.T)]
+    for f, c, p, (steps, leaf, lengths) in ((*t, g) for *t, g in zip(feature, cut, path, grids) if g):
+        cell = sum(s[r] for s, r in zip(steps, below))
+        assert (lengths[leaf[cell]] == p[forest._walk(x, f, c, levels)]).all()
+    assert any(grids)
+    monkeypatch.setattr(forest, "GRID_CELLS", 0)
+    assert not any(forest._grids(feature, cut, path, levels, width)[1])
+
+
+def test_forest_scores_by_grid_and_by_walk_agree(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame(pd.DataFrame({"i": range(2_000), "a": rng.normal(size=2_000), "b": rng.integers(0, 9, 2_000).astype(float)}))
+    df = df.withColumn("a", F.when(F.col("i") % 50 == 0, F.lit(float("nan"))).when(F.col("i") % 51 == 0, None).otherwise(F.col("a")))
+    model = forest.fit_forest(df.filter("i % 50 <> 0"), ["a", "b"], trees=20, key=["i"])
+    score = lambda: [r.s for r in df.select("i", model.score_column(spark).alias("s")).orderBy("i").collect()]
+    by_grid = score()
+    monkeypatch.setattr(forest, "GRID_CELLS", 0)
+    assert by_grid == score()
