@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import features, quality
+from tallyloom.operators import dedupe, features, quality
 from tallyloom.operators.anomaly import forest
 from tallyloom.plans import jobs, queries_insights
 from tallyloom.sources import star
@@ -162,3 +162,17 @@ def test_forest_scores_by_grid_and_by_walk_agree(spark, monkeypatch):
     by_grid = score()
     monkeypatch.setattr(forest, "GRID_CELLS", 0)
     assert by_grid == score()
+
+
+def test_distinct_keys_stay_where_they_are(spark, monkeypatch):
+    rows = [(f"k{i}", i % 5, float(i)) for i in range(400)] + [("k7", 0, 1.0), ("k7", 0, 2.0), ("k9", 4, 9.0), ("k9", 4, 9.0), (None, 2, 1.0), (None, 1, 5.0)]
+    df = spark.createDataFrame(rows, "id string, day int, v double")
+    want = {(r.id, r.day, r.v) for r in dedupe.keep_first(df, "id", ["day"]).collect()}
+    got = dedupe.keep_first_staged(df, "id", ["day"])
+    assert "LeftAnti" in plan(got) and len(want) == 401 and ("k7", 0, 1.0) in want and (None, 1, 5.0) in want
+    assert sorted(got.collect(), key=str) == sorted(dedupe.keep_first(df, "id", ["day"]).collect(), key=str) and got.columns == df.columns
+    monkeypatch.setattr(dedupe, "BROADCAST_KEYS", 2)
+    assert {(r.id, r.day, r.v) for r in dedupe.keep_first_staged(df, "id", ["day"]).collect()} == want
+    twice = df.unionByName(df)
+    assert "LeftAnti" not in plan(dedupe.keep_first_staged(twice, "id", ["day"]))
+    assert dedupe.keep_first_staged(df.limit(0), "id", ["day"]).count() == 0
